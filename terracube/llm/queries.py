@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .line_dedup import OP2_SQL, op2_line_dedup
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 SQL = {
+    "op2_line_dedup": OP2_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
