@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .mixing import op8_mix_sources
+from .packing import op10_mixture_packing
 
 QUERIES = {
+    "op10_mixture_packing": op10_mixture_packing,
+    "op8_mix_sources": op8_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
