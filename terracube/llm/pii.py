@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text_arrays as ta
@@ -22,7 +23,6 @@ WORDS_A_SEQUENCE = 256
 
 # The same matches as the plain patterns, but each starts only where one can start, so that
 # a long run of letters or digits is read once.
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -385,7 +385,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(df: DataFrame, text_col: str = "text", rows: int = 900, seed: int = 11) -> DataFrame:
-    """Personal data of each row: all columns, and ``pii_base`` and ``pii_spans`` (arrays of kind, start, end).
+    """Find the personal data of each row: all columns, and ``pii_base`` and ``pii_spans`` (arrays of kind, start, end).
 
     Offsets count code points, ends are exclusive. ``pii_base`` has what the fixed patterns match,
     ``pii_spans`` also what the random field finds where no pattern matched and what passes its kind's check of digits.
@@ -409,10 +409,8 @@ def find_pii(df: DataFrame, text_col: str = "text", rows: int = 900, seed: int =
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs).drop("text")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text("pii_base"), 256).alias("base_sha256"), text("pii_spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(text("pii_base"), 256).alias("base_sha256"), text("pii_spans").alias("spans"))
