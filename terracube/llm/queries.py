@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .html_text import op6_html_text
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op8_mix_sources
 from .packing import op10_mixture_packing
@@ -10,6 +11,7 @@ from .pii import op5_pii
 from .top_k import OP7_SQL, op7_top_k
 
 QUERIES = {
+    "op6_html_text": op6_html_text,
     "op5_pii": op5_pii,
     "op7_top_k": op7_top_k,
     "op10_mixture_packing": op10_mixture_packing,
