@@ -119,7 +119,7 @@ def numbers(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     out[:, PATH + WORDS + 1] = np.minimum(links / np.maximum(sizes, 1), 1)
     out[:, PATH + WORDS + 2] = np.array([t.endswith((b".", b"!", b"?")) for t in texts])
     out[:, PATH + WORDS + 3] = n <= 3
-    out[:, PATH + WORDS + 4] = np.array([b"\xc2\xa9" in t or b"@" in t for t in texts])
+    out[:, PATH + WORDS + 4] = np.array([b"\xc2\xa9" in t for t in texts])
     out[:, PATH + WORDS + 5] = 1
     return out
 
@@ -198,7 +198,7 @@ def scores(model: list[np.ndarray], rows: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 18, batch: int = 50, rate: float = 0.02, seed: int = 3) -> list[np.ndarray]:
+def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 24, batch: int = 50, rate: float = 0.02, seed: int = 3) -> list[np.ndarray]:
     """Back-propagation through time with Adam steps on pages of (numbers, labels)."""
     rng = np.random.default_rng(seed)
     k = 4 * HIDDEN
@@ -232,7 +232,7 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 18, batch: int
 # -- labelled pages ----------------------------------------------------------------------------
 
 
-def labelled_pages(n: int = 320, seed: int = 5) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 480, seed: int = 5) -> list[tuple[str, list[str]]]:
     """Pages made by rule from a seed, in many layouts, with the blocks of their main text.
 
     The article stands in one of several containers; menus, headers, footers, sidebars, notices, adverts, forms and
@@ -241,7 +241,8 @@ def labelled_pages(n: int = 320, seed: int = 5) -> list[tuple[str, list[str]]]:
     rng = np.random.default_rng(seed)
     parts = ["an", "the", "re", "ion", "est", "or", "al", "qu", "ver", "lo", "mi", "ta", "sch", "é", "en", "ou"]
     word = lambda: "".join(rng.choice(parts, int(rng.integers(1, 4))))
-    phrase = lambda lo, hi: " ".join(word() for _ in range(int(rng.integers(lo, hi))))
+    odd = lambda: one_of(f"{word()}.{rng.integers(99)}@{word()}.example.com", f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}", str(rng.integers(10**15, 10**16)), "12.34.56.78", "\u00a9", "|")
+    phrase = lambda lo, hi: " ".join(word() if rng.random() < 0.98 else odd() for _ in range(int(rng.integers(lo, hi))))
     sentence = lambda lo, hi: phrase(lo, hi).capitalize() + rng.choice([".", ".", "!!", "###", "&&&", "***", ""])
     one_of = lambda *x: x[int(rng.integers(0, len(x)))]
     some = lambda p: rng.random() < p
@@ -301,7 +302,7 @@ def labelled_pages(n: int = 320, seed: int = 5) -> list[tuple[str, list[str]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 320, seed: int = 5) -> list[np.ndarray]:
+def trained(n: int = 480, seed: int = 5) -> list[np.ndarray]:
     examples = []
     for page, main in labelled_pages(n, seed):
         found, at, label = blocks(page), 0, []
@@ -323,7 +324,7 @@ def main_texts(model: list[np.ndarray], pages: list[str]) -> list[str]:
     return ["\n".join(b[1] for b, s in zip(page, score, strict=True) if s > 0) for page, score in zip(found, scores(model, rows), strict=True)]
 
 
-def extract_text(df: DataFrame, html_col: str = "html", n: int = 320, seed: int = 5) -> DataFrame:
+def extract_text(df: DataFrame, html_col: str = "html", n: int = 480, seed: int = 5) -> DataFrame:
     """Main text of each page: all columns but ``html_col``, and ``text``.
 
     The page is cut into leaf blocks; each block's tag path, words and length become numbers; a bidirectional LSTM labels
