@@ -8,9 +8,11 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op8_mix_sources
 from .packing import op10_mixture_packing
 from .pii import op5_pii
+from .quality import op4_quality
 from .top_k import OP7_SQL, op7_top_k
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op6_html_text": op6_html_text,
     "op5_pii": op5_pii,
     "op7_top_k": op7_top_k,
