@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .html_text import op6_html_text
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .lm_score import op3_lm_score
 from .mixing import op8_mix_sources
 from .near_dedup import op1_near_dedup
 from .packing import op10_mixture_packing
@@ -13,6 +14,7 @@ from .quality import op4_quality
 from .top_k import OP7_SQL, op7_top_k
 
 QUERIES = {
+    "op3_lm_score": op3_lm_score,
     "op1_near_dedup": op1_near_dedup,
     "op4_quality": op4_quality,
     "op6_html_text": op6_html_text,
