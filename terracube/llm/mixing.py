@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ MOST_SHARDS = 1 << 16
 MOST_SOURCES = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
+_WORD = re.compile(WORD)
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST_TIMES) -> np.ndarray:
@@ -117,3 +121,31 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _repeated(text_col: str, names: list[str]):
+    """Whole copies of a text, and for the rest its leading words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.slices(batch, text_col):
+                rows, texts = [], []
+                for i, (text, size, taken) in enumerate(zip(*(part.column(c).to_pylist() for c in (text_col, "_size", "_taken")), strict=True)):
+                    times, rest = divmod(taken, size)
+                    rows += [i] * (times + (rest > 0))
+                    texts += [text] * times
+                    if rest:
+                        texts.append(text[: next(islice(_WORD.finditer(text), rest - 1, None)).end()])
+                columns = [pa.array(texts, pa.string()) if c == text_col else part.column(c).take(pa.array(rows, pa.int64())) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows that the mix of ``mix_sources`` takes, with the columns of ``df``: a row for each whole pass over a text, and
+    one with its leading words for what is left. Rows that repeat an id with its text share one decision."""
+    plan = mix_sources(df, id_col, text_col, source_col, **options).where("taken > 0")
+    plan = plan.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_hash"])
+    keyed = df.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long"), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(plan, ["_id", "_hash"]).select(*df.columns, "_size", "_taken").mapInArrow(_repeated(text_col, df.columns), df.schema)
