@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +20,8 @@ INSULTS = ("clown", "creep", "cretin", "disgusting", "dumb", "failure", "fool",
 LABELLERS = ("symbol_share", "marked_words", "shouted_letters", "shouted_words", "exclamations", "bar_words", "repeated_lines", "repeated_words", "insult", "insults", "odd_length", "stutter", "told_stem", "told_stems", "few_marks", "plain_prose", "closed_lines")
 
 CELLS = 1 << 18
-SAMPLE = 8_000
+SAMPLE = 3_000
+LABELLED_SAMPLE = 16_000
 
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#$%&*^~|<>{}[]\\=_"])
 _UPPER, _ASCII_LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -171,13 +172,15 @@ def posterior(patterns: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
 
 def linear(row: np.ndarray, cell: np.ndarray, value: np.ndarray, label: np.ndarray, rounds: int = 80, rate: float = 0.5, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on hashed features and soft labels: whole-batch AdaGrad steps."""
-    w, bias, seen, n = np.zeros(CELLS), 0.0, np.full(CELLS, 1e-8), max(len(label), 1)
+    w, bias, seen, n = np.zeros(CELLS, np.float32), 0.0, np.full(CELLS, 1e-8, np.float32), max(len(label), 1)
+    if not len(label):
+        return w, bias
     balance = np.where(label > 0.5, 0.5 / max(np.mean(label > 0.5), 0.05), 0.5 / max(np.mean(label <= 0.5), 0.05))
     seen_bias = 1e-8
     for _ in range(rounds):
         z = np.bincount(row, weights=w[cell] * value, minlength=len(label)) + bias
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * balance / n
-        g = np.bincount(cell, weights=d[row] * value, minlength=CELLS) + decay * w
+        g = np.bincount(cell, weights=d[row] * value, minlength=CELLS).astype(np.float32) + decay * w
         seen += g * g
         w -= rate * g / np.sqrt(seen) * (g != 0)
         seen_bias += d.sum() ** 2
@@ -247,7 +250,7 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     """Learn from the texts. Vote patterns are counted over all rows; the linear scorer learns from about ``sample`` rows
     chosen by hash, and never from more than twice as many. ``labels`` (id, toxic), if given, tells one labeller which words to mind."""
     context = df.sparkSession.sparkContext
-    lexicon = told_lexicon(df, labels, id_col, text_col, 2 * sample)
+    lexicon = told_lexicon(df, labels, id_col, text_col, LABELLED_SAMPLE)
     shared = context.broadcast(lexicon)
     texts = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     found = texts.select("text").mapInArrow(_patterns(shared), "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).toPandas()
@@ -257,11 +260,10 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     accuracy = label_model(patterns, found["n"].to_numpy())
     step = max(1, int(found["n"].sum()) // sample)
     rows = texts.where(F.pmod("h", F.lit(step)) == 0).select("text").limit(2 * sample)
-    got: pd.DataFrame = rows.mapInArrow(_sampled(shared), "votes string, cells array<int>, values array<float>").toPandas()
-    good = posterior(np.array([[int(x) for x in v.split(",")] for v in got["votes"]]).reshape(len(got), -1), accuracy)
-    row = np.repeat(np.arange(len(got)), [len(c) for c in got["cells"]])
-    empty = [np.zeros(0)]
-    weights, bias = linear(row, np.concatenate([*got["cells"], *empty]).astype(np.int64), np.concatenate([*got["values"], *empty]), good)
+    got = rows.mapInArrow(_sampled(shared), "votes string, cells array<int>, values array<float>").toArrow()
+    good = posterior(np.array([[int(x) for x in v.split(",")] for v in got["votes"].to_pylist()]).reshape(got.num_rows, -1), accuracy)
+    row = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got["cells"]).to_numpy())
+    weights, bias = linear(row, pc.list_flatten(got["cells"]).to_numpy(), pc.list_flatten(got["values"]).to_numpy(), good)
     return Model(lexicon, accuracy, weights.astype(np.float32), float(bias))
 
 
