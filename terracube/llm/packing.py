@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text_arrays as ta
 from .apportion import sainte_lague
 from .shared import stash
 
 SEQUENCE = 1024
 WINDOW = 32
 MOST_QUEUES = 4096
-CACHED_WORDS = 600_000
+CACHED_WORDS = 2_000_000
+MOST_BROADCAST = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -25,61 +28,130 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # -- tokens ------------------------------------------------------------------------------------
 
 
+_MARKS = string.punctuation
+
+
+class _Unclear(Exception):
+    """A word that can't be told from its neighbours."""
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """Ids of a byte-level BPE, with a bounded cache from words to their ids.
+    """Ids of a byte-level BPE for batches of texts; each distinct word is encoded once while it is remembered.
 
-    A single space before a word always begins a new piece of the tokenizer's own splitting, so a text
-    cut at such spaces has the ids of its parts. Texts with runs of white space around a space, where
-    that doesn't hold, go to the tokenizer whole.
+    A space between two words always begins a new piece of the tokenizer's own splitting, so a text cut before spaces has
+    the ids of its words, and a word of letters with marks behind it those of the letters and those of the marks. Texts with
+    white space beside a space, where that doesn't hold, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.whole = re.compile(r"  |\s \s|^ | $")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            parts = None if self.whole.search(text) else text.split(" ")
-            if parts:
-                parts[1:] = [" " + x for x in parts[1:]]
-            cut.append(parts)
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({x for parts in cut if parts for x in parts}.difference(known))
-        for a in range(0, len(new), 4096):
-            known.update(zip(new[a : a + 4096], self._encode(new[a : a + 4096]), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) if parts else self._encode([text])[0] for text, parts in zip(texts, cut, strict=True)]
+        self.model, self.end = Tokenizer.from_file(path), end
+        self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
+        self.few: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, word: str, lead: str) -> list[int]:
+        if not word or word[0].isspace():
+            raise _Unclear
+        if "\n" in word and all(lines := word.split("\n")):
+            out = self._ids(lines[0], lead)
+            for line in lines[1:]:
+                out = out + self._marks("\n") + self._ids(line, "")
+            return out
+        core = word.rstrip(_MARKS)
+        if not core.isalpha():
+            return self._whole(lead + word)
+        out = [t.id for t in self.model.model.tokenize((lead + core).encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return out + self._marks(word[len(core) :]) if len(core) < len(word) else out
+
+    def _marks(self, text: str) -> list[int]:
+        if text not in self.few:
+            if len(self.few) > 10_000:
+                self.few.clear()
+            self.few[text] = self._whole(text)
+        return self.few[text]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        found = []
+        for word in words:
+            lead = " " if word[:1] == b" " else ""
+            try:
+                found.append(self._ids(word.decode()[len(lead) :], lead))
+            except _Unclear:
+                found.append(None)
+        n = np.array([-1 if x is None else len(x) for x in found])
+        size = np.maximum(n, 0)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.array([i for x in found if x for i in x], np.uint32)])
+        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.n = keys[order], at[order], n[order]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, each text followed by the end id, and where each text begins (one more place than texts)."""
+        if len(self.keys) > CACHED_WORDS:
+            self._forget()
+        data, offsets = ta.raw(column)
+        docs = len(offsets) - 1
+        begins = data == 0x20
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        row = np.searchsorted(offsets, starts, "right") - 1
+        ends = np.minimum(np.append(starts[1:], len(data)), offsets[row + 1])
+        keys, first, back = np.unique(ta.span_hash(data, starts, ends, 12), return_index=True, return_inverse=True)
+        near = np.searchsorted(self.keys, keys)
+        new = np.append(self.keys, ~self.keys[-1:])[near] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self._learn(keys[new], [data[starts[i] : ends[i]].tobytes() for i in first[new]])
+        place = np.searchsorted(self.keys, keys)[back]
+        n, at = self.n[place], self.at[place]
+        unclear = np.unique(row[n < 0])
+        if len(unclear):
+            n = np.where(np.isin(row, unclear), 0, n)
+        stop = np.cumsum(n)
+        step = np.arange(stop[-1] if len(stop) else 0)
+        out = np.full(len(step) + docs, self.end, np.uint32)
+        out[np.repeat(row, n) + step] = self.flat[np.repeat(at - stop + n, n) + step]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=docs).astype(np.int64) + 1)])
+        if len(unclear):
+            parts = np.split(out, edges[1:-1])
+            for i in unclear:
+                parts[i] = np.array([*self._whole(data[offsets[i] : offsets[i + 1]].tobytes().decode()), self.end], np.uint32)
+            out, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return out, edges
 
 
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
-        last = np.array([end], "<u4").tobytes()
-        before: dict[str | None, int] = {}
+        encode = Encoder(path, end)
+        before: dict[int, int] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = [x + last for x in encode([t or "" for t in part.column("text").to_pylist()])]
-                starts = []
-                for source, x in zip(part.column("queue").to_pylist(), found, strict=True):
-                    starts.append(before.get(source, 0))
-                    before[source] = starts[-1] + len(x) // 4
-                kept = [np.frombuffer(x, "<u4") for x in found]
-                small = [x.astype("<u2").tobytes() if x.max() < 65536 else y for x, y in zip(kept, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), part.column("part"), pa.array(starts, pa.int64()), pa.array([len(x) for x in kept], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "queue", "part", "before", "n", "ids"])
+            for part in ta.slices(batch, "text", 2 * ta.SLICE_BYTES):
+                ids, edges = encode(part.column("text"))
+                sizes, starts = np.diff(edges), []
+                for queue, n in zip(part.column("queue").to_pylist(), sizes.tolist(), strict=True):
+                    starts.append(before.get(queue, 0))
+                    before[queue] = starts[-1] + n
+                ids = ids.astype(encode.kind)
+                kept = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), part.column("part"), pa.array(starts, pa.int64()), pa.array(sizes), kept], ["doc_id", "queue", "part", "before", "n", "ids"])
 
     return run
 
@@ -170,7 +242,9 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     parts = ids.groupBy("queue", "part").agg(F.sum("n").alias("m"))
     earlier = F.sum("m").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = parts.select("queue", "part", F.coalesce(earlier, F.lit(0)).alias("base"))
+    bases = stash(parts.select("queue", "part", F.coalesce(earlier, F.lit(0)).alias("base")))
+    if bases.count() <= MOST_BROADCAST:  # else an ordinary join deals out the ids
+        bases = F.broadcast(bases)
     tokens = [0] * (len(names) + 1)
     for r in ids.groupBy("queue").agg(F.sum("n").alias("m")).collect():  # 4,096 rows at most
         tokens[r["queue"]] = r["m"]
