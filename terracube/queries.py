@@ -22,6 +22,7 @@ from terracube.operators import scoring as sc
 from terracube.operators import sequences as sq
 from terracube.operators import stats as st
 from terracube.operators import uncertainty as un
+from terracube.sources import grids as io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -759,6 +760,50 @@ def user_metric(spark, d):
     return rounded(sc.user_metric(pairs(spark, d), lambda o, p: float(np.median(np.abs(p - o))), ["category"]))
 
 
+# -- set operations and joins that the rest doesn't show ---------------------------------------
+
+
+@query(f"WITH {STATIC} SELECT cell_id, cell_id IN {_top('SELECT cell_id FROM static', 'cell_id', 'floor(n * 0.25 + 1e-9)', 6)} AS sampled FROM static")
+def mark_sampled(spark, d):
+    cells = static(spark, d).select("cell_id")
+    return g.mark_sampled(cells, sp.sample_keys(cells, "cell_id", 0.25, seed=6))
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT cell_id, max(y_pred) AS hi FROM pairs WHERE y_pred > 90000 GROUP BY 1), b AS (SELECT cell_id, min(y_pred) AS lo FROM pairs WHERE y_pred < 1000 GROUP BY 1)
+SELECT coalesce(a.cell_id, b.cell_id) AS cell_id, round(hi, 4) AS hi, round(lo, 4) AS lo FROM a FULL JOIN b ON a.cell_id = b.cell_id""")
+def merge_columns(spark, d):
+    df = pairs(spark, d)
+    hi = df.where("y_pred > 90000").groupBy("cell_id").agg(F.max("y_pred").alias("hi"))
+    lo = df.where("y_pred < 1000").groupBy("cell_id").agg(F.min("y_pred").alias("lo"))
+    return rounded(g.merge_columns([hi, lo], ["cell_id"]))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE 1 END AS batch FROM lineitem")
+def concat_batches(spark, d):
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    parts = [df.where(F.pmod("l_orderkey", F.lit(2)) == k).withColumn("batch", F.lit(k)) for k in (0, 1)]
+    return rounded(io.concat(*parts)).withColumn("batch", F.col("batch").cast("int"))
+
+
+@query("SELECT event_type AS metric, round(avg(value), 4) AS value FROM events GROUP BY 1")
+def averaged_losses(spark, d):
+    return rounded(ev.averaged(table(spark, d, "events").select(F.col("event_type").alias("metric"), "value")))
+
+
+@query(f"""WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer),
+dr AS (SELECT draw, {HASH('draw', 8)} % n AS pos FROM (SELECT n, unnest(range(1, CAST(floor(n * 0.4 + 1e-9) AS BIGINT) + 1)) AS draw FROM (SELECT count(*) AS n FROM customer)))
+SELECT draw, c_custkey FROM dr JOIN k USING (pos)""")
+def with_replacement_all(spark, d):
+    return sp.with_replacement(table(spark, d, "customer").select("c_custkey"), 0.4, "c_custkey", seed=8).select("draw", "c_custkey")
+
+
+@query(f"WITH {GRID} SELECT cell_id, t_i, round(click, 4) AS click, lat_i, lon_i FROM gi WHERE click IS NOT NULL")
+def label_predictions(spark, d):
+    df = indexed(spark, d)
+    pred = g.keep_valid(df.select("cell_id", "t_i", "click"), "click", "click")
+    return rounded(io.label_predictions(pred, df.select("cell_id", "t_i", "lat_i", "lon_i")))
+
+
 def _day_as_text(name: str) -> None:
     """Days as text, so that both engines show the same."""
     plain = QUERIES[name]
