@@ -15,6 +15,9 @@ from .shared import NO_ID, join_group_stats, stash
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+ROUNDS, PIVOTS = 2, 6
+PACK = 256
+LIKELY = 0.6
 
 # -- shingles and signatures -------------------------------------------------------------------
 
@@ -91,7 +94,8 @@ def _signed(bands: int, rows: int, size: int):
                     sets = np.stack([s[edges[1:]] - s[edges[:-1]] for s in sums], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
                 nodes = pa.array([x.tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), nodes, pa.array(np.diff(edges)), lists], ["id", "copy", "node", "n", "keys"])
+                short = [x.tobytes() for x in sign.astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), nodes, pa.array(np.diff(edges)), lists, pa.array(short, pa.binary())], ["id", "copy", "node", "n", "keys", "sign"])
 
     return run
 
@@ -105,7 +109,7 @@ def _verified(size: int, least: float):
                 one, other = (shingles(*ta.raw(part.column(c)), size)[:2] for c in ("text_a", "text_b"))
                 n = part.num_rows
                 keys = [ta.mix(h ^ ta.mix(r.astype(np.uint64))) for r, h in (one, other)]
-                both = np.isin(keys[0], keys[1])
+                both = np.isin(keys[0], keys[1], assume_unique=True)
                 shared = np.bincount(one[0][both], minlength=n)
                 union = np.bincount(one[0], minlength=n) + np.bincount(other[0], minlength=n) - shared
                 near = shared >= least * union - 1e-9
@@ -115,6 +119,32 @@ def _verified(size: int, least: float):
     return run
 
 
+def _likely(least: float):
+    """Pairs of two packs of one bucket whose signatures agree in a share of ``least`` or more, that lie in different components,
+    and that meet in no earlier band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = batch.column("band")[i].as_py()
+                sides = []
+                for side in "ab":
+                    x = batch.column(side)[i].values
+                    node, root = x.field("node").to_numpy(zero_copy_only=False), x.field("root").to_numpy(zero_copy_only=False)
+                    sign = np.frombuffer(b"".join(x.field("sign").to_pylist()), np.uint32).reshape(len(node), -1)
+                    keys = x.field("keys").flatten().to_numpy().reshape(len(node), -1)
+                    sides.append((node, root, sign, keys))
+                (n1, r1, s1, k1), (n2, r2, s2, k2) = sides
+                near = r1[:, None] != r2[None]
+                near &= np.stack([(s1[j] == s2).mean(axis=1) >= least for j in range(len(n1))])
+                j, k = np.nonzero(near)
+                own = (k1[j] == k2[k]).argmax(axis=1) == band
+                a, b = n1[j[own]], n2[k[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["x", "y"])
+
+    return run
+
+
 # -- classes -----------------------------------------------------------------------------------
 
 
@@ -158,21 +188,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``n_links`` counts the verified links of a row's set of shingles to other sets.
 
     1. Rows with one set of shingles become one node; rows without words are classes of their own.
-    2. Nodes that agree in a band meet in a bucket and are compared with the bucket's least node. That links
-       each bucket to a star, so a bucket with thousands of near copies costs as many comparisons as it has nodes.
-    3. Where a bucket still holds nodes of several components, all pairs across these components are
-       compared, so no link that banding proposes between two classes is lost.
+    2. Nodes that agree in a band meet in a bucket and are compared with the bucket's least node, then, where a bucket
+       still holds several components, with six further nodes of it in each of two rounds. A bucket with thousands of near copies so
+       becomes one component at a cost in proportion to its nodes.
+    3. What is left are pairs of one bucket in different components. All of them are compared: first by signatures, in packs of about
+       256 nodes, where 60 % of places must agree (a pair of similarity 0.8 fails that once in ten million), then by texts. So
+       no link that banding proposes between two classes is lost.
     Candidates carry only node hashes; texts are joined to the pairs at the end. A null id is the largest id; a null text has no words.
     """
     ids = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(ids.alias("id"), text.alias("text"), F.xxhash64(text).alias("copy"))
-    signed = stash(docs.mapInArrow(_signed(bands, rows, size), "id long, copy long, node binary, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
+    signed = stash(docs.mapInArrow(_signed(bands, rows, size), "id long, copy long, node binary, n long, keys array<long>, sign binary").withColumn("row", F.monotonically_increasing_id()))
     some = signed.where("n > 0")
     total = max(1, some.count())
 
     first = F.min(F.struct("id", "copy", "row"))
-    nodes = stash(some.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.min("keys").alias("keys")).select("node", "first", "size", "keys"))
+    nodes = stash(some.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign")))
     keyed = stash(nodes.select("node", F.posexplode("keys").alias("band", "key")))
     buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stash(join_group_stats(keyed, buckets, ["band", "key"], "members", max(1, keyed.count())).where("least is not null"))
@@ -181,24 +213,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # one text for each node that meets another: its first row
     wanted = nodes.select("node", F.col("first.id").alias("id"), F.col("first.copy").alias("copy")).join(met.select("node").distinct(), "node", "left_semi")
     texts = stash(docs.join(wanted, ["id", "copy"]).select("node", "text").dropDuplicates(["node"]))
-    links = stash(_verify(near, texts, size, least))
-
-    # buckets that still hold several components: every pair across two of them
-    roots = components(links.select("a", "b"))
-    placed = met.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    open_ = stash(placed.join(split, ["band", "key"], "left_semi"))
-    groups = open_.select("band", "key", "root").distinct()
-    sides = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), ["band", "key"]).where("ra < rb")
-    across = sides.join(open_.withColumnsRenamed({"node": "a", "root": "ra"}), ["band", "key", "ra"]).join(open_.withColumnsRenamed({"node": "b", "root": "rb"}), ["band", "key", "rb"])
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = stash(_verify(across, texts, size, least))
-    every = links.unionByName(more)
-    if more.limit(1).count():
+    every = stash(_verify(near, texts, size, least))
+    tested, roots = stash(near), components(every.select("a", "b"))
+
+    def still_open() -> DataFrame:
+        """Members of buckets that hold several components."""
+        placed = met.join(roots, "node", "left").select("band", "key", "node", "members", F.coalesce("root", "node").alias("root"))
+        split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("band", "key", "c")
+        found = join_group_stats(placed, split, ["band", "key"], "c", met_rows)
+        return stash(found.where("c is not null").drop("c"))
+
+    met_rows = max(1, met.count())
+    for turn in range(ROUNDS):
+        members = still_open()
+        if not members.limit(1).count():
+            break
+        picks = [F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)).alias("h"), F.col("node").alias("b"), F.col("root").alias("rb"))) for k in range(PIVOTS)]
+        pivots = members.groupBy("band", "key").agg(F.array_distinct(F.array(*picks)).alias("picks"), F.count(F.lit(1)).alias("c"))
+        pairs = join_group_stats(members, pivots, ["band", "key"], "c", met_rows).select("node", "root", F.explode("picks").alias("p")).where("root <> p.rb")
+        pairs = pairs.select(F.greatest("node", "p.b").alias("a"), F.least("node", "p.b").alias("b")).distinct()
+        pairs = stash(pairs.join(tested, ["a", "b"], "left_anti"))
+        every = stash(every.unionByName(_verify(pairs, texts, size, least)))
+        tested = stash(tested.unionByName(pairs))
         roots = components(every.select("a", "b"))
 
+    members = still_open()
+    if members.limit(1).count():
+        packed = members.join(nodes.select("node", "sign", "keys"), "node")
+        pack = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / F.lit(float(PACK))))
+        packs = stash(packed.groupBy("band", "key", pack.alias("pack")).agg(F.collect_list(F.struct("node", "root", "sign", "keys")).alias("x")))  # about 256 nodes each
+        sides = packs.withColumnsRenamed({"pack": "pa", "x": "a"}).join(packs.withColumnsRenamed({"pack": "pb", "x": "b"}), ["band", "key"]).where("pa <= pb")
+        left = sides.select("band", "a", "b").mapInArrow(_likely(LIKELY), "x binary, y binary")
+        left = left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        more = stash(_verify(left.join(tested, ["a", "b"], "left_anti"), texts, size, least))
+        if more.limit(1).count():
+            every = every.unionByName(more)
+            roots = components(every.select("a", "b"))
+
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = stash(nodes.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left"))
+    named = stash(nodes.drop("keys", "sign").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left"))
     classes = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("parts"))
     placed = join_group_stats(named, classes, ["root"], "parts", total).select("node", "head", "class_size", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = join_group_stats(some.select("node", "id", "copy", "row"), stash(placed), ["node"], "size", total)
