@@ -71,7 +71,7 @@ def _kinds(row: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
     """Distinct items of each row."""
     if not len(row):
         return np.zeros(n, np.int64)
-    both = np.unique((row.astype(np.uint64) << np.uint64(44)) | (ta.mix(item ^ row.astype(np.uint64)) >> np.uint64(20)))
+    both = ta.distinct((row.astype(np.uint64) << np.uint64(44)) | (ta.mix(item ^ row.astype(np.uint64)) >> np.uint64(20)))
     return np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=n)
 
 
@@ -111,9 +111,9 @@ def votes(p: Parsed, lexicon: np.ndarray) -> np.ndarray:
     same = np.zeros(len(p.row), bool)
     same[1:] = (p.row[1:] == p.row[:-1]) & (p.word[1:] == p.word[:-1]) & (p.letters[1:] > 0)
     stutter = share(count(same), words)
-    told = np.isin(items(p), lexicon).any(axis=0) if len(lexicon) else np.zeros(len(p.row), bool)
+    told = ta.among(items(p), lexicon).any(axis=0)
     told = _kinds(p.row[told], p.word[told], n)
-    insult = count(np.isin(p.word, _word_hashes(INSULTS, 3)))
+    insult = count(ta.among(p.word, np.sort(_word_hashes(INSULTS, 3))))
     mean = share(np.bincount(p.row, weights=size, minlength=n), words)
 
     bad = lambda x: np.where(x, -1, 0)
@@ -134,7 +134,7 @@ def features(p: Parsed, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     n = len(p.offsets) - 1
     words = np.maximum(np.bincount(p.row, minlength=n), 1)
     half = np.uint64(CELLS // 2)
-    keys = np.unique(np.concatenate([(p.row.astype(np.uint64) << np.uint64(20)) | (x % half) for x in items(p)]))
+    keys = ta.distinct(np.concatenate([(p.row.astype(np.uint64) << np.uint64(20)) | (x % half) for x in items(p)]))
     r1, c1 = (keys >> np.uint64(20)).astype(np.int64), (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
     case = np.where(p.letters == 0, 0, np.where(p.upper == 0, 1, np.where(p.upper < p.letters, 2, np.where(p.letters > 1, 3, 4)))).astype(np.uint64)
     shape = np.concatenate([(p.row.astype(np.uint64) << np.uint64(20)) | (p.tail % half), (p.row.astype(np.uint64) << np.uint64(20)) | (half - np.uint64(8) + case)])
@@ -221,8 +221,11 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ta.slices(batch, "text"):
             p = parse(part.column("text"))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False)
-            row, item = np.unique(np.stack([np.tile(p.row.astype(np.uint64), 3), items(p).ravel()]), axis=1) if len(p.row) else (np.zeros(0, np.uint64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(toxic[row.astype(np.int64)].astype(np.int32))], ["item", "toxic"])
+            row, item = np.tile(p.row, 3), items(p).ravel()
+            order = np.lexsort((item, row))
+            row, item = row[order], item[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))[: len(row)]
+            yield pa.RecordBatch.from_arrays([pa.array(item[new].view(np.int64)), pa.array(toxic[row[new]].astype(np.int32))], ["item", "toxic"])
 
 
 def told_lexicon(df: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, sample: int, share: float = 0.01, rare: float = 0.005) -> np.ndarray:
@@ -287,7 +290,7 @@ def score_quality(df: DataFrame, labels: DataFrame | None = None, id_col: str =
                 p = parse(part.column(text_col))
                 v = votes(p, m.lexicon)
                 row, cell, value = features(p, v)
-                z = np.bincount(row, weights=m.cells[cell] * value, minlength=part.num_rows) + m.bias
+                z = np.bincount(row, weights=m.cells[cell] * value, minlength=part.num_rows).astype(float) + m.bias
                 score = np.where(np.bincount(p.row, minlength=part.num_rows) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.5)
                 new = [pa.array(score), pa.array(posterior(v, m.accuracy)), pa.array(list(v.astype(np.int32)), pa.list_(pa.int32())), pa.array(score >= least)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])

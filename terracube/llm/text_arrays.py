@@ -99,6 +99,19 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a plain sort."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted list?"""
+    if not len(sorted_values):
+        return np.zeros(x.shape, bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
