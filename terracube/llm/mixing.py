@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -54,7 +53,7 @@ def _quotas(block: int):
 
 
 def _take(block: int, most: int, seed: int):
-    """Words taken of each document of one source's shard."""
+    """Words taken of each document of one source's shard, and which runs of its words beside whole passes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "_tie"], kind="stable", na_position="last")
@@ -76,6 +75,16 @@ def _take(block: int, most: int, seed: int):
 
         end = np.cumsum(size)
         pdf["taken"] = times * size + upto(end) - upto(end - size)
+        # runs of chosen blocks, cut at the documents' edges and counted from a document's first word
+        step = np.diff(np.concatenate([[0], chosen.astype(np.int8), [0]]))
+        lo, hi = edges[np.flatnonzero(step == 1)], edges[np.flatnonzero(step == -1)]
+        a, b = np.searchsorted(hi, end - size, "right"), np.searchsorted(lo, end, "left")
+        n = np.where(size > 0, b - a, 0)
+        doc = np.repeat(np.arange(len(size)), n)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n - a, n)
+        begin = (end - size)[doc]
+        pairs = np.stack([np.maximum(lo[at], begin) - begin, np.minimum(hi[at], end[doc]) - begin], axis=1).ravel()
+        pdf["spans"] = pd.Series([x.tolist() for x in np.split(pairs, 2 * np.cumsum(n)[:-1])], index=pdf.index, dtype=object)
         return pdf
 
     return run
@@ -85,7 +94,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """How many words of each document a weighted mix takes; one row per input row.
 
     Returns ``doc_id``, ``source``, ``text_hash``, ``size`` (words), ``source_size``, ``target`` (words
-    of its source) and ``taken`` (words with repeats). Sources in code-point order, null last, weigh
+    of its source), ``taken`` (words with repeats) and ``spans``: the runs of words of the chosen blocks, beside whole passes,
+    as first word and end in turn. Sources in code-point order, null last, weigh
     ``weights`` in turn. The mix is cut into blocks of ``block`` words: first the sources, then within
     each source its shards get integer quotas by highest quotients, and each shard takes whole passes
     over its words and, for the rest, blocks in a seeded order.
@@ -114,7 +124,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     quotas = by_shard.groupBy("source").applyInPandas(_quotas(block), "source string, _shard int, _words long, source_size long, target double, _blocks long, _quota long")
     # a shard's quota and its documents meet in one group of about 5,000 small rows
     both = sized.withColumn("_tie", F.col("text_hash")).join(quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "source_size", "target", "_quota"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h"))).drop("_s", "_h")
-    out = "doc_id long, source string, text_hash long, size long, _shard int, _tie long, source_size long, target double, _quota long, taken long"
+    out = "doc_id long, source string, text_hash long, size long, _shard int, _tie long, source_size long, target double, _quota long, taken long, spans array<long>"
     return both.groupBy("source", "_shard").applyInPandas(_take(block, most, seed), out).drop("_shard", "_tie", "_quota").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -124,18 +134,20 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def _repeated(text_col: str, names: list[str]):
-    """Whole copies of a text, and for the rest its leading words."""
+    """Whole copies of a text, and for the rest the runs of its words that were chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.slices(batch, text_col):
                 rows, texts = [], []
-                for i, (text, size, taken) in enumerate(zip(*(part.column(c).to_pylist() for c in (text_col, "_size", "_taken")), strict=True)):
+                for i, (text, size, taken, spans) in enumerate(zip(*(part.column(c).to_pylist() for c in (text_col, "_size", "_taken", "_spans")), strict=True)):
                     times, rest = divmod(taken, size)
-                    rows += [i] * (times + (rest > 0))
-                    texts += [text] * times
+                    made = [text] * times
                     if rest:
-                        texts.append(text[: next(islice(_WORD.finditer(text), rest - 1, None)).end()])
+                        words = [m.span() for m in _WORD.finditer(text)]
+                        made += [text[words[a][0] : words[b - 1][1]] for a, b in zip(spans[::2], spans[1::2], strict=True)]
+                    rows += [i] * len(made)
+                    texts += made
                 columns = [pa.array(texts, pa.string()) if c == text_col else part.column(c).take(pa.array(rows, pa.int64())) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -144,8 +156,8 @@ def _repeated(text_col: str, names: list[str]):
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows that the mix of ``mix_sources`` takes, with the columns of ``df``: a row for each whole pass over a text, and
-    one with its leading words for what is left. Rows that repeat an id with its text share one decision."""
+    one for each run of its words in the chosen blocks. Rows that repeat an id with its text share one decision."""
     plan = mix_sources(df, id_col, text_col, source_col, **options).where("taken > 0")
-    plan = plan.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_hash"])
+    plan = plan.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
     keyed = df.withColumns({"_id": F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long"), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(plan, ["_id", "_hash"]).select(*df.columns, "_size", "_taken").mapInArrow(_repeated(text_col, df.columns), df.schema)
+    return keyed.join(plan, ["_id", "_hash"]).select(*df.columns, "_size", "_taken", "_spans").mapInArrow(_repeated(text_col, df.columns), df.schema)

@@ -145,6 +145,29 @@ def test_mix(spark, docs, none, monkeypatch, shards):
     assert all(made[i] == n for i, n in words.items())
 
 
+def test_mix_emits_the_chosen_blocks(spark):
+    sizes = [3 + (i * 37) % 90 for i in range(80)]
+    rows = [(i, "  ".join(f"d{i}w{k}" for k in range(n)), "abc"[i % 3]) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mix_sources(df, block=8, weights=(2, 1, 5)).collect()}
+    made, texts = Counter(), dict((i, t) for i, t, _ in rows)
+    cut = 0
+    for r in mixed_documents(df, block=8, weights=(2, 1, 5)).collect():
+        assert r.text in texts[r.doc_id] and r.text == r.text.strip()
+        cut += r.text != texts[r.doc_id]
+        made.update(r.text.split())
+    assert cut
+    late = 0
+    for source in "abc":
+        words = [w for i, t, s in rows if s == source for w in t.split()]
+        times = min(made[w] for w in words)
+        blocks = [{made[w] for w in words[a : a + 8]} for a in range(0, len(words), 8)]
+        assert all(len(x) == 1 and x <= {times, times + 1} for x in blocks)  # a block is taken whole or not at all
+        late += sum(made[t.split()[-1]] > made[t.split()[0]] for _, t, s in rows if s == source)
+    assert late > 5  # tails without their heads
+    assert all(plan[i].taken == sum(made[w] for w in t.split()) for i, t, _ in rows)
+
+
 # -- 1
 
 
