@@ -17,7 +17,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 ROUNDS, PIVOTS = 2, 6
 PACK = 256
-LIKELY = 0.68
 
 # -- shingles and signatures -------------------------------------------------------------------
 
@@ -94,8 +93,7 @@ def _signed(bands: int, rows: int, size: int):
                     sets = np.stack([s[edges[1:]] - s[edges[:-1]] for s in sums], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
                 nodes = pa.array([x.tobytes() for x in sets], pa.binary())
-                short = [x.tobytes() for x in sign.astype(np.uint32)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), nodes, pa.array(np.diff(edges)), lists, pa.array(short, pa.binary())], ["id", "copy", "node", "n", "keys", "sign"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), nodes, pa.array(np.diff(edges)), lists], ["id", "copy", "node", "n", "keys"])
 
     return run
 
@@ -119,22 +117,43 @@ def _verified(size: int, least: float):
     return run
 
 
-def _linked(likely: float, size: int, least: float):
-    """Links between two packs of one bucket: pairs in different components that meet in no earlier band, whose signatures agree in a
-    share of ``likely`` or more, and whose sets of shingles have the similarity. Two components that one link joined need no second."""
+def _overlap(one: list[np.ndarray], other: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Shared items of each pair of two lists of sets: products of 0/1 tables, ``width`` items at a time."""
+    out = np.zeros((len(one), len(other)), np.int64)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (one, other)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    found = []
+    for item, row in sides:
+        both = ta.among(item, common)
+        column, row = np.searchsorted(common, item[both]), row[both]
+        order = np.argsort(column, kind="stable")
+        found.append((column[order], row[order]))
+    for start in range(0, len(common), width):
+        tables = []
+        for (column, row), n in zip(found, (len(one), len(other)), strict=True):
+            a, b = np.searchsorted(column, [start, start + width])
+            table = np.zeros((n, min(width, len(common) - start)), np.float32)
+            table[row[a:b], column[a:b] - start] = 1
+            tables.append(table)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def _linked(size: int, least: float):
+    """Links between two packs of one bucket: pairs in different components that meet in no earlier band and whose sets of
+    shingles have the similarity. Shared shingles of all such pairs are counted. Two components that one link joined need no second."""
 
     def side(x: pa.StructArray) -> tuple:
         node, root = x.field("node").to_pylist(), x.field("root").to_pylist()
-        sign = np.frombuffer(b"".join(x.field("sign").to_pylist()), np.uint32).reshape(len(node), -1)
         keys = x.field("keys").flatten().to_numpy().reshape(len(node), -1)
         row, item, _ = shingles(*ta.raw(x.field("text")), size)
-        return node, root, sign, keys, np.split(item, np.searchsorted(row, np.arange(1, len(node))))
+        return node, root, keys, np.split(item, np.searchsorted(row, np.arange(1, len(node))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 band = batch.column("band")[i].as_py()
-                (n1, r1, s1, k1, t1), (n2, r2, s2, k2, t2) = (side(batch.column(c)[i].values) for c in "ab")
+                (n1, r1, k1, t1), (n2, r2, k2, t2) = (side(batch.column(c)[i].values) for c in "ab")
                 number = {r: j for j, r in enumerate({*r1, *r2})}
                 top = list(range(len(number)))
 
@@ -144,18 +163,24 @@ def _linked(likely: float, size: int, least: float):
                     return x
 
                 g1, g2 = (np.array([number[r] for r in roots]) for roots in (r1, r2))
-                near = (g1[:, None] != g2[None]) & np.stack([(row == s2).mean(axis=1) >= likely for row in s1])
-                j, k = np.nonzero(near)
+                m1, m2 = (np.array([len(t) for t in items]) for items in (t1, t2))
+                # sets of sizes further apart than the similarity can't have it
+                open_ = (g1[:, None] != g2[None]) & (np.minimum(m1[:, None], m2[None]) >= least * np.maximum(m1[:, None], m2[None]) - 1e-9)
+                share = np.zeros(open_.shape)
+                main = np.bincount(np.concatenate([g1, g2])).argmax()  # nodes of the largest component meet only the others
+                for rows, columns in ((g1 != main, np.ones(len(g2), bool)), (g1 == main, g2 != main)):
+                    part = open_ & rows[:, None] & columns[None]
+                    x, y = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                    if len(x):
+                        both = _overlap([t1[j] for j in x], [t2[k] for k in y])
+                        share[np.ix_(x, y)] = both / np.maximum(1, m1[x][:, None] + m2[y][None] - both)
+                j, k = np.nonzero(open_ & (share >= least - 1e-9))
                 own = (k1[j] == k2[k]).argmax(axis=1) == band
                 out: list[tuple] = []
                 for x, y in zip(j[own].tolist(), k[own].tolist(), strict=True):
                     one, other = find(int(g1[x])), find(int(g2[y]))
-                    if one == other:
-                        continue
-                    both = len(np.intersect1d(t1[x], t2[y], assume_unique=True))
-                    share = both / max(1, len(t1[x]) + len(t2[y]) - both)
-                    if share >= least - 1e-9:
-                        out.append((max(n1[x], n2[y]), min(n1[x], n2[y]), share))
+                    if one != other:
+                        out.append((max(n1[x], n2[y]), min(n1[x], n2[y]), float(share[x, y])))
                         top[one] = other
                 columns = list(zip(*out, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
@@ -210,20 +235,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        still holds several components, with six further nodes of it in each of two rounds. A bucket with thousands of near copies so
        becomes one component at a cost in proportion to its nodes.
     3. What is left are pairs of one bucket in different components. All of them are compared inside tasks, pack by pack of about
-       256 nodes: first by signatures, of which 68 % must agree (texts of equal length with similarity 0.8 agree in 89 %
-       on average, 7 deviations above), then by shingles. Only links leave the task, and no two classes that a link between
+       256 nodes, by counting the shingles that they share. Only links leave the task, and no two classes that a link between
        texts of one bucket joins stay apart.
     Candidates carry only node hashes; texts are joined to the pairs at the end. A null id is the largest id; a null text has no words.
     """
     ids = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(ids.alias("id"), text.alias("text"), F.xxhash64(text).alias("copy"))
-    signed = stash(docs.mapInArrow(_signed(bands, rows, size), "id long, copy long, node binary, n long, keys array<long>, sign binary").withColumn("row", F.monotonically_increasing_id()))
+    signed = stash(docs.mapInArrow(_signed(bands, rows, size), "id long, copy long, node binary, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
     some = signed.where("n > 0")
     total = max(1, some.count())
 
     first = F.min(F.struct("id", "copy", "row"))
-    nodes = stash(some.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign")))
+    nodes = stash(some.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.any_value("keys").alias("keys")))
     keyed = stash(nodes.select("node", F.posexplode("keys").alias("band", "key")))
     buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stash(join_group_stats(keyed, buckets, ["band", "key"], "members", max(1, keyed.count())).where("least is not null"))
@@ -258,17 +282,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     members = still_open()
     if members.limit(1).count():
-        packed = members.join(nodes.select("node", "sign", "keys"), "node").join(texts, "node")
+        packed = members.join(nodes.select("node", "keys"), "node").join(texts, "node")
         pack = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / F.lit(float(PACK))))
-        packs = packed.groupBy("band", "key", pack.alias("pack")).agg(F.collect_list(F.struct("node", "root", "sign", "keys", "text")).alias("x"))  # about 256 nodes each
+        packs = packed.groupBy("band", "key", pack.alias("pack")).agg(F.collect_list(F.struct("node", "root", "keys", "text")).alias("x"))  # about 256 nodes each
         sides = packs.withColumnsRenamed({"pack": "pa", "x": "a"}).join(packs.withColumnsRenamed({"pack": "pb", "x": "b"}), ["band", "key"]).where("pa <= pb")
-        more = stash(sides.select("band", "a", "b").mapInArrow(_linked(LIKELY, size, least), "a binary, b binary, similarity double"))
+        more = stash(sides.select("band", "a", "b").mapInArrow(_linked(size, least), "a binary, b binary, similarity double"))
         if more.limit(1).count():
             every = every.unionByName(more)
             roots = components(every.select("a", "b"))
 
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = stash(nodes.drop("keys", "sign").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left"))
+    named = stash(nodes.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left"))
     classes = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("parts"))
     placed = join_group_stats(named, classes, ["root"], "parts", total).select("node", "head", "class_size", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = join_group_stats(some.select("node", "id", "copy", "row"), stash(placed), ["node"], "size", total)

@@ -215,6 +215,29 @@ def test_near(spark, docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def near_pairs(names, changed):
+    """Pairs of texts of 90 shingles whose last ``changed`` words differ: similarity (90 - changed) / (90 + changed)."""
+    out = []
+    for g in names:
+        base = [f"p{g}x{changed}w{k}" for k in range(94)]
+        out += [" ".join(base), " ".join([*base[: 94 - changed], *(f"{w}q" for w in base[94 - changed :])])]
+    return out
+
+
+def test_what_is_left_of_buckets_is_compared_exactly(spark, monkeypatch):
+    from terracube.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "_verify", lambda pairs, *_: pairs.withColumn("similarity", F.lit(1.0)).where("false"))
+    low = (3157, 3755, 4411, 4447, 4478, 4527, 5360)  # of 6,000 pairs of similarity 0.8, those whose signatures agree least
+    texts = [t for changed, names in ((10, low), (10, range(100)), (9, range(100)), (11, range(100))) for t in near_pairs(names, changed)]  # 0.8, 0.8, 0.818, 0.782
+    row, item, _ = near_dedup.shingles(*ta.raw(pa.array(texts[:14])))
+    sign = prob_min_hash(row, item, np.ones(len(item)), 14, 120)
+    assert ((sign[::2] == sign[1::2]).mean(axis=1) < 0.68).all()
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 if i < 414 else i for i in range(614)}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     w = rng.integers(1, 5, (2, 400)).astype(float)
