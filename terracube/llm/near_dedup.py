@@ -80,9 +80,10 @@ def _signed(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.slices(batch, "text"):
-                row, item, times = shingles(*ta.raw(part.column("text")), size)
+                row, item, _ = shingles(*ta.raw(part.column("text")), size)
                 n = part.num_rows
-                sign = prob_min_hash(row, item, times.astype(float), n, bands * rows)
+                # links are defined on sets: with weight 1 for each shingle two places agree with the sets' Jaccard similarity
+                sign = prob_min_hash(row, item, np.ones(len(item)), n, bands * rows)
                 key = np.zeros((n, bands), np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(rows):
@@ -230,7 +231,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     connected components, named by their smallest id, whose row is kept (of repeated rows, one).
     ``n_links`` counts the links of a row's set of shingles to other sets that were verified; a link inside a class may not be.
 
-    1. Rows with one set of shingles become one node; rows without words are classes of their own.
+    1. Rows with one set of shingles become one node; rows without words are classes of their own. Signatures weigh each distinct
+       shingle 1, however often a text repeats it; two sets of similarity 0.8 meet in no band with a chance of 7e-5.
     2. Nodes that agree in a band meet in a bucket and are compared with the bucket's least node, then, where a bucket
        still holds several components, with six further nodes of it in each of two rounds. A bucket with thousands of near copies so
        becomes one component at a cost in proportion to its nodes.

@@ -224,6 +224,15 @@ def near_pairs(names, changed):
     return out
 
 
+def test_repeated_passages_do_not_hide_a_link(spark):
+    rows = []
+    for g in range(40):
+        base = [f"r{g}w{k}" for k in range(104)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:40] + base[20:40] * 50 + base[40:]))]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 2 * (i // 2) for i in range(80)} and dict(brute_classes(rows)) == got
+
+
 def test_what_is_left_of_buckets_is_compared_exactly(spark, monkeypatch):
     from terracube.llm import near_dedup
 
