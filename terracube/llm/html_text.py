@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +29,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that ends an open paragraph or item of the same kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Steps of a path that a block shows: the outermost ones and the innermost. All open tags are kept for matching end tags.
+MOST_PATH = 64
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The leaf blocks of a page with text: path of tags and names, text, characters inside links."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     path: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     links = in_link = 0
 
@@ -42,10 +46,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((tuple(x for _, x in path), whole, links))
+                out.append((tuple(x for _, x in (path if len(path) <= MOST_PATH else [*path[: MOST_PATH - 1], path[-1]])), whole, links))
             text.clear()
         links = 0
 
+    def leave() -> str:
+        tag = path.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     for m in _TOKEN.finditer(page):
         if (t := m["text"]) is not None:
             text.append(t)
@@ -68,17 +77,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         end_block()
         in_link = 0
         if m["end"]:
-            at = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag), None)
-            if at is not None:
-                del path[at:]
+            while opened[tag] and leave() != tag:
+                pass
             continue
         if path and path[-1][0] == "p":
-            path.pop()
+            leave()
         while path and path[-1][0] in CLOSES.get(tag, ()):
-            path.pop()
+            leave()
         names = " ".join(next(filter(None, x), "") for x in _NAMED.findall(m["rest"])) if m["rest"] else ""
-        if len(path) < 64:
-            path.append((tag, f"{tag} {names.lower()}" if names else tag))
+        path.append((tag, f"{tag} {names.lower()}" if names else tag))
+        opened[tag] += 1
     end_block()
     return out
 

@@ -397,6 +397,14 @@ def test_pages(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+def test_end_tags_of_deep_parts_close_their_own():
+    for deep in (10, 64, 70, 500):
+        page = "<body><div class='content'><article>" + "<div>" * deep + "<p>Deep.</p>" + "</div>" * deep + "<p>After.</p></article></div><p>Out.</p></body>"
+        found = {t: path for path, t, _ in html_text.blocks(page)}
+        assert found["After."] == ("body", "div content", "article", "p") and found["Out."] == ("body", "p")
+        assert len(found["Deep."]) == min(64, deep + 4) and found["Deep."][-1] == "p"
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4, 3, html_text.WIDTH))
