@@ -112,28 +112,69 @@ def among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Base of all running polynomials: an odd number; a seed changes the bytes' values, so that one table of powers serves all hashes.
+_BASE = int(mix(np.uint64(77)).item()) | 1
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    kept = _POWERS.get(base)
-    if kept is None or len(kept[0]) < n:
-        made = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            out = np.full(max(n, SLICE_BYTES), factor, np.uint64)
-            out[0] = 1
-            made.append(np.multiply.accumulate(out))
-        kept = made[0], made[1]
-        if n <= 4 * SLICE_BYTES:
-            _POWERS[base] = kept
-    return kept
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; those for usual slices are kept."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.full(max(n, SLICE_BYTES + 1), factor, np.uint64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out))
+    if n <= 2 * SLICE_BYTES + 1:
+        _POWERS[:] = made
+    return made
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: differences of one running polynomial over the batch."""
     table = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed))
-    base = int(mix(np.uint64(77 + seed)).item()) | 1
-    up, down = _powers(base, len(data) + 1)
+    up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)])
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+class Index:
+    """Numbers distinct 64-bit keys in the order in which they come; an open table of twice as many places, probed for whole arrays."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys, self.size = np.zeros(1024, np.uint64), 0
+        self._table = np.full(2048, -1, np.int32)
+        if keys is not None:
+            self.add(keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that are not there."""
+        mask = np.uint64(len(self._table) - 1)
+        at = (keys & mask).astype(np.int64)
+        out = self._table[at]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & int(mask)
+            out[wrong] = found = self._table[at[wrong]]
+            wrong = wrong[(found >= 0) & (self.keys[found] != keys[wrong])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Take in distinct keys that are not there yet."""
+        total = self.size + len(keys)
+        if total > len(self.keys):
+            self.keys = np.concatenate([self.keys[: self.size], np.zeros(max(total, 2 * len(self.keys)) - self.size, np.uint64)])
+        self.keys[self.size : total] = keys
+        new = np.arange(self.size, total, dtype=np.int32)
+        if 2 * total > len(self._table):
+            self._table = np.full(1 << int(2 * total).bit_length(), -1, np.int32)
+            new = np.arange(total, dtype=np.int32)
+        self.size, mask = total, len(self._table) - 1
+        at = (self.keys[new] & np.uint64(mask)).astype(np.int64)
+        while len(new):
+            free = self._table[at] < 0
+            self._table[at[free]] = new[free]
+            left = self._table[at] != new
+            new, at = new[left], (at[left] + 1) & mask
