@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .shared import NO_ID, join_group_stats, stash
+from .shared import NO_ID, hot_keys, join_group_stats, salted_join, stash
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 ROUNDS, PIVOTS = 2, 6
-PACK = 256
+PACK_SHINGLES = 100_000
 
 # -- shingles and signatures -------------------------------------------------------------------
 
@@ -88,6 +88,7 @@ def _signed(bands: int, rows: int, size: int):
                 with np.errstate(over="ignore"):
                     for k in range(rows):
                         key = ta.mix(key * np.uint64(5) + sign[:, k::rows] + np.uint64(k))
+                    key = ta.mix(key + np.arange(bands, dtype=np.uint64))  # bands share no key
                     # two sums over the set of shingles: rows with one set are one text to this operator
                     edges = np.searchsorted(row, np.arange(n + 1))
                     sums = [np.concatenate([[np.uint64(0)], np.cumsum(ta.mix(item ^ np.uint64(s)), dtype=np.uint64)]) for s in (101, 202)]
@@ -100,7 +101,7 @@ def _signed(bands: int, rows: int, size: int):
 
 
 def _verified(size: int, least: float):
-    """Pairs whose sets of shingles have a Jaccard similarity of ``least`` or more, from both texts."""
+    """Pairs whose sets of shingles have a Jaccard similarity of ``least`` or more, from both texts; all columns but the texts stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +112,7 @@ def _verified(size: int, least: float):
                 both = np.isin(keys[0], keys[1], assume_unique=True)
                 shared = np.bincount(one[0][both], minlength=n)
                 union = np.bincount(one[0], minlength=n) + np.bincount(other[0], minlength=n) - shared
-                near = shared >= least * union - 1e-9
-                keep = pa.array(near)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array((shared / np.maximum(union, 1))[near])], ["a", "b", "similarity"])
+                yield part.drop_columns(["text_a", "text_b"]).filter(pa.array(shared >= least * union - 1e-9))
 
     return run
 
@@ -141,50 +140,29 @@ def _overlap(one: list[np.ndarray], other: list[np.ndarray], width: int = 4096)
 
 
 def _linked(size: int, least: float):
-    """Links between two packs of one bucket: pairs in different components that meet in no earlier band and whose sets of
-    shingles have the similarity. Shared shingles of all such pairs are counted. Two components that one link joined need no second."""
+    """Links between two packs of one bucket, as pairs of components. Shared shingles of all pairs of nodes in different components
+    are counted; two components that one link has joined need no second."""
 
     def side(x: pa.StructArray) -> tuple:
-        node, root = x.field("node").to_pylist(), x.field("root").to_pylist()
-        keys = x.field("keys").flatten().to_numpy().reshape(len(node), -1)
+        root = x.field("root").to_numpy()
         row, item, _ = shingles(*ta.raw(x.field("text")), size)
-        return node, root, keys, np.split(item, np.searchsorted(row, np.arange(1, len(node))))
+        return root, np.split(item, np.searchsorted(row, np.arange(1, len(root))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                band = batch.column("band")[i].as_py()
-                (n1, r1, k1, t1), (n2, r2, k2, t2) = (side(batch.column(c)[i].values) for c in "ab")
-                number = {r: j for j, r in enumerate({*r1, *r2})}
-                top = list(range(len(number)))
-
-                def find(x: int, top: list[int] = top) -> int:
-                    while top[x] != x:
-                        top[x] = x = top[top[x]]
-                    return x
-
-                g1, g2 = (np.array([number[r] for r in roots]) for roots in (r1, r2))
+                (g1, t1), (g2, t2) = (side(batch.column(c)[i].values) for c in "ab")
                 m1, m2 = (np.array([len(t) for t in items]) for items in (t1, t2))
                 # sets of sizes further apart than the similarity can't have it
                 open_ = (g1[:, None] != g2[None]) & (np.minimum(m1[:, None], m2[None]) >= least * np.maximum(m1[:, None], m2[None]) - 1e-9)
-                share = np.zeros(open_.shape)
-                main = np.bincount(np.concatenate([g1, g2])).argmax()  # nodes of the largest component meet only the others
-                for rows, columns in ((g1 != main, np.ones(len(g2), bool)), (g1 == main, g2 != main)):
-                    part = open_ & rows[:, None] & columns[None]
-                    x, y = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
-                    if len(x):
-                        both = _overlap([t1[j] for j in x], [t2[k] for k in y])
-                        share[np.ix_(x, y)] = both / np.maximum(1, m1[x][:, None] + m2[y][None] - both)
-                j, k = np.nonzero(open_ & (share >= least - 1e-9))
-                own = (k1[j] == k2[k]).argmax(axis=1) == band
-                out: list[tuple] = []
-                for x, y in zip(j[own].tolist(), k[own].tolist(), strict=True):
-                    one, other = find(int(g1[x])), find(int(g2[y]))
-                    if one != other:
-                        out.append((max(n1[x], n2[y]), min(n1[x], n2[y]), float(share[x, y])))
-                        top[one] = other
-                columns = list(zip(*out, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
+                x, y = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                links = np.zeros((0, 2), np.int64)
+                if len(x):
+                    both = _overlap([t1[j] for j in x], [t2[k] for k in y])
+                    near = open_[np.ix_(x, y)] & (both >= least * (m1[x][:, None] + m2[y][None] - both) - 1e-9)
+                    j, k = np.nonzero(near)
+                    links = np.unique(np.stack([g1[x[j]], g2[y[k]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     return run
 
@@ -192,54 +170,98 @@ def _linked(size: int, least: float):
 # -- classes -----------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Label of each node that has an edge: the least node it is connected to. Edges are (a, b).
 
-    Alternates large-star and small-star steps, each written to the shared folder; the number of
+    Alternates large-star and small-star steps, each written to the shared folder, until a step changes nothing; the number of
     steps grows with the logarithm of the longest path.
     """
     now = stash(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(most):
-        total = max(1, 2 * now.count())
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        seen = state
         # large star: what is larger than a node goes to the least of the node and its neighbours
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        large = join_group_stats(both, least, ["u"], "c", total).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = join_group_stats(both, least, ["u"], "c", 2 * state[0], "inner").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the least of them
         small = large.groupBy("v").agg(F.min("u").alias("m"))
-        next_ = large.join(small, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = stash(next_)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        ends = F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))
+        now = stash(large.join(small, "v").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Attach both texts to the pairs and keep the near ones."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(size, least), "a binary, b binary, similarity double")
+    """The pairs (a, b, and other columns) whose texts are near. Many pairs may share one ``b``: their rows are spread."""
+    hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), ["b"], "c", max(1, pairs.count()))
+    one = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
+    both = salted_join(one, texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), ["b"], hot)
+    return both.select(*pairs.columns, "text_a", "text_b").mapInArrow(_verified(size, least), pairs.schema)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots (v, root) after components that are linked (a, b) have become one."""
+    new = components(links).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    joined = salted_join(roots, new, ["root"], hot_keys(sizes, ["root"], "c", max(1, roots.count())), "left")
+    return stash(joined.select("v", F.coalesce("new", "root").alias("root")))
+
+
+def _still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, v) of buckets that hold several components, with their roots."""
+    placed = stash(members.select("key", "v").join(roots, "v"))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", "c")
+    return stash(join_group_stats(placed, stash(split), ["key"], "c", max(1, placed.count()), "inner"))
+
+
+def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each member of an open bucket with those of ``PIVOTS`` nodes of the bucket that lie in other components."""
+    picks = [F.min(F.struct(F.xxhash64("v", F.lit(turn * PIVOTS + k)).alias("h"), F.col("v").alias("b"), F.col("root").alias("rb"))) for k in range(PIVOTS)]
+    pivots = stash(members.groupBy("key").agg(F.array(*picks).alias("picks"), F.count(F.lit(1)).alias("n")))
+    total = max(1, members.count())
+    pairs = salted_join(members, pivots, ["key"], hot_keys(pivots, ["key"], "n", total)).select("v", "root", F.explode("picks").alias("p")).where("root <> p.rb")
+    return stash(pairs.select(F.col("v").alias("a"), F.col("p.b").alias("b"), F.col("root").alias("ra"), F.col("p.rb").alias("rb")).distinct())
+
+
+def _pack_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (a, b) between components that still share a bucket, from all pairs of nodes in different ones.
+
+    In each bucket the largest component is compared with the others only, these also with each other. Nodes are packed by hash, about
+    ``PACK_SHINGLES`` shingles to a pack; each pair of packs is a row of its own (bucket, pack, pack), so that large buckets are spread.
+    """
+    sized = stash(members.select("key", "v", "root").join(nodes.select("v", "n"), "v"))
+    roots = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    pack_count = lambda s: F.greatest(F.lit(1), F.ceil(s / F.lit(float(PACK_SHINGLES))))
+    buckets = roots.groupBy("key").agg(F.max(F.struct("c", "root", "s")).alias("main"), F.sum("s").alias("s"), F.sum("c").alias("c"))
+    buckets = stash(buckets.select("key", "c", F.col("main.root").alias("main"), pack_count(F.col("s") - F.col("main.s")).alias("others"), pack_count(F.col("main.s")).alias("mains")))
+    marked = join_group_stats(sized, buckets, ["key"], "c", max(1, sized.count()), "inner")
+    # the packs of the other components come first: 0 .. others - 1
+    h, is_main = F.xxhash64("v", F.lit(7)), F.col("root") == F.col("main")
+    marked = marked.withColumn("pack", F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))))
+    packs = marked.join(texts, "v").groupBy("key", "pack").agg(F.collect_list(F.struct("root", "text")).alias("x"), F.any_value("others").alias("others"), F.any_value("mains").alias("mains"))
+    packs = stash(packs)
+    sides = packs.where("pack < others").select("key", F.col("x").alias("a"), F.explode(F.sequence(F.col("pack"), F.col("others") + F.col("mains") - 1)).alias("pack"))
+    return stash(sides.join(packs.select("key", "pack", F.col("x").alias("b")), ["key", "pack"]).select("a", "b").mapInArrow(_linked(size, least), "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Classes of near duplicates: one row per input row with ``id_col``, ``class_id``, ``class_size``, ``n_links``, ``kept``.
+    """Classes of near duplicates: one row per input row with ``id_col``, ``text_hash``, ``class_id``, ``class_size``, ``kept``.
 
     Two texts are linked if their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more; classes are the
     connected components, named by their smallest id, whose row is kept (of repeated rows, one).
-    ``n_links`` counts the links of a row's set of shingles to other sets that were verified; a link inside a class may not be.
 
     1. Rows with one set of shingles become one node; rows without words are classes of their own. Signatures weigh each distinct
-       shingle 1, however often a text repeats it; two sets of similarity 0.8 meet in no band with a chance of 7e-5.
+       shingle 1, however often a text repeats it, so that they estimate the similarity that is verified; two sets of similarity 0.8 meet in
+       no band with a chance of 7e-5.
     2. Nodes that agree in a band meet in a bucket and are compared with the bucket's least node, then, where a bucket
        still holds several components, with six further nodes of it in each of two rounds. A bucket with thousands of near copies so
        becomes one component at a cost in proportion to its nodes.
-    3. What is left are pairs of one bucket in different components. All of them are compared inside tasks, pack by pack of about
-       256 nodes, by counting the shingles that they share. Only links leave the task, and no two classes that a link between
-       texts of one bucket joins stay apart.
-    Candidates carry only node hashes; texts are joined to the pairs at the end. A null id is the largest id; a null text has no words.
+    3. What is left are pairs of one bucket in different components. All of them are compared inside tasks, pack by pack, by counting the
+       shingles that they share. Only links leave the task, and no two classes that a link between texts of one bucket joins stay apart.
+    Candidates carry node numbers only; texts are joined to the pairs at the end, and hot keys of every join are spread. A null id is the largest
+    id; a null text has no words; columns other than the two named are not read, whatever their names; an empty table gives no rows.
     """
     ids = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -248,62 +270,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = signed.where("n > 0")
     total = max(1, some.count())
 
-    first = F.min(F.struct("id", "copy", "row"))
-    nodes = stash(some.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("size"), F.any_value("keys").alias("keys")))
-    keyed = stash(nodes.select("node", F.posexplode("keys").alias("band", "key")))
-    buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stash(join_group_stats(keyed, buckets, ["band", "key"], "members", max(1, keyed.count())).where("least is not null"))
-    near = met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    nodes = some.groupBy("node").agg(F.min(F.struct("id", "copy", "row")).alias("first"), F.count(F.lit(1)).alias("size"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    nodes = stash(nodes.withColumn("v", F.monotonically_increasing_id()))
+    keyed = nodes.select("v", F.explode("keys").alias("key"))
+    buckets = stash(keyed.groupBy("key").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    met = stash(join_group_stats(keyed, buckets, ["key"], "members", total * bands, "inner"))
 
     # one text for each node that meets another: its first row
-    wanted = nodes.select("node", F.col("first.id").alias("id"), F.col("first.copy").alias("copy")).join(met.select("node").distinct(), "node", "left_semi")
-    texts = stash(docs.join(wanted, ["id", "copy"]).select("node", "text").dropDuplicates(["node"]))
-    every = stash(_verify(near, texts, size, least))
-    tested, roots = stash(near), components(every.select("a", "b"))
-
-    def still_open() -> DataFrame:
-        """Members of buckets that hold several components."""
-        placed = met.join(roots, "node", "left").select("band", "key", "node", "members", F.coalesce("root", "node").alias("root"))
-        split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("band", "key", "c")
-        found = join_group_stats(placed, split, ["band", "key"], "c", met_rows)
-        return stash(found.where("c is not null").drop("c"))
-
-    met_rows = max(1, met.count())
+    wanted = nodes.select("v", F.col("first.id").alias("id"), F.col("first.copy").alias("copy")).join(met.select("v").distinct(), "v", "left_semi")
+    texts = stash(docs.join(wanted, ["id", "copy"]).select("v", "text").dropDuplicates(["v"]))
+    near = stash(met.where("v <> least").select(F.col("v").alias("a"), F.col("least").alias("b")).distinct())
+    links = components(stash(_verify(near, texts, size, least)))
+    roots = stash(texts.select("v").join(links.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("root")))
+
+    members = _still_open(met, roots)
     for turn in range(ROUNDS):
-        members = still_open()
-        if not members.limit(1).count():
+        if members.isEmpty():
             break
-        picks = [F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)).alias("h"), F.col("node").alias("b"), F.col("root").alias("rb"))) for k in range(PIVOTS)]
-        pivots = members.groupBy("band", "key").agg(F.array_distinct(F.array(*picks)).alias("picks"), F.count(F.lit(1)).alias("c"))
-        pairs = join_group_stats(members, pivots, ["band", "key"], "c", met_rows).select("node", "root", F.explode("picks").alias("p")).where("root <> p.rb")
-        pairs = pairs.select(F.greatest("node", "p.b").alias("a"), F.least("node", "p.b").alias("b")).distinct()
-        pairs = stash(pairs.join(tested, ["a", "b"], "left_anti"))
-        every = stash(every.unionByName(_verify(pairs, texts, size, least)))
-        tested = stash(tested.unionByName(pairs))
-        roots = components(every.select("a", "b"))
-
-    members = still_open()
-    if members.limit(1).count():
-        packed = members.join(nodes.select("node", "keys"), "node").join(texts, "node")
-        pack = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("members") / F.lit(float(PACK))))
-        packs = packed.groupBy("band", "key", pack.alias("pack")).agg(F.collect_list(F.struct("node", "root", "keys", "text")).alias("x"))  # about 256 nodes each
-        sides = packs.withColumnsRenamed({"pack": "pa", "x": "a"}).join(packs.withColumnsRenamed({"pack": "pb", "x": "b"}), ["band", "key"]).where("pa <= pb")
-        more = stash(sides.select("band", "a", "b").mapInArrow(_linked(size, least), "a binary, b binary, similarity double"))
-        if more.limit(1).count():
-            every = every.unionByName(more)
-            roots = components(every.select("a", "b"))
-
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = stash(nodes.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left"))
-    classes = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("parts"))
-    placed = join_group_stats(named, classes, ["root"], "parts", total).select("node", "head", "class_size", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = join_group_stats(some.select("node", "id", "copy", "row"), stash(placed), ["node"], "size", total)
-    out = out.select("id", "copy", F.col("head.id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("head.row")).alias("kept"))
-    alone = signed.where("n = 0").select("id", "copy", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+        linked = stash(_verify(_pivot_pairs(members, turn), texts, size, least).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        roots = _merged(roots, linked)
+        members = _still_open(members, roots)
+    if not members.isEmpty():
+        roots = _merged(roots, _pack_links(members, nodes, texts, size, least).distinct())
+
+    named = stash(nodes.select("v", "node", "first", "size").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
+    classes = stash(named.groupBy("root").agg(F.min("first").alias("head"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("parts")))
+    placed = stash(join_group_stats(named.select("node", "root", "size"), classes, ["root"], "parts", total).select("node", "head", "class_size", "size"))
+    out = join_group_stats(some.select("node", "id", "copy", "row"), placed, ["node"], "size", total)
+    out = out.select("id", "copy", F.col("head.id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
+    alone = signed.where("n = 0").select("id", "copy", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return out.unionByName(alone).select(real("id").alias(id_col), F.col("copy").alias("text_hash"), real("class_id").alias("class_id"), "class_size", "n_links", "kept")
+    return out.unionByName(alone).select(real("id").alias(id_col), F.col("copy").alias("text_hash"), real("class_id").alias("class_id"), "class_size", "kept")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")

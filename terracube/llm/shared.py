@@ -35,14 +35,24 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str, total: int, share: int = 2000) -> DataFrame:
-    """Left join ``rows`` to one row of ``stats`` a key, however uneven the keys are.
+def hot_keys(stats: DataFrame, keys: list[str], size: str, total: int, share: int = 2000) -> list[int]:
+    """Hashes of the keys that hold more than ``total / share`` rows: fewer than ``share`` of them. ``stats`` has one row a key and its rows in ``size``."""
+    hot = stats.where(F.col(size) * F.lit(share) > F.lit(total)).select(F.xxhash64(*keys).alias("h"))
+    return [r["h"] for r in hot.collect()]
 
-    A key with more than ``total / share`` rows is hot. There are fewer than ``share`` such keys, so
-    their statistics are broadcast and their rows stay where they are; the other keys hold at most
-    ``total / share`` rows each and are joined by an ordinary shuffle. ``keys`` must not be null.
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[int], how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join ``rows`` to a table with one row a key, however uneven the keys of ``rows`` are.
+
+    Rows of the ``hot`` keys (see `hot_keys`) are spread by a hash of all their columns over ``salts`` parts, and the table's few rows of
+    these keys are repeated for each part. A hash of the row, not a random number, so that a task that runs twice deals alike.
     """
-    is_hot = F.col(size) * F.lit(share) > F.lit(total)
-    hot = F.broadcast(stats.where(is_hot))
-    rest = rows.join(F.broadcast(stats.where(is_hot).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys, "inner").unionByName(rest.join(stats.where(~is_hot), keys, "left"))
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.xxhash64(*keys).isNull()  # a hash is never null
+    spread = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """Join ``rows`` to statistics of their groups; ``size`` is a group's number of rows, ``total`` that of all. ``keys`` must not be null."""
+    return salted_join(rows, stats, keys, hot_keys(stats, keys, size, total), how)
