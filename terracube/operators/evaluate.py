@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracube.functions import metrics as m
+from terracube.operators.grid import running_sum
 
 
 def skill(df: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] = tuple(m.METRICS), true: str = "y_true", pred: str = "y_pred", nulls: str = "drop", valid: str | None = None) -> DataFrame:
@@ -39,14 +40,15 @@ def average_rank(x: str, keys: Sequence[str]) -> Column:
 def spearman(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """Rank correlation of each group, over pairs with both sides.
 
-    Ranks come from counts of distinct values: the rows below a value within its group. Without keys, or for a very large group,
-    the windows run over distinct values, not over rows.
+    Ranks come from counts of distinct values: the rows below a value within its group. The counts are sorted by range over all tasks and
+    summed up range by range, so a large group, or the whole table without keys, is in no single task.
     """
+    keys = list(keys)
     pairs = df.where(F.col(true).isNotNull() & F.col(pred).isNotNull())
     for column in (true, pred):
         counts = pairs.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
-        w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(*keys, column, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)).alias(f"_r_{column}"))
+        below = running_sum(counts, keys, column, F.col("_c"), "_below")
+        ranks = below.select(*keys, column, (F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)).alias(f"_r_{column}"))
         pairs = pairs.join(ranks, [*keys, column])
     return pairs.groupBy(*keys).agg(m.pearson(F.col(f"_r_{true}"), F.col(f"_r_{pred}")).alias("spearman"))
 
@@ -55,7 +57,7 @@ def spaef(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str =
     """Spatial efficiency of each slice: correlation, ratio of deviations, overlap of histograms.
 
     Each series is cut into ``bins`` between its own least and greatest value, so the overlap compares bins by number;
-    with ``unit_range`` both are cut between 0 and 1 and other values aren't counted. A series of one value fills the range around it.
+    with ``unit_range`` both are cut between 0 and 1 and other values aren't counted. A series of one value lies in the middle bin.
     """
     o, p = m.pair(F.col(true), F.col(pred))
     pairs = df.select(*keys, o.alias("o"), p.alias("p")).where("o is not null")
@@ -65,9 +67,7 @@ def spaef(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str =
         if unit_range:
             return F.when((F.col(c) >= 0) & (F.col(c) <= 1), F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)))
         lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
-        flat = lo == hi
-        lo, hi = F.when(flat, lo - 1).otherwise(lo), F.when(flat, hi + 1).otherwise(hi)
-        return F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        return F.when(lo == hi, F.lit(bins // 2)).otherwise(F.least(F.floor(F.try_divide(F.col(c) - lo, hi - lo) * bins), F.lit(bins - 1)))
 
     both = pairs if unit_range else pairs.join(stats.select(*keys, *[f"{n}_{c}" for c in "op" for n in ("lo", "hi")]), list(keys))
     long = both.select(*keys, F.explode(F.array(F.struct(F.lit("o").alias("side"), bin_of("o").alias("bin")), F.struct(F.lit("p").alias("side"), bin_of("p").alias("bin")))).alias("x")).select(*keys, "x.side", "x.bin").where("bin is not null")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terracube.operators.grid import dense_index, running_sum
+
 PRIME = 2147483647
 
 
@@ -28,11 +30,19 @@ def _first(keys: DataFrame, key: str, n: Column | int, seed: int, groups: Sequen
 def sample_keys(df: DataFrame, key: str, fraction: float | None = None, count: int | None = None, seed: int = 0) -> DataFrame:
     """Exactly int(n * fraction), or ``count``, of the n distinct keys, without replacement.
 
-    The smallest hashes win: a top-k, which Spark takes from each partition before it sorts what is left.
+    The smallest hashes win. Keys are counted by steps of their hash (4,096 at most); whole steps are taken by a plain filter, and only
+    the keys of the step where the sample ends are sorted.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    size = int(keys.count() * fraction + 1e-9) if count is None else count
-    return keys.orderBy(seeded_hash(F.col(key), seed), key).limit(size)
+    step = F.shiftright(seeded_hash(F.col(key), seed), 19)
+    found = sorted((r["step"], r["n"]) for r in keys.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
+    size = int(sum(n for _, n in found) * fraction + 1e-9) if count is None else count
+    for last, n in found:
+        if n > size:
+            border = keys.where(step == last).orderBy(seeded_hash(F.col(key), seed), key).limit(size)
+            return keys.where(step < last).unionByName(border)
+        size -= n
+    return keys
 
 
 def downsample(df: DataFrame, cell: str | None = "cell_id", t_i: str | None = "t_i", cell_fraction: float = 1.0, time_fraction: float = 1.0, seed: int = 0) -> DataFrame:
@@ -58,14 +68,13 @@ def sample_cubelets(catalogue: DataFrame, space_fraction: float, time_fraction:
 def with_replacement(df: DataFrame, fraction: float, key: str, group: str | None = None, seed: int = 0) -> DataFrame:
     """int(n * fraction) draws with replacement from each group (or from all rows), numbered by ``draw``.
 
-    Draw i of a group takes the row at position hash(i, group) modulo n, in the order of ``key``.
+    Draw i of a group takes the row at position hash(i, group) modulo n, in the order of ``key``. Positions are counted range by range, so
+    that no task sorts a whole group.
     """
     groups = [group] if group else []
     if group:
-        ranked = df.withColumn("_pos", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
+        ranked = running_sum(df, groups, key, F.lit(1), "_pos")
     else:
-        from terracube.operators.grid import dense_index
-
         ranked = df.join(dense_index(df, key, "_pos"), key)
     sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.withColumn("_k", F.floor(F.col("_n") * F.lit(fraction) + F.lit(1e-9)).cast("long")).where("_k > 0")

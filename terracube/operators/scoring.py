@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +28,40 @@ def score_sequences(sequences: DataFrame, model: Model, x: str, keys: Sequence[s
     return sequences.select(*keys, x).mapInPandas(run, schema)
 
 
+def _series_of(df: DataFrame, keys: Sequence[str], t: str, features: Sequence[str]) -> DataFrame:
+    """One row a series: its steps and features in the order of time."""
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]))).alias("s"))
+
+
+def _cubes(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Series of equal length together: their rows, the places of their steps, and [series, steps, features]."""
+    lists = batch.column("s")
+    edges, steps = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+    values = np.stack([steps.field(f"f{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(n)], axis=1)
+    sizes = np.diff(edges)
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        at = edges[own][:, None] + np.arange(size)
+        yield own, at, values[at]
+
+
 def score_series(df: DataFrame, model: Model, features: Sequence[str], keys: Sequence[str] = ("cell_id",), t: str = "t_i", output: str = "y_hat") -> DataFrame:
-    """Predictions for each step of each cell's series; a group is one cell (or one cell and sample)."""
+    """Predictions for each step of each cell's series. Series are gathered as arrays, and those of equal length in an Arrow batch go to the model
+    together."""
+    keys, n = list(keys), len(features)
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, t]), f"`{output}` double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        y = model(pdf[list(features)].to_numpy(float)[None])[0, :, 0]
-        return pdf[[*keys, t]].assign(**{output: y})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("s")
+            steps = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            y = np.zeros(len(steps))
+            for _, at, x in _cubes(batch, n):
+                y[at] = model(x)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in keys), steps.field(t), pa.array(y)], [*keys, t, output])
 
-    return df.select(*keys, t, *features).groupBy(*keys).applyInPandas(run, schema)
+    return _series_of(df, keys, t, features).mapInArrow(run, schema)
 
 
 def score_cubelets(members: DataFrame, model: Callable[[np.ndarray], np.ndarray], features: Sequence[str], output: str = "y_hat") -> DataFrame:
@@ -70,20 +95,32 @@ def score_two_stage(static: DataFrame, dynamic: DataFrame, parameters: Callable[
 
 
 def score_samples(df: DataFrame, model: Callable[[np.ndarray, int], np.ndarray], features: Sequence[str], n: int, cell: str = "cell_id", t: str = "t_i", seed: int = 0) -> DataFrame:
-    """``n`` passes of a stochastic model over each cell: it is given a seed made from cell and sample."""
+    """``n`` passes of a stochastic model over each cell: it is given a seed made from cell and sample. A series is gathered once for all its passes."""
     schema = f"`{cell}` {df.schema[cell].dataType.simpleString()}, sample int, `{t}` {df.schema[t].dataType.simpleString()}, y_hat double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        own = (int(pdf[cell].iloc[0]) * 1_000_003 + int(pdf["sample"].iloc[0]) * 7919 + seed) % (1 << 31)
-        return pdf[[cell, "sample", t]].assign(y_hat=model(pdf[list(features)].to_numpy(float)[None], own)[0, :, 0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, cells = batch.column("s"), batch.column(cell)
+            steps = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            series = [(own[j], at[j], x[j : j + 1]) for own, at, x in _cubes(batch, len(features)) for j in range(len(own))]
+            for k in range(n):
+                y = np.zeros(len(steps))
+                for i, at, x in series:
+                    y[at] = model(x, (cells[int(i)].as_py() * 1_000_003 + k * 7919 + seed) % (1 << 31))[0, :, 0]
+                yield pa.RecordBatch.from_arrays([cells.take(pa.array(row)), pa.array(np.full(len(y), k, np.int32)), steps.field(t), pa.array(y)], [cell, "sample", t, "y_hat"])
+
+    return _series_of(df, [cell], t, features).mapInArrow(run, schema)
+
 
-    every = df.select(cell, t, *features).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return every.groupBy(cell, "sample").applyInPandas(run, schema)
+def select_outputs(predictions: DataFrame, targets: Sequence[str], keys: Sequence[str] = ("cell_id", "t_i")) -> DataFrame:
+    """Of a model's outputs those that a loss or a metric needs; the others are not computed on."""
+    return predictions.select(*keys, *targets)
 
 
 def user_metric(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], float], keys: Sequence[str], true: str = "y_true", pred: str = "y_pred", name: str = "value") -> DataFrame:
-    """A metric that isn't one of the built-in ones, on the pairs of each group."""
+    """A metric that isn't one of the built-in ones, on the pairs of each group. A group is in one task's memory: keys should be as fine as cells;
+    for larger groups write the metric as a `Column` of sums (`terracube.functions.metrics`), which Spark adds up in parts."""
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"`{name}` double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

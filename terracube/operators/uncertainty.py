@@ -29,7 +29,7 @@ def conformal_q(calibration: DataFrame, coverages: Sequence[float], exact: bool
         one = scores.agg(F.percentile_approx("score", [float(c) for c in coverages], accuracy).alias("q"))
         return one.select(F.inline(F.arrays_zip(F.array(*[F.lit(float(c)) for c in coverages]).alias("coverage"), F.col("q"))))
     counted = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    ranged = counted.repartitionByRange("score").sortWithinPartitions("score").withColumn("p", F.spark_partition_id())
+    ranged = counted.repartitionByRange(200, "score").sortWithinPartitions("score").withColumn("p", F.spark_partition_id())
     inner = ranged.withColumn("upto", F.sum("c").over(Window.partitionBy("p").orderBy("score")))
     sizes = inner.groupBy("p").agg(F.max("upto").alias("n"))
     w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)

@@ -22,7 +22,9 @@ from terracube.operators import scoring as sc
 from terracube.operators import sequences as sq
 from terracube.operators import stats as st
 from terracube.operators import uncertainty as un
+from terracube.plans import evaluation
 from terracube.sources import grids as io
+from terracube.sources.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +89,10 @@ def indexed(spark, d) -> DataFrame:
     return df.join(F.broadcast(days), "t").withColumns({"lat_i": F.expr("cell_id div 10").cast("int"), "lon_i": F.expr("cell_id % 10").cast("int"), "t_i": F.col("t_i").cast("int")})  # one row a day
 
 
+def n_days(spark, d) -> int:
+    return g.time_index(grid(spark, d)).count()
+
+
 _MEANS = ", ".join(f"avg(CASE WHEN event_type = '{v}' THEN value END) AS {v}" for v in VARIABLES)
 GRID = f"""grid AS (SELECT user_id AS cell_id, CAST(ts AS DATE) AS t, {_MEANS} FROM events GROUP BY 1, 2),
 days AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS t_i FROM (SELECT DISTINCT t FROM grid)),
@@ -189,7 +195,7 @@ def _spaef_sql(unit: bool, keys: str, source: str) -> str:
     if unit:
         bin_ = lambda c: f"CASE WHEN {c} BETWEEN 0 AND 1 THEN least(floor({c} * 100), 99) END"
     else:
-        bin_ = lambda c: f"least(floor(({c} - CASE WHEN lo_{c} = hi_{c} THEN lo_{c} - 1 ELSE lo_{c} END) / (CASE WHEN lo_{c} = hi_{c} THEN 2.0 ELSE hi_{c} - lo_{c} END) * 100), 99)"
+        bin_ = lambda c: f"CASE WHEN lo_{c} = hi_{c} THEN 50 ELSE least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 100), 99) END"
     return f"""{source},
 s AS (SELECT {keys}, {R} AS r, {ALPHA} AS alpha, min(o) AS lo_o, max(o) AS hi_o, min(p) AS lo_p, max(p) AS hi_p FROM ok GROUP BY {keys}),
 b AS (SELECT {keys}, {bin_('o')} AS bo, {bin_('p')} AS bp FROM ok JOIN s USING ({keys})),
@@ -406,11 +412,12 @@ def time_index(spark, d):
     return g.time_index(grid(spark, d))
 
 
-@query(f"""WITH {STATIC}, c AS (SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_index FROM static WHERE NOT (mask_low OR mask_lake))
-SELECT CAST(cell_index AS BIGINT) AS cell_index, CAST(t0 AS BIGINT) AS t0, CAST(t0 + cell_index * 30 AS BIGINT) AS flat_id FROM c, range(0, 23) x(t0)""")
+@query(f"""WITH {GRID}, {STATIC}, c AS (SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_index FROM static WHERE NOT (mask_low OR mask_lake)), nd AS (SELECT count(*) AS nd FROM days)
+SELECT CAST(cell_index AS BIGINT) AS cell_index, CAST(t0 AS BIGINT) AS t0, CAST(t0 + cell_index * nd AS BIGINT) AS flat_id FROM c, nd, range(0, nd - 7) x(t0)""")
 def spacetime_index(spark, d):
     cells = g.cell_linear_index(g.combine_masks(static(spark, d), ["mask_low", "mask_lake"]))
-    return rounded(g.flat_time_ids(g.spacetime_index(cells, 30, 7), 30))
+    n = n_days(spark, d)
+    return rounded(g.flat_time_ids(g.spacetime_index(cells, n, 7), n))
 
 
 @query(f'WITH {GRID} SELECT cell_id, t, feat, round(v, 4) AS v FROM (SELECT cell_id, t, unnest([{", ".join(repr(v) for v in VARIABLES)}]) AS feat, unnest([click, error, purchase, signup, "view"]) AS v FROM grid)')
@@ -495,11 +502,11 @@ def with_replacement_by_time(spark, d):
     return sp.with_replacement(df, 0.2, "cell_id", "t_i", 3).select("t_i", "draw", "cell_id")
 
 
-@query(f"""WITH s AS (SELECT e.epoch, t.t0, row_number() OVER (PARTITION BY e.epoch ORDER BY {HASH('t0 + epoch * 100003', 1)}, t0) AS rn FROM range(0, 3) e(epoch), range(0, 23) t(t0)),
+@query(f"""WITH {GRID}, nd AS (SELECT count(*) AS nd FROM days), s AS (SELECT e.epoch, t.t0, nd, row_number() OVER (PARTITION BY e.epoch ORDER BY {HASH('t0 + epoch * 100003', 1)}, t0) AS rn FROM nd, range(0, 3) e(epoch), range(0, nd - 7) t(t0)),
 c AS (SELECT DISTINCT user_id AS cell_id FROM events)
-SELECT cell_id, epoch, CAST(t0 AS BIGINT) AS t0 FROM s, c WHERE rn <= 11""")
+SELECT cell_id, epoch, CAST(t0 AS BIGINT) AS t0 FROM s, c WHERE rn <= floor((nd - 7) * 0.5)""")
 def temporal_subset_epoch(spark, d):
-    starts = sp.epoch_starts(30, 7, spark, epochs=3, fraction=0.5, seed=1)
+    starts = sp.epoch_starts(n_days(spark, d), 7, spark, epochs=3, fraction=0.5, seed=1)
     cells = table(spark, d, "events").select(F.col("user_id").alias("cell_id")).distinct()
     return rounded(cells.join(F.broadcast(starts)).select("cell_id", "epoch", "t0"))  # a few starts an epoch
 
@@ -555,7 +562,7 @@ tiles AS (SELECT ix, iy, ix * 2 AS x0, least(ix * 2 + 4, 10) AS x1, iy * 2 AS y0
 cov AS (SELECT ix, iy, count(*) FILTER (WHERE m) AS masked FROM tiles LEFT JOIN mask ON lon_i >= x0 AND lon_i < x1 AND lat_i >= y0 AND lat_i < y1 GROUP BY 1, 2),
 judged AS (SELECT tiles.*, CASE WHEN x1 - x0 < 4 OR y1 - y0 < 4 THEN 'degenerate' WHEN masked / ((x1 - x0) * (y1 - y0)) > {{0}} THEN 'missing' END AS reason FROM tiles JOIN cov USING (ix, iy)),
 space AS (SELECT CASE WHEN reason IS NULL THEN CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY ix, iy) - 1 AS BIGINT) END AS s_idx, ix, iy, x0, x1, y0, y1, reason IS NULL AS kept, reason FROM judged)"""
-_TIME = "time AS (SELECT CASE WHEN it * 5 + 10 <= 30 THEN it END AS k_idx, it, it * 5 AS t0, least(it * 5 + 10, 30) AS t1, it * 5 + 10 <= 30 AS kept FROM range(0, 6) x(it))"
+_TIME = "nd AS (SELECT count(*) AS nd FROM days), time AS (SELECT CASE WHEN it * 5 + 10 <= nd THEN it END AS k_idx, it, it * 5 AS t0, least(it * 5 + 10, nd) AS t1, it * 5 + 10 <= nd AS kept FROM nd, range(0, CAST(ceil(nd / 5.0) AS BIGINT)) x(it))"
 
 
 def _space(spark, d, policy=0.5) -> DataFrame:
@@ -574,28 +581,27 @@ def cubelet_missing_policy(spark, d):
     return rounded(_space(spark, d))
 
 
-@query(f"WITH {_TIME} SELECT * FROM time")
+@query(f"WITH {GRID}, {_TIME} SELECT * FROM time")
 def time_cubelets(spark, d):
-    n = g.time_index(grid(spark, d)).count()
-    return rounded(cb.time_cubelets(spark, n, 10, 5))
+    return rounded(cb.time_cubelets(spark, n_days(spark, d), 10, 5))
 
 
 @query(_TILES.format("0.5") + f", {_TIME} SELECT s_idx, ix, iy, x0, x1, y0, y1, k_idx, it, t0, t1 FROM space, time WHERE space.kept AND time.kept")
 def cubelet_catalogue(spark, d):
-    return rounded(cb.catalogue(_space(spark, d), cb.time_cubelets(spark, 30, 10, 5)))
+    return rounded(cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5)))
 
 
 @query(_TILES.format("0.5") + f", {_TIME} SELECT s_idx, k_idx, CAST(count(*) AS BIGINT) AS n, round(sum(click), 4) AS total FROM space, time, gi WHERE space.kept AND time.kept AND lon_i >= x0 AND lon_i < x1 AND lat_i >= y0 AND lat_i < y1 AND t_i >= t0 AND t_i < t1 GROUP BY 1, 2")
 def cubelet_members(spark, d):
     _, n_lat = _shape(spark, d)
-    blocks = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, 30, 10, 5)).select("s_idx", "k_idx", "ix", "iy", "it")
-    rows = cb.members(indexed(spark, d).select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, 30))
+    blocks = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5)).select("s_idx", "k_idx", "ix", "iy", "it")
+    rows = cb.members(indexed(spark, d).select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, n_days(spark, d)))
     return rounded(rows.groupBy("s_idx", "k_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("click").alias("total")))
 
 
 @query(_TILES.format("0.5") + f", {_TIME}, cat AS (SELECT s_idx, k_idx FROM space, time WHERE space.kept AND time.kept) SELECT s_idx, k_idx FROM cat WHERE s_idx IN {_top('SELECT DISTINCT s_idx FROM cat', 's_idx', 'floor(n * 0.5 + 1e-9)', 4)} AND k_idx IN {_top('SELECT DISTINCT k_idx FROM cat', 'k_idx', 'floor(n * 0.6 + 1e-9)', 5)}")
 def cubelet_downsample(spark, d):
-    cat = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, 30, 10, 5))
+    cat = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5))
     return rounded(sp.sample_cubelets(cat, 0.5, 0.6, 4).select("s_idx", "k_idx"))
 
 
@@ -722,32 +728,41 @@ def score_series(spark, d):
     return rounded(sc.score_series(indexed(spark, d), reservoir, ["click"]), 6)
 
 
-@query()
+@query(_SERIES + """, w AS (SELECT cell_id, t0, x[t0 + 1:t0 + 7] AS x FROM (SELECT *, unnest(range(0, len(x) - 7)) AS t0 FROM c))
+SELECT cell_id, t0, round(0.2 * list_sum(list_transform(x, lambda v, i: v * pow(0.8, 7 - i))), 6) AS y_hat FROM w""")
 def score_sequences(spark, d):
     seq = sq.forward_sequences(_series(spark, d), ["x"], 7)
     seq = seq.withColumn("x", F.transform("x", lambda v: F.array(v)))
     out = sc.score_sequences(seq, reservoir, "x", ["cell_id", "t0"])
-    return sq.select_steps(out, "y_hat", 0).select("cell_id", "t0", r("y_hat", 6).alias("y_hat"))
+    return sq.select_steps(out, "y_hat", 0).select("cell_id", F.col("t0").cast("long").alias("t0"), r("y_hat", 6).alias("y_hat"))
 
 
 def noisy(x: np.ndarray, seed: int) -> np.ndarray:
-    return reservoir(x) * (1 + 0.1 * np.random.default_rng(seed).standard_normal((x.shape[0], 1, 1)))
+    """The reservoir, up to 5 % more or less; the noise follows from the seed in whole numbers."""
+    h = seed * 48271 % sp.PRIME
+    return reservoir(x) * (0.95 + 0.1 * (h * (h + 12345) % sp.PRIME) / sp.PRIME)
+
+
+_RESERVOIR = f"""WITH RECURSIVE {GRID}, s AS (SELECT cell_id, t_i, coalesce(click, 0) AS x, row_number() OVER (PARTITION BY cell_id ORDER BY t_i) AS k FROM gi),
+w AS (SELECT cell_id, t_i, k, x AS store FROM s WHERE k = 1 UNION ALL SELECT s.cell_id, s.t_i, s.k, 0.8 * w.store + s.x FROM w JOIN s ON s.cell_id = w.cell_id AND s.k = w.k + 1)"""
+_NOISE = HASH("(cell_id * 1000003 + sample * 7919) % 2147483648", 0)
 
 
-@query()
+@query(_RESERVOIR + f""", f AS (SELECT cell_id, 0.95 + 0.1 * ({_NOISE}) / 2147483647.0 AS f FROM (SELECT DISTINCT cell_id FROM s), range(0, 4) x(sample))
+SELECT cell_id, t_i, round(avg(0.2 * store * f), 6) AS mean, round(stddev_samp(0.2 * store * f), 6) AS std FROM w JOIN f USING (cell_id) GROUP BY 1, 2""")
 def score_mc(spark, d):
     return rounded(un.ensemble_spread(sc.score_samples(indexed(spark, d), noisy, ["click"], 4), "y_hat", ["cell_id", "t_i"]), 6)
 
 
-@query()
+@query(_TILES.format("0.5") + f", {_TIME} SELECT s_idx, k_idx, t_i, lat_i, lon_i, round(2 * coalesce(click, 0), 6) AS y_hat FROM space, time, gi WHERE space.kept AND time.kept AND lon_i >= x0 AND lon_i < x1 AND lat_i >= y0 AND lat_i < y1 AND t_i >= t0 AND t_i < t1")
 def score_cubelets(spark, d):
     _, n_lat = _shape(spark, d)
-    blocks = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, 30, 10, 5)).select("s_idx", "k_idx", "ix", "iy", "it")
-    rows = cb.members(indexed(spark, d).select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, 30))
+    blocks = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5)).select("s_idx", "k_idx", "ix", "iy", "it")
+    rows = cb.members(indexed(spark, d).select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, n_days(spark, d)))
     return rounded(sc.score_cubelets(rows, lambda cube: np.nanmean(np.nan_to_num(cube), axis=1) * 2, ["click"]), 6)
 
 
-@query()
+@query(_RESERVOIR + " SELECT cell_id, t_i, round(0.2 * store * (0.1 + 0.8 / (1 + exp(0.1 * (cell_id % 10) - 0.05 * (cell_id // 10)))), 6) AS y_hat FROM w")
 def score_two_stage(spark, d):
     static_ = indexed(spark, d).select("cell_id", "lat_i", "lon_i").distinct()
     parameters = lambda s: s @ np.array([[0.05], [-0.1]])
@@ -804,6 +819,141 @@ def label_predictions(spark, d):
     return rounded(io.label_predictions(pred, df.select("cell_id", "t_i", "lat_i", "lon_i")))
 
 
+# -- reading, writing, and what one period hands to another ------------------------------------
+
+
+def _marked(spark, d) -> DataFrame:
+    """A grid as simulators write it: NaN where a value is missing, a member number for each row."""
+    df = indexed(spark, d).select("cell_id", "t_i", "click", "view", "error")
+    return df.withColumns({"click": F.when(F.col("error").isNull(), F.lit(float("nan"))).otherwise(F.col("click")), "member": F.pmod("cell_id", F.lit(4)).cast("int")})
+
+
+@query(f'WITH {GRID} SELECT cell_id, t_i, CASE WHEN error IS NOT NULL THEN round(click, 4) END AS click, round("view", 4) AS "view" FROM gi')
+def written_grid(spark, d):
+    path = new_path(spark, "grid")
+    io.write_grid(_marked(spark, d), path, partition_by=["member"])
+    return rounded(io.read_grid(spark, path, ["click", "view"], ("cell_id", "t_i")))
+
+
+@query(f"WITH {GRID} SELECT cell_id, t_i, CASE WHEN error IS NOT NULL THEN round(click, 4) END AS click, lat_i, lon_i FROM gi WHERE cell_id % 4 IN (1, 3)")
+def members_of_ensemble(spark, d):
+    path = new_path(spark, "members")
+    io.write_grid(_marked(spark, d), path)
+    return rounded(io.decode_cells(io.read_grid(spark, path, ["click"], ("cell_id", "t_i"), member=[1, 3]), 10))
+
+
+@query(f"WITH {GRID} SELECT cell_id, t_i, t_i // 7 AS t_chunk, round(click, 4) AS click FROM gi")
+def appended_slabs(spark, d):
+    path, df = new_path(spark, "slabs"), indexed(spark, d).select("cell_id", "t_i", "click")
+    io.append_time_chunks(df.where("t_i < 14"), path, 7)
+    io.append_time_chunks(df.where("t_i >= 14"), path, 7)
+    return rounded(spark.read.parquet(path).select("cell_id", "t_i", "t_chunk", "click"))
+
+
+_TRAIN = f"""WITH {GRID}, s AS (SELECT min(click) AS c, max(click) - min(click) AS w, avg("view") AS mv, stddev_pop("view") AS sv FROM gi WHERE t_i < 15)"""
+
+
+@query(_TRAIN + """ SELECT 'dynamic' AS group_type, 'click' AS variable, 'minmax' AS variant, round(c, 4) AS center, round(w, 4) AS scale FROM s
+UNION ALL SELECT 'dynamic', 'view', 'standard', round(mv, 4), round(sv, 4) FROM s""")
+def saved_stats(spark, d):
+    path = new_path(spark, "stats")
+    io.save_stats(st.fit(indexed(spark, d).where("t_i < 15"), {"click": "minmax", "view": "standard"}), path)
+    return rounded(io.load_stats(spark, path, "dynamic"))
+
+
+@query(_TRAIN + """ SELECT cell_id, t_i, round((click - c) / nullif(w, 0), 6) AS click, round(("view" - mv) / nullif(sv, 0), 6) AS "view" FROM gi, s WHERE t_i >= 15""")
+def reused_stats(spark, d):
+    path, df = new_path(spark, "stats"), indexed(spark, d).select("cell_id", "t_i", "click", "view")
+    fit = lambda: st.fit(df.where("t_i < 15"), {"click": "minmax", "view": "standard"})
+    io.load_or_compute(spark, path, fit, is_train=True, use_cached=True)  # nothing is kept yet: computed and kept
+    test = df.where("t_i >= 15")
+    stats = io.load_or_compute(spark, path, lambda: st.fit(test, {"click": "minmax", "view": "standard"}), is_train=False)
+    return rounded(st.scale(test, stats, ["click", "view"]), 6)
+
+
+@query(f"WITH {PAIRS} SELECT category, {_list(('rmse', 'pearson', 'kge'))} FROM ok GROUP BY 1")
+def metric_table(spark, d):
+    path = new_path(spark, "metrics")
+    io.write_metric_table(ev.skill(pairs(spark, d), ["category"], ("rmse", "pearson", "kge")), path)
+    return rounded(spark.read.option("header", True).schema("category string, rmse double, pearson double, kge double").csv(path))
+
+
+# -- truth and prediction in tables of their own -----------------------------------------------
+
+
+_ALIGNED = f"""WITH {PAIRS}, a AS (SELECT cell_id, t, avg(y_true) AS o FROM pairs WHERE l_orderkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT cell_id, t, avg(y_pred) AS p FROM pairs WHERE l_orderkey % 3 <> 1 GROUP BY 1, 2),
+paired AS (SELECT * FROM a JOIN b USING (cell_id, t)), {STATIC}, masked AS (SELECT cell_id, CASE WHEN mask_low THEN NULL ELSE o END AS o, CASE WHEN mask_low THEN NULL ELSE p END AS p FROM paired JOIN static USING (cell_id)),
+maps AS (SELECT cell_id, {_list(('rmse', 'bias', 'nse', 'kge'), 10)} FROM (SELECT cell_id, CASE WHEN p IS NOT NULL THEN o END AS o, CASE WHEN o IS NOT NULL THEN p END AS p FROM masked) GROUP BY 1)"""
+
+
+def _evaluated(spark, d) -> tuple[DataFrame, DataFrame]:
+    df = pairs(spark, d)
+    true = df.where("l_orderkey % 3 <> 0").groupBy("cell_id", "t").agg(F.avg("y_true").alias("y_true"))
+    pred = df.where("l_orderkey % 3 <> 1").groupBy("cell_id", "t").agg(F.avg("y_pred").alias("y_pred"))
+    masks = static(spark, d).select("cell_id", F.col("mask_low").alias("mask"))
+    return evaluation.run(true, pred, masks, metrics=("rmse", "bias", "nse", "kge"))
+
+
+@query(_ALIGNED + " SELECT cell_id, round(rmse, 4) AS rmse, round(bias, 4) AS bias, round(nse, 4) AS nse, round(kge, 4) AS kge FROM maps")
+def evaluation_maps(spark, d):
+    return rounded(_evaluated(spark, d)[0])
+
+
+@query(_ALIGNED + " " + " UNION ALL ".join(f"SELECT '{x}' AS metric, round(avg({x}), 4) AS mean, round(stddev_pop({x}), 4) AS std FROM maps" for x in ("rmse", "bias", "nse", "kge")))
+def evaluation_table(spark, d):
+    return rounded(_evaluated(spark, d)[1].select("metric", "mean", "std"))
+
+
+@query(f"WITH {PAIRS}, a AS (SELECT cell_id, t, max(y_true) AS y_true FROM pairs WHERE l_orderkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT cell_id, t, max(y_pred) AS y_pred FROM pairs WHERE l_orderkey % 3 <> 1 GROUP BY 1, 2) SELECT cell_id, t, round(y_true, 4) AS y_true, round(y_pred, 4) AS y_pred FROM a JOIN b USING (cell_id, t)")
+def aligned_pairs(spark, d):
+    df = pairs(spark, d)
+    true = df.where("l_orderkey % 3 <> 0").groupBy("cell_id", "t").agg(F.max("y_true").alias("y_true"))
+    return rounded(g.align(true, df.where("l_orderkey % 3 <> 1").groupBy("cell_id", "t").agg(F.max("y_pred").alias("y_pred"))))
+
+
+@query(f"WITH {GRID} SELECT cell_id, t_i, round(click, 4) AS click, round(signup, 4) AS signup FROM gi")
+def selected_variables(spark, d):
+    return rounded(g.select_variables(indexed(spark, d), ["click", "signup"], ("cell_id", "t_i")))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 4, 7)")
+def selected_members(spark, d):
+    return rounded(g.select_members(table(spark, d, "embeddings").select("vec_id", "label"), "label", [1, 4, 7])).withColumn("label", F.col("label").cast("int"))
+
+
+@query(f"WITH {PAIRS}, {STATIC} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, cell_id FROM pairs WHERE cell_id NOT IN (SELECT cell_id FROM static WHERE mask_lake)")
+def dropped_cells(spark, d):
+    out = g.drop_cells(pairs(spark, d), static(spark, d).where("mask_lake"))
+    return rounded(out.select("l_orderkey", "l_linenumber", "cell_id"))
+
+
+@query(f"WITH {GRID}, c AS (SELECT s_suppkey AS cell_id, CASE WHEN s_nationkey < 10 THEN 'low' ELSE 'high' END AS category FROM supplier) SELECT category, t_i, round(avg(click), 4) AS click, CAST(count(*) AS BIGINT) AS n FROM gi JOIN c USING (cell_id) GROUP BY 1, 2")
+def categories_of_cells(spark, d):
+    cells = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.when(F.col("s_nationkey") < 10, "low").otherwise("high").alias("category"))
+    out = g.with_category(indexed(spark, d).select("cell_id", "t_i", "click"), cells)
+    return rounded(out.groupBy("category", "t_i").agg(F.avg("click").alias("click"), F.count(F.lit(1)).alias("n")))
+
+
+@query(_spaef_sql(False, "t", _GRID_OK) + " SELECT 'mean' AS method, round(avg(spaef), 4) AS spaef FROM spaef UNION ALL SELECT 'median', round(quantile_disc(spaef, 0.5), 4) FROM spaef UNION ALL SELECT 'percentile_90', round(quantile_cont(spaef, 0.9), 4) FROM spaef")
+def aggregated_scores(spark, d):
+    s = ev.spaef(grid(spark, d), ["t"], "view", "signup").select("spaef")
+    return rounded(io.concat(*[ev.aggregate_scores(s, "spaef", how).select(F.lit(how).alias("method"), "spaef") for how in ("mean", "median", "percentile_90")]))
+
+
+@query(f"""WITH {GRID}, nd AS (SELECT count(*) AS nd FROM days), s AS (SELECT e.epoch, t.t0, row_number() OVER (PARTITION BY e.epoch ORDER BY {HASH('t0 + epoch * 100003', 2)}, t0) AS rn FROM nd, range(0, 4) e(epoch), range(0, nd - 7) t(t0))
+SELECT cell_id, epoch, CAST(t0 AS BIGINT) AS t0 FROM s, (SELECT DISTINCT cell_id FROM grid) WHERE rn <= 5""")
+def counted_starts(spark, d):
+    starts = sp.epoch_starts(n_days(spark, d), 7, spark, epochs=4, count=5, seed=2)
+    cells = grid(spark, d).select("cell_id").distinct()
+    return rounded(cells.join(F.broadcast(starts)).select("cell_id", "epoch", "t0"))  # five starts an epoch
+
+
+@query(f"WITH {GRID} SELECT cell_id, t_i, round(2 * coalesce(click, 0), 4) AS vwc FROM gi")
+def selected_outputs(spark, d):
+    df = indexed(spark, d).select("cell_id", "t_i", (2 * F.coalesce("click", F.lit(0.0))).alias("vwc"), (3 * F.col("view")).alias("actevap"))
+    return rounded(sc.select_outputs(df, ["vwc"]))
+
+
 def _day_as_text(name: str) -> None:
     """Days as text, so that both engines show the same."""
     plain = QUERIES[name]
@@ -811,5 +961,5 @@ def _day_as_text(name: str) -> None:
     SQL[name] = f"SELECT * REPLACE (CAST(t AS VARCHAR) AS t) FROM ({SQL[name]})"
 
 
-for _name in ("spaef_by_time", "spaef_unit_range", "scale_minmax11", "unscale_roundtrip", "log10p", "time_aligned_dynamics", "missing_cells", "reconstruct_missing", "complete_and_fill", "time_index", "stack_features", "spread_features", "feature_vectors", "split_periods", "category_quantiles", "daily_maximum"):
+for _name in ("spaef_by_time", "spaef_unit_range", "scale_minmax11", "unscale_roundtrip", "log10p", "time_aligned_dynamics", "missing_cells", "reconstruct_missing", "complete_and_fill", "time_index", "stack_features", "spread_features", "feature_vectors", "split_periods", "category_quantiles", "daily_maximum", "aligned_pairs"):
     _day_as_text(_name)

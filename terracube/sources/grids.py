@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,20 @@ def load_stats(spark: SparkSession, path: str, group_type: str | None = None) ->
 
 
 def load_or_compute(spark: SparkSession, path: str, compute, is_train: bool, use_cached: bool = False) -> DataFrame:
-    """On training data compute and save (or, with ``use_cached``, read); on other data always read what training saved."""
-    if is_train and not use_cached:
+    """On training data compute and save; with ``use_cached`` read what an earlier run saved, if it did. On other data always read what training saved."""
+    if is_train and not (use_cached and _is_there(spark, path)):
         save_stats(compute(), path)
     return load_stats(spark, path)
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def write_metric_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -219,3 +219,43 @@ def test_jobs(spark, small, tmp_path):
     obs = small.select("cell_id", "t", F.col("y_true").alias("v"))
     cal = calibration.run(small, small.select("cell_id", "t", F.col("y_pred").alias("v")), obs, static, "v", ("2020-01-01", "2020-01-31"), ["y_pred"], ["lat_i"], 5)
     assert cal.count() == 61
+
+
+def test_statistics_are_computed_when_nothing_is_kept(spark, tmp_path):
+    from terracube.operators import stats as st
+    from terracube.sources import grids as io
+
+    path = f"file://{tmp_path}/stats"
+    df = spark.createDataFrame([(1.0,), (3.0,)], "x double")
+    first = io.load_or_compute(spark, path, lambda: st.fit_minmax(df, ["x"]), is_train=True, use_cached=True).first()
+    assert (first.center, first.scale) == (1.0, 2.0)
+    other = spark.createDataFrame([(7.0,), (9.0,)], "x double")
+    for train in (True, False):
+        kept = io.load_or_compute(spark, path, lambda: st.fit_minmax(other, ["x"]), is_train=train, use_cached=True).first()
+        assert (kept.center, kept.scale) == (1.0, 2.0)
+
+
+def test_overlap_of_flat_slices(spark):
+    from terracube.operators import evaluate as ev
+
+    rows = [("one", 127.11, 50.17), ("flat", 3.3, 1.0), ("flat", 3.3, 2.0), ("both", 0.1, 7.7), ("both", 0.1, 7.7)]
+    got = {r.t: r.beta for r in ev.spaef(spark.createDataFrame(rows, "t string, y_true double, y_pred double"), ["t"]).collect()}
+    assert got == {"one": 1.0, "flat": 0.0, "both": 1.0}
+
+
+def test_running_sums_and_samples_at_any_partitioning(spark):
+    from pyspark.sql import functions as F
+
+    from terracube.operators import sampling as sp
+    from terracube.operators.grid import running_sum
+
+    rows = [(g, k, (k * 7) % 5) for g, n in (("a", 200), ("b", 3), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, x long").repartition(6)
+    for groups in (["g"], []):
+        data = df if groups else df.where("g = 'a'")
+        got = {(r.g, r.k): r.s for r in running_sum(data, groups, "k", F.col("x"), "s", 9).collect()}
+        assert all(got[g, k] == sum(x for h, j, x in rows if h == g and j < k) for g, k in got) and len(got) == data.count()
+    keys = spark.range(5000).select(F.col("id").alias("cell_id"))
+    every = sorted(keys.collect(), key=lambda r: (((h := (r.cell_id + 3 * 7919) * 48271 % sp.PRIME) * (h + 12345)) % sp.PRIME, r.cell_id))
+    for n in (0, 1, 777, 5000, 9000):
+        assert {r.cell_id for r in sp.sample_keys(keys, "cell_id", count=n, seed=3).collect()} == {r.cell_id for r in every[:n]}
