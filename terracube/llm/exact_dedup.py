@@ -16,42 +16,48 @@ def without_spaces(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), prefix_chars: int = 256, cells: int = 1 << 20) -> DataFrame:
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: str | None = None, prefix_chars: int = 256, cells: int | None = None) -> DataFrame:
     """Group the rows whose texts are identical but for white space.
 
-    Returns one row per input row: ``id_col``, the ``carry`` columns, ``keep_id``, ``group_size``, ``kept``.
-    Of a group, the row with the most code points in the original text stays, then the smallest id.
+    Returns one row per input row: ``id_col``, the ``carry`` columns, ``keep_id``, ``group_size``, ``kept``, and with ``digest`` a column of that name,
+    the text's full hash (SHA-256 in hex, without white space) for every row. Of a group, the row with the most code points in the original text stays,
+    then the smallest id.
 
-    How it refines: the first scan counts rows by (length, hash of the first ``prefix_chars``) without
-    white space; a length or prefix of its own is no duplicate. The second scan takes the full hash only
-    of rows whose (length, prefix) came up again. Rows learn that from a broadcast set of at most ``cells``
-    cell numbers (a hash of the pair, modulo ``cells``): a false hit costs one hash more and changes no
-    result, and no text is ever shuffled. Only ids, lengths and hashes are.
+    How it refines: the first scan keeps (length, hash of the first ``prefix_chars``) of each text without white space. Rows whose length is their own are done;
+    of the others, those whose prefix is their own are done; what is left is read again and grouped by the full hash. Rows learn that they are left from a
+    broadcast set of cell numbers (a hash of length and prefix, modulo 16 times the number of repeated prefixes, 2^20 at least and 2^22 at most): a false
+    hit puts a row into the last step that could have been left out and changes no result. No text is ever shuffled, only ids, lengths and hashes are.
 
-    A null text counts as empty, and all empty texts are one group. A null id sorts last. Repeated rows
-    are rows of their own: exactly one of a group is kept. Hot groups are joined by broadcast statistics.
+    A null text counts as empty, and all empty texts are one group. A null id sorts last. Repeated rows are rows of their own: exactly one of a
+    group is kept. Very long texts are hashed in place. Hot groups are joined with salted keys. Columns that are not named are not read; an empty table gives no rows.
     """
-    taken = {"_chars", "_len", "_prefix", "_full", "_row", "_cell"}
-    if clash := taken & set(df.columns):
-        df = df.drop(*clash)
     base = df.select(F.col(id_col), *[F.col(c) for c in carry], F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_chars"), without_spaces(F.col(text_col)).alias("_text"))
-    cell = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(cells)).alias("_cell")
     profiled = base.withColumns({"_len": F.length("_text"), "_prefix": F.xxhash64(F.substring("_text", 1, prefix_chars))})
-    again = profiled.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    seen = stash(profiled.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")))
+    lengths = seen.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
+    again = stash(seen.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_prefix"))
+    cells = cells or min(1 << 22, max(1 << 20, 16 * again.count()))
+    cell = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(cells)).alias("_cell")
     hits = F.broadcast(again.select(cell).distinct().withColumn("_hit", F.lit(True)))
 
-    full = F.when(F.col("_hit"), F.unhex(F.sha2("_text", 256)))
     rows = profiled.withColumn("_cell", cell).join(hits, "_cell", "left")
-    rows = stash(rows.select(id_col, *carry, "_chars", full.alias("_full"), F.monotonically_increasing_id().alias("_row")))
+    full = F.unhex(F.sha2("_text", 256))
+    if digest:
+        rows = rows.withColumn("_sha", full)
+        full = F.col("_sha")
+    extra = [F.lower(F.hex(full)).alias(digest)] if digest else []
+    rows = stash(rows.select(id_col, *carry, *extra, "_chars", F.when(F.col("_hit"), full).alias("_full"), F.monotonically_increasing_id().alias("_row")))
 
     rank = F.struct((-F.col("_chars")).alias("c"), F.col(id_col).isNull().alias("u"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    groups = rows.where("_full is not null").groupBy("_full").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("_best")).where("group_size > 1")
-    repeated = join_group_stats(rows.where("_full is not null"), groups, ["_full"], "group_size", max(1, rows.count()))
+    left = rows.where("_full is not null")
+    groups = stash(left.groupBy("_full").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("_best")).where("group_size > 1"))
+    repeated = join_group_stats(left, groups, ["_full"], "group_size", max(1, rows.count()))
     single = rows.where("_full is null").withColumns({"group_size": F.lit(None).cast("long"), "_best": F.lit(None).cast(groups.schema["_best"].dataType)})
     best = F.col("_best")
     return repeated.unionByName(single).select(
         id_col,
         *carry,
+        *([digest] if digest else []),
         F.when(best.isNull(), F.col(id_col)).otherwise(best["id"]).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (best.isNull() | (best["row"] == F.col("_row"))).alias("kept"),
@@ -60,8 +66,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.withColumn("text_sha256", F.sha2(without_spaces(F.col("text")), 256))
-    return exact_duplicates(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_duplicates(docs, digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP9_SQL = r"""

@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terracube.sources.scratch import new_path
+
 #: A missing id counts as the largest one.
 NO_ID = (1 << 63) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; where that is unset (tests), a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("terracube.scratch", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("terracube.scratch", folder)
-    return folder.rstrip("/")
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage: what was computed survives a lost executor, later steps read only the
     columns they need, and values such as generated ids are fixed from then on.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(stats: DataFrame, keys: list[str], size: str, total: int, share: int = 2000) -> list[int]:

@@ -1,4 +1,4 @@
-"""Exact top-k inner products: a ball tree for each shard, searched by branch and bound."""
+"""Exact top-k inner products: a ball tree for each shard, searched by branch and bound with a shared kth score."""
 
 from __future__ import annotations
 
@@ -15,9 +15,14 @@ from .shared import stash
 LEAF = 64
 VECTORS_A_SHARD = 4_096
 QUERIES_A_BLOCK = 512
+SAMPLE = 8_192
+ROOTS_A_CHUNK = 4_096
+#: Shards that a block of queries meets in each round, best bounds first; the last round takes all that are left.
+ROUNDS = (1, 8, None)
 EVERY = 50
 
 HITS = "query_id long, vec_id long, score long"
+TREE = "shard long, width int, ids binary, vectors binary, centre binary, radius binary, nodes binary"
 
 
 # -- one shard ---------------------------------------------------------------------------------
@@ -26,98 +31,193 @@ HITS = "query_id long, vec_id long, score long"
 class BallTree:
     """Nodes with a centre and a radius; leaves hold ``leaf`` vectors or fewer. Splits go through two far points."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
-        self.order = np.arange(len(ids))
-        self.vectors = vectors.astype(np.float64)
-        self.centre, self.radius, self.child, self.span = [], [], [], []
-        self._grow(0, len(ids), leaf)
-        self.ids, self.vectors = ids[self.order], self.vectors[self.order]
-        self.centre, self.radius = np.array(self.centre), np.array(self.radius)
-
-    def _node(self, a: int, b: int) -> int:
-        own = self.vectors[self.order[a:b]]
-        centre = own.mean(axis=0)
-        self.centre.append(centre)
-        self.radius.append(float(np.sqrt(((own - centre) ** 2).sum(axis=1).max())))
-        self.child.append(None)
-        self.span.append((a, b))
-        return len(self.child) - 1
-
-    def _grow(self, a: int, b: int, leaf: int) -> None:
-        todo = [self._node(a, b)]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, radius: np.ndarray, nodes: np.ndarray):
+        self.ids, self.vectors, self.centre, self.radius, self.nodes = ids, vectors, centre, radius, nodes  # nodes: first child or 0, first row, end row
+
+    @classmethod
+    def grow(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> BallTree:
+        order, real = np.arange(len(ids)), vectors.astype(np.float64)
+        centre, radius, nodes = [], [], []
+
+        def node(a: int, b: int) -> int:
+            own = real[order[a:b]]
+            centre.append(own.mean(axis=0))
+            radius.append(float(np.sqrt(((own - centre[-1]) ** 2).sum(axis=1).max())))
+            nodes.append([0, a, b])
+            return len(nodes) - 1
+
+        todo = [node(0, len(ids))]
         while todo:
             at = todo.pop()
-            a, b = self.span[at]
-            if b - a <= leaf or self.radius[at] == 0:
+            _, a, b = nodes[at]
+            if b - a <= leaf or radius[at] == 0:
                 continue
-            part = self.order[a:b]
-            own = self.vectors[part]
-            one = own[np.argmax(((own - self.centre[at]) ** 2).sum(axis=1))]
+            part = order[a:b]
+            own = real[part]
+            one = own[np.argmax(((own - centre[at]) ** 2).sum(axis=1))]
             two = own[np.argmax(((own - one) ** 2).sum(axis=1))]
-            self.order[a:b] = part[np.argsort(own @ (two - one), kind="stable")]
+            order[a:b] = part[np.argsort(own @ (two - one), kind="stable")]
             m = (a + b) // 2
-            self.child[at] = (self._node(a, m), self._node(m, b))
-            todo += self.child[at]
+            nodes[at][0] = node(a, m)
+            node(m, b)
+            todo += [nodes[at][0], nodes[at][0] + 1]
+        return cls(ids[order], vectors[order], np.array(centre), np.array(radius), np.array(nodes))
+
+    def columns(self) -> dict[str, list[bytes]]:
+        return {c: [getattr(self, c).tobytes()] for c in ("ids", "vectors", "centre", "radius", "nodes")}
+
+    @classmethod
+    def of(cls, row: dict) -> BallTree:
+        ids, radius = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["radius"])
+        return cls(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1), np.frombuffer(row["centre"]).reshape(len(radius), -1), radius, np.frombuffer(row["nodes"], np.int64).reshape(-1, 3))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The best ``k`` of this shard for each query that may still beat ``floor`` (kth score so far)."""
-        bounds = queries @ self.centre.T + np.sqrt((queries**2).sum(axis=1))[:, None] * self.radius[None, :] * (1 + 1e-9) + 1e-6
-        for q, query, bound, least in zip(query_ids, queries, bounds, floor, strict=True):
-            ids, scores = np.zeros(0, np.int64), np.zeros(0)
-            kth, todo = least, [(bound[0], 0)]
+        bounds = upper_bounds(queries, self.centre, self.radius)
+        score = scorer(self.vectors, queries)
+        for i, (q, bound, least) in enumerate(zip(query_ids, bounds, floor, strict=True)):
+            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            kth, todo = int(least), [(bound[0], 0)]
             while todo:
                 top, at = todo.pop()
                 if top < kth:
                     continue
-                if self.child[at]:
-                    todo += sorted((bound[c], c) for c in self.child[at] if bound[c] >= kth)  # the better one on top
+                child, a, b = self.nodes[at]
+                if child:
+                    todo += sorted((bound[c], c) for c in (child, child + 1) if bound[c] >= kth)  # the better one on top
                     continue
-                a, b = self.span[at]
-                own = self.vectors[a:b] @ query
+                own = score(a, b, i)
                 keep = (own >= kth) & (self.ids[a:b] != q)
                 if keep.any():
                     ids, scores = np.concatenate([ids, self.ids[a:b][keep]]), np.concatenate([scores, own[keep]])
-                    best = np.lexsort((ids, -scores))[:k]
+                    best = np.lexsort((ids, ~scores))[:k]
                     ids, scores = ids[best], scores[best]
                     if len(ids) == k:
-                        kth = max(kth, scores[-1])
+                        kth = max(kth, int(scores[-1]))
             yield q, ids, scores
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
+def upper_bounds(queries: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """No inner product of a query with a vector in the ball is greater; the rounding of the floats is added."""
+    q = queries.astype(np.float64)
+    reach = np.sqrt((q**2).sum(axis=1))[:, None]
+    far = np.sqrt((centre**2).sum(axis=1)) + radius
+    return q @ centre.T + reach * radius + reach * far * 1e-9 + 1
+
+
+def scorer(vectors: np.ndarray, queries: np.ndarray):
+    """Exact inner products of rows [a, b) with query i: in floats where they can't round, else in longs, else in whole numbers of any size. Raises
+    if a product doesn't fit a long."""
+    most = float(np.abs(vectors.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * vectors.shape[1]
+    if most < 2.0**53:
+        real, asked = vectors.astype(np.float64), queries.astype(np.float64)
+        return lambda a, b, i: (real[a:b] @ asked[i]).astype(np.int64)
+    if most < 2.0**62:
+        return lambda a, b, i: vectors[a:b] @ queries[i]
 
+    def big(a: int, b: int, i: int) -> np.ndarray:
+        exact = [sum(int(x) * int(y) for x, y in zip(v, queries[i], strict=True)) for v in vectors[a:b]]
+        if any(abs(x) >= 1 << 63 for x in exact):
+            raise OverflowError("an inner product does not fit a long")
+        return np.array(exact, np.int64)
 
-def _tree(ids: bytes, vectors: bytes) -> BallTree:
-    ids = np.frombuffer(ids, np.int64)
-    return BallTree(ids, np.frombuffer(vectors, np.int64).reshape(len(ids), -1).astype(np.float64))
+    return big
+
+
+# -- shards of near vectors --------------------------------------------------------------------
+
+
+class Cells:
+    """Planes between two far points of a bounded sample, level by level; they deal all vectors into cells of near ones."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.planes: dict[int, tuple[np.ndarray, float]] = {}
+        self.width = sample.shape[1] if len(sample) else 0
+        todo = [(1, sample.astype(np.float64))]
+        while todo and len(self.planes) + 1 < cells:
+            at, own = todo.pop(0)
+            if len(own) < 2:
+                continue
+            one = own[np.argmax(((own - own.mean(axis=0)) ** 2).sum(axis=1))]
+            way = own[np.argmax(((own - one) ** 2).sum(axis=1))] - one
+            along = own @ way
+            cut = float(np.median(along))
+            if (along >= cut).all():
+                continue
+            self.planes[at] = way, cut
+            todo += [(2 * at, own[along < cut]), (2 * at + 1, own[along >= cut])]
 
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        at, todo = np.ones(len(vectors), np.int64), [1]
+        while todo:
+            node = todo.pop()
+            if node in self.planes:
+                own = np.flatnonzero(at == node)
+                way, cut = self.planes[node]
+                at[own] = 2 * node + (vectors[own] @ way >= cut)
+                todo += [2 * node, 2 * node + 1]
+        return at
 
-def _pack(id_col: str, key: str):
-    """One row for a group of vectors of one width: the ids and the numbers."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["v"].to_list()).astype(np.int64)
-        floor = pdf["floor"].to_numpy(np.float64) if "floor" in pdf else np.full(len(pdf), -np.inf)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "width": [m.shape[1]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "floor": [floor.tobytes()]})
+def _dealt(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for batch in batches:
+            v = batch.column("v")
+            sizes = np.diff(v.offsets.to_numpy())
+            cell = -sizes.astype(np.int64)  # other widths are cells of their own
+            same = np.flatnonzero(sizes == cells.width)
+            if len(same):
+                cell[same] = cells(v.take(pa.array(same)).flatten().to_numpy().reshape(len(same), -1).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), v, pa.array(cell)], ["vec_id", "v", "cell"])
 
     return run
 
 
-def _search(k: int):
-    """Rows hold a block of queries and a shard; those of one shard follow each other, so that its tree is built once."""
+def _grown(pdf: pd.DataFrame) -> pd.DataFrame:
+    tree = BallTree.grow(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.int64))
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "width": [tree.vectors.shape[1]], **tree.columns()})
+
+
+def _blocked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for a block of queries of one width, with the kth score so far of each."""
+    m = np.stack(pdf["v"].to_list()).astype(np.int64)
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "width": [m.shape[1]], "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q_vectors": [m.tobytes()], "floor": [pdf["floor"].to_numpy(np.int64).tobytes()]})
+
+
+def _chunked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The root balls of many shards in one row."""
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "width": [pdf["width"].iloc[0]], "shards": [pdf["shard"].to_numpy(np.int64).tobytes()], "centre": [b"".join(pdf["centre"])], "radius": [b"".join(pdf["radius"])]})
+
+
+def _query_rows(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["q_ids"], np.int64)
+    return ids, np.frombuffer(row["q_vectors"], np.int64).reshape(len(ids), -1), np.frombuffer(row["floor"], np.int64)
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, shard, bound) of the shards that may hold a better score for some query of the block."""
+    for batch in batches:
+        for row in _rows_of(batch):
+            _, queries, floor = _query_rows(row)
+            radius = np.frombuffer(row["radius"])
+            bounds = upper_bounds(queries, np.frombuffer(row["centre"]).reshape(len(radius), -1), radius)
+            open_ = (bounds >= floor[:, None]).any(axis=0)
+            top = bounds.max(axis=0)[open_]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), row["block"])), pa.array(np.frombuffer(row["shards"], np.int64)[open_]), pa.array(top)], ["block", "shard", "bound"])
+
 
+def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if row["shard"] != now:
-                    now, tree = row["shard"], _tree(row["ids"], row["vectors"])
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_vectors"], np.int64).reshape(len(ids), -1).astype(np.float64)
-                out = [(np.full(len(v), q), v, s) for q, v, s in tree.search(ids, queries, np.frombuffer(row["floor"], np.float64), k)]
-                columns = [np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [()] * 3)]
+            for row in _rows_of(batch):
+                out = [(np.full(len(v), q), v, s) for q, v, s in BallTree.of(row).search(*_query_rows(row), k)]
+                columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
@@ -130,42 +230,68 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product, for each row of ``queries``.
 
     Both hold ``vec_id`` and ``v`` (array of whole numbers). A query's own id is no hit; ties go to the
-    smaller id; a query whose width no vector has gets no rows. Returns query_id, rank, vec_id, score.
+    smaller id; a query whose width no vector has gets no rows. All vectors that repeat an id are candidates; of queries that repeat an id, the one with the least
+    vector asks. Returns query_id, rank, vec_id, score. Scores are exact; one that a long can't hold raises. Empty tables give no rows.
 
-    Vectors are dealt by hash into shards of about 4,096. In a first round each block of queries meets one shard, which
-    gives every query a kth score to start from; in the second round blocks meet all other shards with that
-    score, which prunes nodes and leaves. Every pair of query block and shard is one row, so the work spreads over
-    as many tasks as there are pairs. Inner products are exact: whole numbers below 2^53.
+    Vectors are dealt into cells by planes fitted to a sample of at most ``SAMPLE``, and cells into shards of about 4,096, so that a shard holds near vectors and
+    a cell of many equal ones is no hot group. Each shard is a ball tree, grown once. Blocks of near queries meet shards in rounds, by descending bound of the
+    shards' root balls: first the best one, then eight, then all others. The kth score that a query has after a round goes into the next one, where it first drops
+    whole pairs of block and shard, before any vector moves, and then prunes nodes and leaves.
     """
     spark = vectors.sparkSession
+    widths = vectors.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    if not widths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n = vectors.count()
-    shards, blocks = max(1, -(-n // VECTORS_A_SHARD)), max(1, -(-queries.count() // QUERIES_A_BLOCK))
-    tree_rows = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    forest = stash(tree_rows.groupBy("shard", F.size("v")).applyInPandas(_pack("vec_id", "shard"), "shard int, width int, ids binary, vectors binary, floor binary"))
-
-    def meet(asked: DataFrame, first: bool) -> DataFrame:
-        packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block", F.size("v")).applyInPandas(_pack("vec_id", "block"), "block int, width int, ids binary, vectors binary, floor binary")
-        packed = packed.select("block", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "floor")
-        home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-        every = F.sequence(F.lit(0), F.lit(shards - 1))
-        to = F.array(home) if first else F.array_except(every, F.array(home))
-        pairs = packed.withColumn("shard", F.explode(to)).join(forest.drop("floor"), "shard").where("width = q_width")
-        return pairs.mapInArrow(_search(k), HITS)
-
-    floors = stash(meet(queries, True))
-    kth = floors.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
-    asked = queries.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    hits = floors.unionByName(meet(asked, False))
+    sample = vectors.where(F.size("v") == widths[0]["w"]).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toPandas()["v"]
+    cells = spark.sparkContext.broadcast(Cells(np.stack(sample.to_list()), min(SAMPLE // 8, max(1, -(-n // VECTORS_A_SHARD)))))
+    dealt = lambda df: df.select("vec_id", "v").mapInArrow(_dealt(cells), "vec_id long, v array<long>, cell long")
+
+    def numbered(df: DataFrame, size: int, name: str) -> DataFrame:
+        """Groups of about ``size`` rows of one cell, dealt by hash; there are at most ``SAMPLE / 8`` cells, and one for each further width."""
+        df = stash(dealt(df))
+        parts = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("parts"))
+        return df.join(F.broadcast(parts), "cell").withColumn(name, F.xxhash64("cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))))
+
+    forest = stash(numbered(vectors, VECTORS_A_SHARD, "shard").groupBy("shard", F.size("v")).applyInPandas(_grown, TREE))
+    chunks = max(1, -(-forest.count() // ROOTS_A_CHUNK))
+    first = lambda c, size: F.expr(f"substring({c}, 1, {size})")
+    roots = forest.select("shard", "width", first("centre", "8 * width").alias("centre"), first("radius", 8).alias("radius"), F.pmod("shard", F.lit(chunks)).cast("int").alias("chunk"))
+    roots = stash(roots.groupBy("chunk", "width").applyInPandas(_chunked, "chunk int, width int, shards binary, centre binary, radius binary"))
+
+    asked = stash(numbered(queries.groupBy("vec_id").agg(F.min("v").alias("v")), QUERIES_A_BLOCK, "block").select("vec_id", "v", "block"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits, done = None, None
+    for take in ROUNDS:
+        if hits is None:
+            known = asked.withColumn("floor", F.lit(-(1 << 63)))
+        else:
+            kth = hits.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+            known = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(1 << 63))))
+        blocks = stash(known.groupBy("block", F.size("v")).applyInPandas(_blocked, "block long, width int, q_ids binary, q_vectors binary, floor binary"))
+        pairs = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(roots, ["chunk", "width"]).mapInArrow(_bounded, "block long, shard long, bound double")
+        if done is not None:
+            pairs = pairs.join(done, ["block", "shard"], "left_anti")
+        if take is not None:
+            best = Window.partitionBy("block").orderBy(F.desc("bound"), "shard")
+            pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= take)
+        pairs = stash(pairs.select("block", "shard"))
+        met = pairs.join(blocks.drop("width"), "block").join(forest, "shard")
+        found = met.drop("block", "shard", "width").mapInArrow(_searched(k), HITS)
+        every = found if hits is None else hits.unionByName(found)
+        hits = stash(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").drop("rank"))
+        done = pairs if done is None else done.unionByName(pairs)
+    return hits.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
 
 
 def whole_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """``floor(scale * x)`` of each component. Rows with a null id, a null or empty vector, or a null or non-finite component take no part."""
+    """``floor(scale * x)`` of each component. Rows with a null id, a null or empty vector, or a null or non-finite component take no part. A component whose
+    whole number a long can't hold raises."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     sound = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    whole = lambda v: F.when(F.abs(v * scale) < 2.0**63, F.floor(v * scale)).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long"))
     good = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & sound)
-    return good.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"))
+    return good.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def op7_top_k(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,16 @@ def test_exact(docs, none):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got if r.doc_id is not None) == want
     assert sum(r.kept for r in got) == len(groups)
     assert exact_duplicates(none).count() == 0
+    for r, t in ((r, t) for r in exact_duplicates(docs.where("doc_id < 13"), digest="h").collect() for i, t in rows if i == r.doc_id):
+        assert r.h == hashlib.sha256(SPACE.sub("", t).encode()).hexdigest()
+
+
+def test_refinement_decides_what_is_compared(spark):
+    """Texts of one length and one prefix that differ at the end, of one length only, and equal ones, with many and few cells."""
+    rows = [(1, "a" * 300 + "x"), (2, "a" * 300 + "y"), (3, "b" * 301), (4, "a" * 300 + " x"), (5, "c"), (6, "d"), (7, "c ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cells in (1, None):
+        assert as_rows(exact_duplicates(df, cells=cells), "doc_id", "keep_id", "group_size", "kept") == [(1, 4, 2, False), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 2, True), (5, 7, 2, False), (6, 6, 1, True), (7, 7, 2, True)]
 
 
 # -- 2
@@ -303,7 +313,8 @@ def test_deficits_are_carried_over_windows_and_partitions():
             continue
         plan = Schedule(np.array(tokens), np.array([float(w) for w in weights]), window)
         for w, want in enumerate(rounds(tokens, weights, window), 1):
-            assert plan.given(w).tolist() == want, (tokens, weights, window, w)
+            near = np.abs(plan.credit(w) - np.round(plan.credit(w))) < 1e-6  # a credit that is whole but for rounding may be given a window later
+            assert ((plan.given(w) == want) | near & (np.abs(plan.given(w) - want) == 1)).all(), (tokens, weights, window, w)
             assert (plan.credit(w) - plan.given(w) < 1 + 1e-9).all()
         # tasks that each hold a part of a queue fill the stream without gaps
         places = []
@@ -386,7 +397,7 @@ def test_packing(docs, none):
 # -- 7
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(300)]
     rows += [(301, None), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (304, []), (350, rows[50][1]), (351, rows[50][1])]
@@ -395,18 +406,41 @@ def test_top_k(spark):
     assert len(good) == 302
     import terracube.llm.top_k as t
 
-    t.VECTORS_A_SHARD, t.QUERIES_A_BLOCK = 64, 4
+    monkeypatch.setattr(t, "VECTORS_A_SHARD", 64)
+    monkeypatch.setattr(t, "QUERIES_A_BLOCK", 4)
     got = as_rows(top_k(vectors, vectors.where("vec_id % 50 = 0")), "query_id", "rank", "vec_id", "score")
     want = []
     for q in sorted(i for i in good if i % 50 == 0):
         best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want, key=str)
+    monkeypatch.setattr(t, "ROOTS_A_CHUNK", 2)
+    assert as_rows(top_k(vectors.repartition(3), vectors.where("vec_id % 50 = 0")), "query_id", "rank", "vec_id", "score") == got
+    twice = top_k(vectors.unionByName(vectors.where("vec_id = 7")), vectors.where("vec_id = 0").unionByName(vectors.where("vec_id = 0")), 302).collect()
+    assert len(twice) == 302 and sum(r.vec_id == 7 for r in twice) == 2 and sorted(r["rank"] for r in twice) == list(range(1, 303))
     few = vectors.where("vec_id < 3")
     assert top_k(few, few).groupBy("query_id").count().agg(F.max("count")).first()[0] == 2
     assert top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_scores_are_exact_for_large_numbers(spark):
+    rng = np.random.default_rng(8)
+    for size in (2**28, 2**30, 2**31):
+        rows = [(i, [int(x) for x in rng.integers(-size, size, 8)]) for i in range(200)]
+        rows += [(300, [*rows[0][1][:7], rows[0][1][7] + 1])]
+        df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+        want = []
+        for q, a in rows[:3]:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert as_rows(top_k(df, df.where("vec_id < 3")), "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+    big = spark.createDataFrame([(1, [2**40] * 8), (2, [2**40] * 8)], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="fit a long"):
+        top_k(big, big).collect()
+    with pytest.raises(Exception, match="fit a long"):
+        whole_vectors(spark.createDataFrame([(1, [1e20])], "vec_id long, embedding array<double>")).collect()
+
+
 # -- 5
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
