@@ -17,7 +17,8 @@ from terracube.llm import text_arrays as ta
 from terracube.llm.apportion import sainte_lague
 from terracube.llm.exact_dedup import exact_duplicates
 from terracube.llm.line_dedup import dedup_lines
-from terracube.llm.lm_score import _estimate, build_tree, score_texts
+from terracube.llm.lm_score import _estimate, framed, log_prices, score_texts, top_levels, weigh
+from terracube.llm.lm_score import grams as byte_runs
 from terracube.llm.mixing import mix_sources, mixed_documents, targets
 from terracube.llm.near_dedup import components, near_duplicates, prob_min_hash
 from terracube.llm.top_k import top_k, whole_vectors
@@ -572,22 +573,87 @@ def test_lm(docs, none, spark):
     assert score_texts(none).count() == 0
 
 
-def test_tree_is_a_distribution_and_weights_depths():
+def brute_weights(texts, depth):
+    """Context-tree weighting straight from its definition: chances of a one by context and decision, contexts as byte strings."""
+    counts = defaultdict(lambda: [0, 0])
+    for t in texts:
+        t = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(t)):
+            for b in range(8):
+                for d in range(depth + 1):
+                    counts[t[i - d : i], (1 << b) | (t[i] >> (8 - b))][(t[i] >> (7 - b)) & 1] += 1
+    longer = defaultdict(list)
+    for c, p in counts:
+        if c:
+            longer[c[1:], p].append(c)
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    weighted = {}
+    for c, p in sorted(counts, key=lambda x: -len(x[0])):
+        own = kt(*counts[c, p])
+        weighted[c, p] = own if len(c) == depth else np.logaddexp(own, sum(weighted[x, p] for x in longer[c, p])) - math.log(2)
+
+    def chance(context, p, d=0):
+        c = context[len(context) - d :]
+        if (c, p) not in counts:
+            return 0.5
+        z, o = counts[c, p]
+        own = (o + 0.5) / (z + o + 1)
+        if d == depth:
+            return own
+        stop = math.exp(kt(z, o) - math.log(2) - weighted[c, p])
+        return stop * own + (1 - stop) * chance(context, p, d + 1)
+
+    def score(t):
+        t, out = b"\xff" * depth + t + b"\xff", 0.0
+        for i in range(depth, len(t)):
+            for b in range(8):
+                one = chance(t[i - depth : i], (1 << b) | (t[i] >> (8 - b)))
+                out += math.log(one if (t[i] >> (7 - b)) & 1 else 1 - one)
+        return out
+
+    return score
+
+
+def test_weights_are_those_of_the_definition(docs, spark):
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    rows = [(r.doc_id, r.text or "") for r in docs.where("doc_id is null or doc_id not in (7, 8)").collect()]
+    score = brute_weights([lower(t).encode() for i, t in rows if fold(i) != 2], 3)
+    want = sorted((str(i), round(score(lower(t).encode()) / math.log(10), 4)) for i, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (10, 1 << 20):  # prices by join, and by broadcast
+        got = sorted((str(r.doc_id), round(r.score, 4)) for r in score_texts(df, depth=3, grams=few, words=few).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        np.testing.assert_allclose([x for _, x in got], [x for _, x in want], rtol=1e-4)
+
+
+def test_prices_are_a_distribution():
     rng = np.random.default_rng(0)
     text = bytes(rng.choice(list(b"ab"), 400)) + b"abcabcabc" * 50
-    rows = Counter()
-    for d in range(3):
-        for t in range(2, len(text)):
-            context = int.from_bytes(text[t - d : t], "big") if d else 0
-            rows[(d, context, text[t])] += 1
-    d, ctx, s, n = (np.array(x) for x in zip(*((*k, v) for k, v in rows.items()), strict=True))
-    tree = build_tree(d, ctx, s, n, 2)
-    np.testing.assert_allclose(np.exp(tree.log_p).sum(axis=1), 1, atol=1e-4)
-    at = tree.child[tree.child[0, ord("c")], ord("b")]
-    assert np.exp(tree.log_p[at, ord("a")]) > 0.9
+    data = np.frombuffer(text, np.uint8)
+    keys, n = np.unique(byte_runs(*framed(data, np.array([0, len(data)]), 3)[:2], 3), return_counts=True)
+    context = np.unique(keys >> np.uint64(8))[:5]
+    every = (context[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()
+    more = np.setdiff1d(every, keys)
+    both, times = np.concatenate([keys, more]), np.concatenate([n, np.zeros(len(more), np.int64)])
+    ones, needs = weigh(both, times, 3)
+    price = log_prices(both, ones, *top_levels(*(np.concatenate(x) for x in zip(*needs, strict=True))))
+    for c in context:
+        assert np.exp(price[both >> np.uint64(8) == c]).sum() == pytest.approx(1, abs=1e-4)
     assert _estimate(np.array([1.0]), np.array([1.0]))[0] == pytest.approx(math.log(1 / 8))
 
 
+def test_held_out_texts_cost_less_than_by_short_contexts(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(150)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words, 60))) for i in range(400)], "doc_id long, text string")
+    held = lambda depth: score_texts(df, depth=depth).where("held_out").agg(F.avg("bits_per_byte"), F.sum("score"), F.sum("base_score")).first()
+    deep, short = held(6), held(2)
+    assert deep[0] < 0.8 * short[0]
+
+
 def test_sha_of_lines_matches_python(docs):
     out = dedup_lines(docs).where("doc_id = 10").select(F.sha2("text", 256).alias("h")).first()
     assert out.h == hashlib.sha256(b"another\nshort").hexdigest()
