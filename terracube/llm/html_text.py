@@ -19,8 +19,9 @@ from . import text_arrays as ta
 
 # -- blocks ------------------------------------------------------------------------------------
 
+# A quote that is not closed, or closed in the middle of something, ends with its tag at the next ">".
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?:[^<>"']|"[^"]{0,65536}"(?=[\s/>])|'[^']{0,65536}'(?=[\s/>]))*+)>|<(?P<odd_end>/?)(?P<odd_tag>[a-zA-Z][a-zA-Z0-9]*)(?P<odd_rest>[^<>]*)>|<[!?/][^<>]*>|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -60,12 +61,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text.append(t)
             links += len(t) * (in_link > 0)
             continue
-        if m["tag"] is None:
+        tag, closes, rest = (m["tag"], m["end"], m["rest"]) if m["tag"] else (m["odd_tag"], m["odd_end"], m["odd_rest"])
+        if tag is None:
             continue
-        tag = m["tag"].lower()
+        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = 0 if closes else 1
             continue
         if tag == "br":
             text.append(" ")
@@ -76,7 +78,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         end_block()
         in_link = 0
-        if m["end"]:
+        if closes:
             while opened[tag] and leave() != tag:
                 pass
             continue
@@ -84,7 +86,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             leave()
         while path and path[-1][0] in CLOSES.get(tag, ()):
             leave()
-        names = " ".join(next(filter(None, x), "") for x in _NAMED.findall(m["rest"])) if m["rest"] else ""
+        names = " ".join(next(filter(None, x), "") for x in _NAMED.findall(rest)) if rest else ""
         path.append((tag, f"{tag} {names.lower()}" if names else tag))
         opened[tag] += 1
     end_block()
@@ -337,8 +339,8 @@ def extract_text(df: DataFrame, html_col: str = "html", n: int = 480, seed: int
 
     The page is cut into leaf blocks; each block's tag path, words and length become numbers; a bidirectional LSTM labels
     every block from the whole page; blocks labelled main are joined by line feeds. It is trained on ``n`` pages made by rule.
-    A null, empty or broken page gives the blocks that can be read, or an empty text; a column named ``text`` is replaced.
-    One pass, no shuffle; memory follows the longest page of a task.
+    A null, empty or broken page gives the blocks that can be read, or an empty text; an unclosed quote ends with its tag; tags may be nested to any depth.
+    Repeated rows are read each; a column named ``text`` is replaced, all others stay. One pass, no shuffle; memory follows the longest page of a task.
     """
     names = [c for c in df.columns if c != "text" or c == html_col]
     model = df.sparkSession.sparkContext.broadcast(trained(n, seed))  # some thousand numbers

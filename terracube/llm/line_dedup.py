@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text_arrays as ta
-from .shared import NO_ID, stash
+from .shared import NO_ID, free_name, stash
 
 MIN_POINTS = 10
 LINES_A_SHARD = 20_000
-MOST_SHARDS = 10_000
+HOT_SHARE = 10_000
+PARTS_OF_NO_ID = 4_096
 
 INDEX = "shard int, levels array<int>, bits binary, fingerprints binary, counts binary, owners binary"
-PROBES = "shard int, doc long, h1 long, h2 long"
+PROBES = "shard int, doc long, part int, h1 long, h2 long"
 
 
 # -- one shard ---------------------------------------------------------------------------------
@@ -113,9 +114,9 @@ def _line_hashes(least: int):
         for batch in batches:
             for part in ta.slices(batch, "text"):
                 _, _, row, h1, h2, n = _keyed_lines(part, "text")
-                doc = part.column("doc").to_numpy(zero_copy_only=False)[row]
+                doc, share = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "part"))
                 keep = n >= least
-                table = pd.DataFrame({"doc": doc[keep], "h1": h1[keep], "h2": h2[keep]}).drop_duplicates()
+                table = pd.DataFrame({"doc": doc[keep], "part": share[keep], "h1": h1[keep], "h2": h2[keep]}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(table, preserve_index=False)
 
     return run
@@ -127,15 +128,15 @@ def _send(least: int, shards: int, hot_shard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = Shard.of(hot_shard.value) if hot_shard.value else None
         for batch in _line_hashes(least)(batches):
-            doc, h1, h2 = (batch.column(c).to_numpy() for c in ("doc", "h1", "h2"))
+            doc, part, h1, h2 = (batch.column(c).to_numpy() for c in ("doc", "part", "h1", "h2"))
             shard = h1 % shards
             if hot is not None:
                 hit = hot.holds(h1, h2)
                 drop = hot.drops(doc, h1, h2)
                 shard[drop] = -1 - doc[drop] % 10_007
                 stay = drop | ~hit
-                doc, h1, h2, shard = doc[stay], h1[stay], h2[stay], shard[stay]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(doc), pa.array(h1), pa.array(h2)], ["shard", "doc", "h1", "h2"])
+                doc, part, h1, h2, shard = doc[stay], part[stay], h1[stay], h2[stay], shard[stay]
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(doc), pa.array(part), pa.array(h1), pa.array(h2)], ["shard", "doc", "part", "h1", "h2"])
 
     return run
 
@@ -159,17 +160,17 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             doc, h1, h2 = (part.column(c).to_numpy() for c in ("doc", "h1", "h2"))
             drop = shard.drops(doc, h1, h2) if now >= 0 else np.ones(len(doc), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[drop]), pa.array(h1[drop])], ["doc", "h1"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[drop]), part.column("part").filter(pa.array(drop)), pa.array(h1[drop])], ["doc", "part", "h1"])
 
 
-def _rewrite(text_col: str, names: list[str]):
+def _rewrite(text_col: str, names: list[str], drops_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.slices(batch, text_col):
                 texts, counts, dropped = part.column(text_col).to_pylist(), [], []
                 starts, ends, row, h1, _, n = _keyed_lines(part, text_col)
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                drops = part.column("_drops").to_pylist()
+                drops = part.column(drops_col).to_pylist()
                 raw, _ = ta.raw(part.column(text_col))
                 for i, drop in enumerate(drops):
                     a, b = first[i], first[i + 1]
@@ -191,37 +192,41 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     points or more that occurs in two documents or more keeps its lines in the smallest id only.
     A null text is one empty line and stays null; rows with the same id are one document; null ids count
     as one document with the largest id. Empty tables give empty results; columns named like the results
-    are replaced.
+    are replaced, all others stay, whatever their names.
 
-    Scale: three passes over the texts. Only (hash, hash, id) of lines is dealt out by key; shards grow
-    in number with the lines, up to 10,000, and one shard at a time is in a task's memory. A key in more than one shard's
-    share of all lines is hot: there are fewer such keys than shards, so they are handed to every task
-    and their lines are never sent. Texts move once, to meet the list of their dropped lines.
+    Scale: three passes over the texts. Only (hash, hash, id) of lines is dealt out by key; shards of about 20,000 lines grow
+    in number with the lines, and one shard's arrays at a time are in a task's memory. A key in more than a 10,000th of
+    all lines is hot: there are fewer such keys than that, so they are handed to every task
+    and their lines are never sent. Texts move once, to meet the list of their dropped lines; the rows without an id, though one document,
+    meet theirs in parts.
     """
     spark = df.sparkSession
-    df = df.drop("n_lines", "n_dropped", "_doc", "_drops")
-    keyed = df.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    df = df.drop("n_lines", "n_dropped")
+    doc = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long")
+    share = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(F.col(text_col)), F.lit(PARTS_OF_NO_ID))).otherwise(F.lit(0)).cast("int")
+    keyed = df.select(doc.alias("doc"), share.alias("part"), F.col(text_col).cast("string").alias("text"))
 
     seen = Observation()
-    keys = keyed.mapInArrow(_line_hashes(least), "doc long, h1 long, h2 long").groupBy("h1", "h2")
+    keys = keyed.mapInArrow(_line_hashes(least), "doc long, part int, h1 long, h2 long").groupBy("h1", "h2")
     keys = keys.agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     repeated = stash(keys.observe(seen, F.sum("n").alias("lines")).where("owner < last").select("h1", "h2", "owner", "n"))
     total = seen.get["lines"] or 0
-    shards = int(min(MOST_SHARDS, max(1, -(-total // LINES_A_SHARD))))
+    shards = max(1, -(-total // LINES_A_SHARD))
 
-    is_hot = F.col("n") * F.lit(shards) > F.lit(total)
-    hot = repeated.where(is_hot).select("h1", "h2", "owner", "n").toPandas()  # fewer rows than shards
+    is_hot = F.col("n") * F.lit(min(shards, HOT_SHARE)) > F.lit(total)
+    hot = repeated.where(is_hot).select("h1", "h2", "owner", "n").toPandas()  # fewer than HOT_SHARE rows
     hot_shard = spark.sparkContext.broadcast(build_shard(hot.assign(shard=0)).iloc[0].to_dict() if len(hot) else None)
     index = repeated.where(~is_hot).withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     index = index.groupBy("shard").applyInPandas(build_shard, INDEX)
 
     sent = keyed.mapInArrow(_send(least, shards, hot_shard), PROBES)
     rows = index.unionByName(sent, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("levels").isNull())
-    drops = rows.mapInArrow(_probe, "doc long, h1 long").groupBy("doc").agg(F.collect_set("h1").alias("_drops"))
+    d, p, gone = (free_name(df, c) for c in ("_doc", "_part", "_drops"))
+    drops = rows.mapInArrow(_probe, "doc long, part int, h1 long").groupBy(F.col("doc").alias(d), F.col("part").alias(p)).agg(F.collect_set("h1").alias(gone))
 
-    joined = df.withColumn("_doc", F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long")).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    joined = df.withColumns({d: doc, p: share}).join(drops, [d, p], "left")
     schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.select(*df.columns, "_drops").mapInArrow(_rewrite(text_col, df.columns), schema)
+    return joined.select(*df.columns, gone).mapInArrow(_rewrite(text_col, df.columns, gone), schema)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -389,7 +389,8 @@ def find_pii(df: DataFrame, text_col: str = "text", rows: int = 900, seed: int =
 
     Offsets count code points, ends are exclusive. ``pii_base`` has what the fixed patterns match,
     ``pii_spans`` also what the random field finds where no pattern matched and what passes its kind's check of digits.
-    Null and empty texts have no spans; columns of the same names are replaced. One pass over the texts, no shuffle.
+    Null and empty texts have no spans; repeated rows are read each; lines of a very long text are sequences of their own, long ones cut between plain
+    words; columns of the same names are replaced, all others stay. One pass over the texts, no shuffle.
     """
     df = df.drop("pii_base", "pii_spans")
     model = df.sparkSession.sparkContext.broadcast(trained(rows, seed))  # some thousand numbers

@@ -11,6 +11,14 @@ from terracube.sources.scratch import new_path
 NO_ID = (1 << 63) - 1
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -157,6 +158,19 @@ def test_mix(spark, docs, none, monkeypatch, shards):
     assert all(made[i] == n for i, n in words.items())
 
 
+def test_many_sources_are_apportioned_alike(spark, monkeypatch):
+    from terracube.llm import mixing
+
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i:03d}" if i else None, int(x), 3) for i, x in enumerate(rng.integers(0, 4000, 130))]
+    df = spark.createDataFrame(rows, "source string, source_size long, _docs long")
+    for weights in ((5, 2, 1), (1,), (1, 400)):
+        one, other = (as_rows(f(df, weights, 32, 3), "source", "_blocks") for f in (mixing._plan_here, mixing._plan_spread))
+        assert one == other
+        goal = [dict(as_rows(f(df, weights, 32, 3), "source", "target")) for f in (mixing._plan_here, mixing._plan_spread)]
+        assert all(goal[0][s] == pytest.approx(goal[1][s]) for s in goal[0])
+
+
 def test_mix_emits_the_chosen_blocks(spark):
     sizes = [3 + (i * 37) % 90 for i in range(80)]
     rows = [(i, "  ".join(f"d{i}w{k}" for k in range(n)), "abc"[i % 3]) for i, n in enumerate(sizes)]
@@ -475,6 +489,27 @@ def test_field_learns_and_adds():
     assert set(base) <= set(every) and (5, 19, 3) in every and len(base) == 1
 
 
+def test_what_the_field_adds_on_other_lines(spark):
+    """Held-out lines in forms that no fixed pattern knows, written by hand, not by the rules of the training table."""
+    rng = np.random.default_rng(77)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    card = lambda: next(h + c for h in ["4" + digits(14)] for c in "0123456789" if pii.luhn(h + c))
+    rows, want = [], []
+    for i in range(400):
+        c = card()
+        made = [
+            ("Please phone the office at ", f"({digits(3)}) {digits(3)}-{digits(4)}", " before noon.", 3), ("Her number is ", f"{digits(3)}-{digits(3)}-{digits(4)}", ", ask for her.", 3),
+            ("Paid with ", ".".join(c[k : k + 4] for k in range(0, 16, 4)), " last week", 2), ("In version 2.4.1 the price was 1,250 or 12.50 on 2021-03-14 at ", "", "10:30", -1), ("Order 48213 has 17 items, see page 3-12 and room ", "", "B12.", -1),
+        ][i % 5]
+        rows.append((i, made[0] + made[1] + made[2]))
+        want += [(i, len(made[0]), len(made[0]) + len(made[1]), made[3])] if made[3] >= 0 else []
+    got = [(r.doc_id, s.start, s.end, pii.KINDS.index(s.kind)) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.pii_spans]
+    assert not [r for r in rows if brute_spans(r[1]) and r[0] % 5 in (0, 1, 2)]  # the patterns find none of them
+    for kind in (2, 3):
+        g, w = ({x for x in y if x[3] == kind} for y in (got, want))
+        assert len(g & w) >= 0.9 * len(w) and len(g & w) >= 0.9 * len(g), (kind, len(g), len(w), len(g & w))
+
+
 def test_pii(docs, none):
     got = pii.find_pii(docs.select("doc_id", "text", F.lit(1).alias("pii_base")))
     for r in got.collect():
@@ -504,6 +539,27 @@ def test_end_tags_of_deep_parts_close_their_own():
         assert len(found["Deep."]) == min(64, deep + 4) and found["Deep."][-1] == "p"
 
 
+def test_broken_tags_leave_no_markup():
+    found = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    assert found('<p title="x>Broken one.</p><p class="y">Next.</p>') == ["Broken one.", "Next."]
+    assert found("<p title='it\"s > here' id=a>Whole.</p><p data-x=\"<b>\">Tag inside.</p>") == ["Whole.", "Tag inside."]
+    assert found('<a title="1"class="2">Link</a><p title=a"b>Odd.</p>') == ["Link", "Odd."]
+    for hostile in ("<p title='" * 20_000, "<a " * 50_000, "<!" * 50_000, '<p a="' * 20_000, "<div>" * 20_000 + "deep"):
+        began = time.time()
+        html_text.blocks(hostile)
+        assert time.time() - began < 20
+
+
+def test_other_layouts_and_odd_pages(spark):
+    """Pages written by hand: other containers than the training pages', comments and notices inside the article, very long and repeated ones."""
+    side = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+    page = f"<html><body>{side}<main><article><h1>On rivers</h1><p>Rivers carry water and silt to the sea, and they change their beds.</p><div class='advert'>Buy a boat now!</div><p>Floods come in spring, when snow melts in the hills.</p></article></main><div class='comments'><div class='comment'><p>Nice text.</p></div></div><footer>&copy; 2020 Rivers</footer></body></html>"
+    long = page.replace("<p>Floods", "<p>Many more words about rivers and their banks stand in this line.</p>" * 3000 + "<p>Floods")
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame([(1, page), (2, page), (3, long)], "page_id long, html string")).collect()}
+    assert got[1] == got[2] == "On rivers\nRivers carry water and silt to the sea, and they change their beds.\nFloods come in spring, when snow melts in the hills."
+    assert len(got[3].split("\n")) == 3003
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4, 3, html_text.WIDTH))
