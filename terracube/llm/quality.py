@@ -234,7 +234,7 @@ def told_lexicon(df: DataFrame, labels: DataFrame | None, id_col: str, text_col:
         return np.zeros(0, np.uint64)
     labels = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "toxic")
     step = max(1, labels.count() // sample)
-    some = labels.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).limit(2 * sample)
+    some = labels.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).orderBy(F.xxhash64(id_col), id_col, "toxic").limit(2 * sample)
     texts = df.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), id_col).select("text", "toxic").dropDuplicates(["text", "toxic"])
     counts = texts.mapInArrow(_items, "item long, toxic int").groupBy("item").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     least = max(3, int(share * (some.where("toxic = 1").count())))
@@ -262,7 +262,7 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     patterns = np.array([[int(x) for x in v.split(",")] for v in found["votes"]])
     accuracy = label_model(patterns, found["n"].to_numpy())
     step = max(1, int(found["n"].sum()) // sample)
-    rows = texts.where(F.pmod("h", F.lit(step)) == 0).select("text").limit(2 * sample)
+    rows = texts.where(F.pmod("h", F.lit(step)) == 0).orderBy("h").select("text").limit(2 * sample)
     got = rows.mapInArrow(_sampled(shared), "votes string, cells array<int>, values array<float>").toArrow()
     good = posterior(np.array([[int(x) for x in v.split(",")] for v in got["votes"].to_pylist()]).reshape(got.num_rows, -1), accuracy)
     row = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got["cells"]).to_numpy())
@@ -275,7 +275,7 @@ def score_quality(df: DataFrame, labels: DataFrame | None = None, id_col: str =
     labellers alone), ``votes`` (one number a labeller), ``keep`` (score of ``least`` or more).
 
     Null and empty texts, which no labeller speaks about, get a half and are kept. Repeated rows count each. Columns of the
-    same names are replaced. A few scans of the texts and no shuffle of them; 1 MB of weights goes to each task.
+    same names are replaced, all others stay; a very long text is read whole. A few scans of the texts and no shuffle of them; 1 MB of weights goes to each task.
     """
     names = ["quality_score", "label_score", "votes", "keep"]
     df = df.drop(*names)
