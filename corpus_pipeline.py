@@ -10,7 +10,7 @@ from terracube.llm.mixing import mixed_documents
 from terracube.llm.near_dedup import near_duplicates
 from terracube.llm.packing import pack
 from terracube.llm.quality import score_quality
-from terracube.llm.shared import NO_ID
+from terracube.llm.shared import NO_ID, free_name
 from terracube.sources.scratch import new_path
 
 
@@ -27,9 +27,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    key, text_key = free_name(docs, "_id"), free_name(docs, "_hash")
+    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("text_hash").alias(text_key)).distinct()
+    keyed = docs.withColumns({key: F.coalesce("doc_id", F.lit(NO_ID)), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(kept, [key, text_key], "left_semi").dropDuplicates([key, text_key]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
