@@ -149,14 +149,19 @@ class Index:
         if keys is not None:
             self.add(keys)
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """The highest bits of a product: keys that share their lowest bits must not crowd."""
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self._table).bit_length())).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 for those that are not there."""
-        mask = np.uint64(len(self._table) - 1)
-        at = (keys & mask).astype(np.int64)
+        mask = len(self._table) - 1
+        at = self._places(keys)
         out = self._table[at]
         wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         while len(wrong):
-            at[wrong] = (at[wrong] + 1) & int(mask)
+            at[wrong] = (at[wrong] + 1) & mask
             out[wrong] = found = self._table[at[wrong]]
             wrong = wrong[(found >= 0) & (self.keys[found] != keys[wrong])]
         return out
@@ -172,7 +177,7 @@ class Index:
             self._table = np.full(1 << int(2 * total).bit_length(), -1, np.int32)
             new = np.arange(total, dtype=np.int32)
         self.size, mask = total, len(self._table) - 1
-        at = (self.keys[new] & np.uint64(mask)).astype(np.int64)
+        at = self._places(self.keys[new])
         while len(new):
             free = self._table[at] < 0
             self._table[at[free]] = new[free]
