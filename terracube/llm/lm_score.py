@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from . import text_arrays as ta
 from .shared import stash
 
-DEPTH = 6
+DEPTH = 5
 MOST_GRAMS = 1 << 21
 MOST_WORDS = 1 << 19
 GRAMS_A_TASK = 400_000
@@ -48,12 +48,16 @@ class _Counter:
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size = self.loose = 0
 
     def add(self, keys: np.ndarray, weight: int = 1) -> None:
         found, times = np.unique(keys, return_counts=True)
         self.parts.append((found, times * weight))
         self.size += len(found)
+        self.loose += len(found)
+        if self.loose > 800_000:
+            self.parts = [self.total()]
+            self.size, self.loose = len(self.parts[0][0]), 0
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -75,7 +79,7 @@ def _counted(depth: int):
 
         counters = [_Counter(), _Counter()]
         for batch in batches:
-            for part in ta.slices(batch, "text"):
+            for part in ta.slices(batch, "text", ta.SLICE_BYTES // 2):
                 held = part.column("held_out").to_numpy(zero_copy_only=False)
                 data, offsets = ta.raw(part.column("text"))
                 frame, places, rows = framed(data, offsets, depth)
@@ -85,7 +89,7 @@ def _counted(depth: int):
                 a, b, row = ta.words(data, offsets)
                 counters[1].add(ta.span_hash(ta.LOWER[data], a, b, 9)[~held[row]])
                 for kind in (0, 1):
-                    if counters[kind].size > 3_000_000:
+                    if counters[kind].size > 2_000_000:
                         yield from out(kind, counters[kind])
                         counters[kind] = _Counter()
         for kind in (0, 1):
@@ -247,7 +251,7 @@ def _scored(shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prices, price, words, times = shared.value
         for batch in batches:
-            for part in ta.slices(batch, "text"):
+            for part in ta.slices(batch, "text", ta.SLICE_BYTES // 2):
                 data, offsets = ta.raw(part.column("text"))
                 n = part.num_rows
                 frame, places, rows = framed(data, offsets, depth)
