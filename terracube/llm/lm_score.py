@@ -14,7 +14,7 @@ from . import text_arrays as ta
 from .shared import stash
 
 DEPTH = 5
-MOST_GRAMS = 1 << 21
+MOST_GRAMS = 1 << 20
 MOST_WORDS = 1 << 19
 GRAMS_A_TASK = 400_000
 FOLDS, HELD_OUT = 7, 2
@@ -284,7 +284,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     Scale: one scan counts byte runs and words and sums them by key. Byte runs are dealt by their two latest bytes, so that a task
     holds whole subtrees and weighs all their depths at once, about 400,000 runs to a task; of depths 0 and 1, 65,280 nodes at most, the sums meet in the driver and the mixture goes to all tasks. The
-    price of each byte run is then a column of a table. The ``grams`` most frequent prices (40 MB) and ``words`` word counts (10 MB) are broadcast; all others
+    price of each byte run is then a column of a table. The ``grams`` most frequent prices (20 MB) and ``words`` word counts (10 MB) are broadcast; all others
     are joined by key, as (row, key) pairs, and no text is shuffled.
     """
     spark = df.sparkSession
