@@ -104,9 +104,14 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 100) -> DataFra
     return counted.select("variable", "bin", (F.col("lo") + F.col("bin") * width).alias("left"), "n")
 
 
-def category_quantiles(df: DataFrame, value: str, category: str = "category", t: str = "t") -> DataFrame:
-    """Across the cells of a category at each time: p10, p90, min, max, median."""
-    return df.groupBy(category, t).agg(F.percentile(value, 0.1).alias("p10"), F.percentile(value, 0.9).alias("p90"), F.min(value).alias("vmin"), F.max(value).alias("vmax"), F.percentile(value, 0.5).alias("median"))
+def category_quantiles(df: DataFrame, value: str, category: str = "category", t: str = "t", accuracy: int | None = None) -> DataFrame:
+    """Across the cells of a category at each time: p10, p90, min, max, median.
+
+    Exact quantiles keep a group's distinct values in memory. With ``accuracy`` they come from sketches of bounded size, each a value of the group whose
+    rank is off by at most a share of 1 / accuracy: for categories with very many cells.
+    """
+    at = (lambda p: F.percentile(value, p)) if accuracy is None else (lambda p: F.percentile_approx(value, p, accuracy))
+    return df.groupBy(category, t).agg(at(0.1).alias("p10"), at(0.9).alias("p90"), F.min(value).alias("vmin"), F.max(value).alias("vmax"), at(0.5).alias("median"))
 
 
 def monthly_climatology(df: DataFrame, value: str, cell: str = "cell_id", t: str = "t") -> DataFrame:

@@ -770,9 +770,9 @@ def score_two_stage(spark, d):
     return rounded(sc.score_two_stage(static_, indexed(spark, d), parameters, [("k", 0.1, 0.9)], head, ["lat_i", "lon_i"], ["click"]), 6)
 
 
-@query(f"WITH {PAIRS} SELECT category, round(quantile_cont(abs(p - o), 0.5), 4) AS value FROM ok GROUP BY 1")
+@query(f"WITH {PAIRS} SELECT cell_id, round(quantile_cont(abs(y_pred - y_true), 0.5), 4) AS value FROM pairs GROUP BY 1")
 def user_metric(spark, d):
-    return rounded(sc.user_metric(pairs(spark, d), lambda o, p: float(np.median(np.abs(p - o))), ["category"]))
+    return rounded(sc.user_metric(pairs(spark, d), lambda o, p: float(np.median(np.abs(p - o))), ["cell_id"]))  # a cell's series, never a category
 
 
 # -- set operations and joins that the rest doesn't show ---------------------------------------

@@ -1,5 +1,7 @@
 """Formulas, round trips, degenerate groups, and independence of partitioning."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,6 +19,7 @@ from terracube.operators import stats as st
 from terracube.operators import uncertainty as un
 from terracube.plans import calibration, evaluation, training_samples
 from terracube.sources import grids as io
+from terracube.sources import scratch
 
 
 @pytest.fixture(scope="module")
@@ -207,6 +210,26 @@ def test_scoring_and_user_metric(small):
     assert got.join(small.fillna(0.0), ["cell_id", "t_i"]).where("abs(y_hat - 2 * y_pred) > 1e-9").count() == 0
     med = sc.user_metric(small, lambda o, p: float(len(o)), ["cell_id"]).where("cell_id = 7").first()
     assert med.value <= 1
+    none = sc.user_metric(small.withColumn("y_true", F.lit(None).cast("double")), lambda o, p: float(np.median(o)), ["cell_id"])
+    assert none.where("value is not null").count() == 0 < none.count()
+
+
+def test_quantiles_by_sketches(spark):
+    df = spark.range(10_001).select((F.col("id") % 2).alias("category"), F.lit(0).alias("t"), F.col("id").cast("double").alias("v"))
+    exact = {r.category: r for r in ev.category_quantiles(df, "v").collect()}
+    for r in ev.category_quantiles(df, "v", accuracy=1000).collect():
+        assert all(abs(r[c] - exact[r.category][c]) <= 10_001 / 1000 + 1 for c in ("p10", "median", "p90"))
+        assert (r.vmin, r.vmax) == (exact[r.category].vmin, exact[r.category].vmax)
+
+
+def test_shared_folder_is_cleared(spark):
+    session = spark.newSession()
+    path = scratch.new_path(session)
+    session.range(3).write.parquet(path)
+    assert session.read.parquet(path).count() == 3
+    folder = scratch.shared_folder(session).removeprefix("file://")
+    scratch.clear(session)
+    assert not os.path.exists(f"{folder}/{session.sparkContext.applicationId}")
 
 
 def test_jobs(spark, small, tmp_path):
