@@ -24,6 +24,7 @@ MIN_POINTS = 10
 LINES_A_SHARD = 20_000
 HOT_SHARE = 10_000
 PARTS_OF_NO_ID = 4_096
+COUNTS = ("n_lines", "n_dropped")
 
 INDEX = "shard int, levels array<int>, bits binary, fingerprints binary, counts binary, owners binary"
 PROBES = "shard int, doc long, part int, h1 long, h2 long"
@@ -180,7 +181,7 @@ def _rewrite(text_col: str, names: list[str], drops_col: str):
                     if dropped[-1]:
                         texts[i] = b"\n".join(raw[s:e].tobytes() for s, e, g in zip(starts[a:b], ends[a:b], gone, strict=True) if not g).decode()
                 columns = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*names, *COUNTS])
 
     return run
 
@@ -201,7 +202,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     meet theirs in parts.
     """
     spark = df.sparkSession
-    df = df.drop("n_lines", "n_dropped")
+    df = df.drop(*COUNTS)
     doc = F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long")
     share = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(F.col(text_col)), F.lit(PARTS_OF_NO_ID))).otherwise(F.lit(0)).cast("int")
     keyed = df.select(doc.alias("doc"), share.alias("part"), F.col(text_col).cast("string").alias("text"))
@@ -225,7 +226,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     drops = rows.mapInArrow(_probe, "doc long, part int, h1 long").groupBy(F.col("doc").alias(d), F.col("part").alias(p)).agg(F.collect_set("h1").alias(gone))
 
     joined = df.withColumns({d: doc, p: share}).join(drops, [d, p], "left")
-    schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
     return joined.select(*df.columns, gone).mapInArrow(_rewrite(text_col, df.columns, gone), schema)
 
 

@@ -22,6 +22,7 @@ LABELLERS = ("symbol_share", "marked_words", "shouted_letters", "shouted_words",
 CELLS = 1 << 18
 SAMPLE = 3_000
 LABELLED_SAMPLE = 16_000
+RESULTS = ("quality_score", "label_score", "votes", "keep")
 
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#$%&*^~|<>{}[]\\=_"])
 _UPPER, _ASCII_LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -277,11 +278,10 @@ def score_quality(df: DataFrame, labels: DataFrame | None = None, id_col: str =
     Null and empty texts, which no labeller speaks about, get a half and are kept. Repeated rows count each. Columns of the
     same names are replaced, all others stay; a very long text is read whole. A few scans of the texts and no shuffle of them; 1 MB of weights goes to each task.
     """
-    names = ["quality_score", "label_score", "votes", "keep"]
-    df = df.drop(*names)
+    df = df.drop(*RESULTS)
     model = df.sparkSession.sparkContext.broadcast(fit(df, labels, id_col, text_col, sample))
     kinds = [T.DoubleType(), T.DoubleType(), T.ArrayType(T.IntegerType()), T.BooleanType()]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, k) for c, k in zip(names, kinds, strict=True))])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, k) for c, k in zip(RESULTS, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -293,7 +293,7 @@ def score_quality(df: DataFrame, labels: DataFrame | None = None, id_col: str =
                 z = np.bincount(row, weights=m.cells[cell] * value, minlength=part.num_rows).astype(float) + m.bias
                 score = np.where(np.bincount(p.row, minlength=part.num_rows) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.5)
                 new = [pa.array(score), pa.array(posterior(v, m.accuracy)), pa.array(list(v.astype(np.int32)), pa.list_(pa.int32())), pa.array(score >= least)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *RESULTS])
 
     return df.mapInArrow(run, schema)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracube.sources.scratch import new_path
@@ -19,6 +21,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns that are called like ``names`` under free names, and the columns that give back all under their own."""
+    clash = {n.lower() for n in names}
+    moved = {c: free_name(df, c + "_") for c in df.columns if c.lower() in clash}
+    return df.withColumnsRenamed(moved), [F.col(moved.get(c, c)).alias(c) for c in df.columns]
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
