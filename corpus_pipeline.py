@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracube.llm.line_dedup import dedup_lines
+from terracube.llm.line_dedup import COUNTS, dedup_lines
 from terracube.llm.mixing import mixed_documents
 from terracube.llm.near_dedup import near_duplicates
 from terracube.llm.packing import pack
-from terracube.llm.quality import score_quality
-from terracube.llm.shared import NO_ID, free_name
+from terracube.llm.quality import RESULTS, score_quality
+from terracube.llm.shared import NO_ID, free_name, set_aside
 from terracube.sources.scratch import new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels).where("keep").select(*docs.columns)
+    free, own = set_aside(docs, RESULTS)
+    return score_quality(free, labels).where("keep").select(*own)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document holds; n_chars follows the new text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    free, own = set_aside(docs, COUNTS)
+    return dedup_lines(free).withColumn("n_chars", F.length("text").cast("long")).select(*own)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
