@@ -21,6 +21,7 @@ LABELLERS = ("symbol_share", "marked_words", "shouted_letters", "shouted_words",
 
 CELLS = 1 << 18
 SAMPLE = 3_000
+SAMPLE_BYTES = 1 << 25
 LABELLED_SAMPLE = 16_000
 RESULTS = ("quality_score", "label_score", "votes", "keep")
 
@@ -252,7 +253,8 @@ class Model(NamedTuple):
 
 def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Learn from the texts. Vote patterns are counted over all rows; the linear scorer learns from about ``sample`` rows
-    chosen by hash, and never from more than twice as many. ``labels`` (id, toxic), if given, tells one labeller which words to mind."""
+    chosen by hash, never from more than twice as many, nor from more than ``SAMPLE_BYTES`` of text (and what the last row has beyond that); rows that repeat
+    an id with its text count once there. ``labels`` (id, toxic), if given, tells one labeller which words to mind."""
     context = df.sparkSession.sparkContext
     lexicon = told_lexicon(df, labels, id_col, text_col, LABELLED_SAMPLE)
     shared = context.broadcast(lexicon)
@@ -263,7 +265,10 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     patterns = np.array([[int(x) for x in v.split(",")] for v in found["votes"]])
     accuracy = label_model(patterns, found["n"].to_numpy())
     step = max(1, int(found["n"].sum()) // sample)
-    rows = texts.where(F.pmod("h", F.lit(step)) == 0).orderBy("h").select("text").limit(2 * sample)
+    chosen = texts.where(F.pmod("h", F.lit(step)) == 0)
+    sizes = chosen.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).distinct().orderBy("h").limit(2 * sample).toPandas()  # two numbers a row
+    last = sizes["h"][sizes["n"].cumsum() - sizes["n"] < SAMPLE_BYTES].max()
+    rows = chosen.where(F.col("h") <= int(last) if len(sizes) else F.lit(False)).dropDuplicates(["h"]).orderBy("h").select("text")
     got = rows.mapInArrow(_sampled(shared), "votes string, cells array<int>, values array<float>").toArrow()
     good = posterior(np.array([[int(x) for x in v.split(",")] for v in got["votes"].to_pylist()]).reshape(got.num_rows, -1), accuracy)
     row = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got["cells"]).to_numpy())

@@ -587,6 +587,23 @@ def test_label_model_finds_accuracies():
     np.testing.assert_allclose(quality.label_model(patterns, n, weight=0.0), acc, atol=0.03)
 
 
+def test_long_texts_do_not_swell_the_sample(spark, monkeypatch):
+    rows = [(i, " ".join(f"word{(i * j) % 91}" for j in range(1, 200))) for i in range(60)] + [(7, "the same row again and again. " * 40)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = quality.fit(df, sample=10_000)
+    again = quality.fit(df.repartition(3), sample=10_000)
+    np.testing.assert_allclose(whole.cells, again.cells, rtol=1e-3, atol=1e-5)
+    seen = []
+    learn = quality.linear
+    monkeypatch.setattr(quality, "linear", lambda row, cell, value, label: seen.append(len(label)) or learn(row, cell, value, label))
+    quality.fit(df, sample=10_000)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 5_000)
+    quality.fit(df, sample=10_000)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1)
+    quality.fit(df, sample=10_000)
+    assert seen[0] == 61 and 3 <= seen[1] <= 10 and seen[2] == 1
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(5)
     words = [a + b for a in ("al", "be", "ga", "de", "ri", "sto", "li", "hou") for b in ("pha", "ta", "mma", "lta", "ver", "ne", "ght", "se")]
