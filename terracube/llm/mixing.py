@@ -169,7 +169,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     by_shard = sized.groupBy("source", "_shard").agg(F.sum("size").alias("_words"))
     by_shard = by_shard.join(known.drop("_shards"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     quotas = by_shard.groupBy("source").applyInPandas(_quotas(block), "source string, _shard int, _words long, source_size long, target double, _blocks long, _quota long")
-    # a shard's quota and its documents meet in one group of about 5,000 small rows
+    # a shard's quota and its documents meet in one group of about 500 small rows
     both = sized.withColumn("_tie", F.col("text_hash")).join(quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "source_size", "target", "_quota"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h"))).drop("_s", "_h")
     out = "doc_id long, source string, text_hash long, size long, _shard int, _tie long, source_size long, target double, _quota long, taken long, spans array<long>"
     return both.groupBy("source", "_shard").applyInPandas(_take(block, most, seed), out).drop("_shard", "_tie", "_quota").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
