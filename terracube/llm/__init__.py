@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten DataFrame jobs and the queries that apply them.
+"""Operators for preparing training text: thirteen DataFrame jobs and the queries that apply them.
 
 Nothing outside this subpackage imports it, and it can be removed as a whole.
 """
