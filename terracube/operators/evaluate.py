@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracube.functions import metrics as m
-from terracube.operators.grid import running_sum
+from terracube.operators.ordered import null_safe_join, running_sum
+from terracube.sources.scratch import stash
 
 
 def skill(df: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] = tuple(m.METRICS), true: str = "y_true", pred: str = "y_pred", nulls: str = "drop", valid: str | None = None) -> DataFrame:
@@ -31,26 +32,22 @@ def global_table(maps: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()
     return long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def average_rank(x: str, keys: Sequence[str]) -> Column:
-    """Rank within a group; ties share the mean of their places."""
-    own = Window.partitionBy(*keys)
-    return F.rank().over(own.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / F.lit(2.0)
-
-
 def spearman(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """Rank correlation of each group, over pairs with both sides.
+    """Rank correlation of each group, over pairs with both sides. A NULL key is a group like others.
 
-    Ranks come from counts of distinct values: the rows below a value within its group. The counts are sorted by range over all tasks and
-    summed up range by range, so a large group, or the whole table without keys, is in no single task.
+    Ranks come from counts of distinct values, of both sides in one table: the rows below a value within its group. Counts are summed up bucket by bucket, so a
+    large group, or the whole table without keys, is in no single task. ``df`` is read once.
     """
     keys = list(keys)
-    pairs = df.where(F.col(true).isNotNull() & F.col(pred).isNotNull())
-    for column in (true, pred):
-        counts = pairs.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
-        below = running_sum(counts, keys, column, F.col("_c"), "_below")
-        ranks = below.select(*keys, column, (F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)).alias(f"_r_{column}"))
-        pairs = pairs.join(ranks, [*keys, column])
-    return pairs.groupBy(*keys).agg(m.pearson(F.col(f"_r_{true}"), F.col(f"_r_{pred}")).alias("spearman"))
+    pairs = stash(df.where(F.col(true).isNotNull() & F.col(pred).isNotNull()).select(*keys, F.col(true).cast("double").alias("_o"), F.col(pred).cast("double").alias("_p")))
+    sides = F.explode(F.array(F.struct(F.lit("_o").alias("_side"), F.col("_o").alias("_x")), F.struct(F.lit("_p").alias("_side"), F.col("_p").alias("_x")))).alias("_s")
+    counts = pairs.select(*keys, sides).select(*keys, "_s.*").groupBy(*keys, "_side", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    below = running_sum(counts, [*keys, "_side"], "_x", F.col("_c"), "_below")
+    ranks = stash(below.select(*keys, "_side", "_x", (F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)).alias("_rank")))
+    for side in ("_o", "_p"):
+        own = ranks.where(F.col("_side") == side).select(*keys, F.col("_x").alias(side), F.col("_rank").alias(f"_rank{side}"))
+        pairs = null_safe_join(pairs, own, [*keys, side])
+    return pairs.groupBy(*keys).agg(m.pearson(F.col("_rank_o"), F.col("_rank_p")).alias("spearman"))
 
 
 def spaef(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str = "y_pred", bins: int = 100, unit_range: bool = False) -> DataFrame:
@@ -69,14 +66,14 @@ def spaef(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str =
         lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
         return F.when(lo == hi, F.lit(bins // 2)).otherwise(F.least(F.floor(F.try_divide(F.col(c) - lo, hi - lo) * bins), F.lit(bins - 1)))
 
-    both = pairs if unit_range else pairs.join(stats.select(*keys, *[f"{n}_{c}" for c in "op" for n in ("lo", "hi")]), list(keys))
+    both = pairs if unit_range else null_safe_join(pairs, stats.select(*keys, *[f"{n}_{c}" for c in "op" for n in ("lo", "hi")]), keys)
     long = both.select(*keys, F.explode(F.array(F.struct(F.lit("o").alias("side"), bin_of("o").alias("bin")), F.struct(F.lit("p").alias("side"), bin_of("p").alias("bin")))).alias("x")).select(*keys, "x.side", "x.bin").where("bin is not null")
     hist = long.groupBy(*keys, "bin").agg(F.count_if(F.col("side") == "o").alias("no"), F.count_if(F.col("side") == "p").alias("np"))
     totals = hist.groupBy(*keys).agg(F.sum("no").alias("to"), F.sum("np").alias("tp"), F.collect_list(F.struct("no", "np")).alias("h"))  # ``bins`` pairs of counts a group
     share = lambda n, of: F.try_divide(n.cast("double"), of.cast("double"))
     overlap = F.aggregate("h", F.lit(0.0), lambda acc, x: acc + F.least(share(x["no"], F.col("to")), share(x["np"], F.col("tp"))))
     beta = totals.select(*keys, F.when((F.col("to") > 0) & (F.col("tp") > 0), overlap).alias("beta"))
-    out = stats.join(beta, list(keys), "left")
+    out = null_safe_join(stats, beta, keys, "left")
     sq = lambda c: (F.col(c) - 1) * (F.col(c) - 1)
     return out.select(*keys, "r", "alpha", "beta", (1 - F.sqrt(sq("r") + sq("alpha") + sq("beta"))).alias("spaef"))
 

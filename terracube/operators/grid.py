@@ -50,7 +50,7 @@ def combine_masks(df: DataFrame, layers: Sequence[str], name: str = "mask") -> D
 
 
 def combine_mask_rows(df: DataFrame, cell: str = "cell_id", mask: str = "mask") -> DataFrame:
-    """The same for one row a cell and layer."""
+    """The same for one row a cell and layer; the layers of a cell are combined before they move."""
     return df.groupBy(cell).agg(F.coalesce(F.bool_or(mask), F.lit(False)).alias(mask))
 
 
@@ -114,25 +114,6 @@ def dense_index(keys: DataFrame, key: str, name: str, parts: int | None = None)
     return inner.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).select(key, (F.col("_first") + F.col("_r") - 1).cast("long").alias(name))  # one row for each of ``parts`` ranges
 
 
-def running_sum(df: DataFrame, groups: Sequence[str], order: str, value: Column, name: str, parts: int = 32) -> DataFrame:
-    """A column ``name``: the sum of ``value`` over the earlier rows of the group, in the order of a column of numbers or dates without ties.
-
-    The column's range is cut at about ``parts`` quantiles; rows are summed up inside each (range, group), and a small table of these sums tells what
-    lies before a range, so that a large group is spread over many tasks. The cuts are constants of the plan, hence the same in every
-    task and at every repetition. Group columns must not be null.
-    """
-    groups = list(groups)
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []  # ``parts`` numbers
-    kind = df.schema[order].dataType
-    ranged = df.withColumns({"_v": value, "_p": sum(((F.col(order) >= F.lit(c).cast(kind)).cast("int") for c in sorted(set(cuts))), F.lit(0))})
-    before = Window.partitionBy("_p", *groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = ranged.withColumn("_inner", F.coalesce(F.sum("_v").over(before), F.lit(0)))
-    sums = ranged.groupBy("_p", *groups).agg(F.sum("_v").alias("_n"))
-    earlier = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sums.select("_p", *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
-    return inner.join(firsts, ["_p", *groups]).withColumn(name, F.col("_first") + F.col("_inner")).drop("_p", "_v", "_inner", "_first")
-
-
 def cell_linear_index(cells: DataFrame, mask: str = "mask", cell: str = "cell_id") -> DataFrame:
     """Number of each valid cell in row-major order."""
     return dense_index(cells.where(~F.col(mask)), cell, "cell_index", 32)

@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracube.operators.grid import dense_index, running_sum
+from terracube.operators.ordered import null_safe_join, running_sum
+from terracube.sources.scratch import stash
 
 PRIME = 2147483647
 
@@ -30,23 +31,22 @@ def _first(keys: DataFrame, key: str, n: Column | int, seed: int, groups: Sequen
 def sample_keys(df: DataFrame, key: str, fraction: float | None = None, count: int | None = None, seed: int = 0) -> DataFrame:
     """Exactly int(n * fraction), or ``count``, of the n distinct keys, without replacement.
 
-    The smallest hashes win. Keys are counted by steps of their hash (4,096 at most); whole steps are taken by a plain filter, and only
-    the keys of the step where the sample ends are sorted.
+    The smallest hashes win. Keys are counted by steps of their hash (4,096 at most); a table of the steps tells how many keys lie before each, and keys are
+    numbered within their step, so that no task sorts all keys. No job runs while the plan is built.
     """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    step = F.shiftright(seeded_hash(F.col(key), seed), 19)
-    found = sorted((r["step"], r["n"]) for r in keys.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
-    size = int(sum(n for _, n in found) * fraction + 1e-9) if count is None else count
-    for last, n in found:
-        if n > size:
-            border = keys.where(step == last).orderBy(seeded_hash(F.col(key), seed), key).limit(size)
-            return keys.where(step < last).unionByName(border)
-        size -= n
-    return keys
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_step", F.shiftright(seeded_hash(F.col(key), seed), 19))
+    steps = keys.groupBy("_step").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy())
+    size = F.floor(total * F.lit(float(fraction)) + F.lit(1e-9)) if count is None else F.lit(count)
+    taken = steps.select("_step", before.alias("_before"), size.alias("_size")).where("_before < _size")
+    own = Window.partitionBy("_step").orderBy(seeded_hash(F.col(key), seed), key)
+    placed = keys.join(F.broadcast(taken), "_step").withColumn("_place", F.row_number().over(own))
+    return placed.where(F.col("_before") + F.col("_place") <= F.col("_size")).select(key)
 
 
 def downsample(df: DataFrame, cell: str | None = "cell_id", t_i: str | None = "t_i", cell_fraction: float = 1.0, time_fraction: float = 1.0, seed: int = 0) -> DataFrame:
-    """Rows of a random share of the cells and of the time steps."""
+    """Rows of a random share of the cells and of the time steps. ``df`` is read once for each key and once more: best from a table on disk."""
     for key, fraction in ((cell, cell_fraction), (t_i, time_fraction)):
         if key is not None and fraction < 1:
             df = df.join(sample_keys(df, key, fraction, seed=seed), key, "left_semi")
@@ -68,20 +68,17 @@ def sample_cubelets(catalogue: DataFrame, space_fraction: float, time_fraction:
 def with_replacement(df: DataFrame, fraction: float, key: str, group: str | None = None, seed: int = 0) -> DataFrame:
     """int(n * fraction) draws with replacement from each group (or from all rows), numbered by ``draw``.
 
-    Draw i of a group takes the row at position hash(i, group) modulo n, in the order of ``key``. Positions are counted range by range, so
-    that no task sorts a whole group.
+    Draw i of a group takes the row at position hash(i, group) modulo n, in the order of ``key``. Positions are counted bucket by bucket, so that no task sorts a
+    whole group. A NULL group is one like others and counts as -1 in the hash; rows without a key can't be drawn. ``df`` is read once.
     """
     groups = [group] if group else []
-    if group:
-        ranked = running_sum(df, groups, key, F.lit(1), "_pos")
-    else:
-        ranked = df.join(dense_index(df, key, "_pos"), key)
+    ranked = stash(running_sum(df.where(F.col(key).isNotNull()), groups, key, F.lit(1), "_pos"))
     sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.withColumn("_k", F.floor(F.col("_n") * F.lit(fraction) + F.lit(1e-9)).cast("long")).where("_k > 0")
     draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
-    spot = F.pmod(seeded_hash(F.col("draw") + (F.col(group).cast("long") * 100003 if group else F.lit(0)), seed), F.col("_n"))
+    spot = F.pmod(seeded_hash(F.col("draw") + (F.coalesce(F.col(group).cast("long"), F.lit(-1)) * 100003 if group else F.lit(0)), seed), F.col("_n"))
     draws = draws.select(*groups, "draw", spot.alias("_pos"))
-    return draws.join(ranked, [*groups, "_pos"]).drop("_pos")
+    return null_safe_join(draws, ranked, [*groups, "_pos"]).drop("_pos")
 
 
 def epoch_starts(n_times: int, length: int, spark, epochs: int = 1, fraction: float | None = None, count: int | None = None, seed: int = 0, replace: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -128,3 +129,65 @@ def user_metric(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], float], ke
         return pdf[list(keys)].head(1).assign(**{name: fn(pdf[true][ok].to_numpy(float), pdf[pred][ok].to_numpy(float)) if ok.any() else None})
 
     return df.select(*keys, true, pred).groupBy(*keys).applyInPandas(run, schema)
+
+
+class Metric(Protocol):
+    """A metric in two phases: states are arrays of numbers that any number of tasks make from their own rows, and that are merged in any order."""
+
+    def init(self) -> np.ndarray: ...
+    def add(self, state: np.ndarray, true: np.ndarray, pred: np.ndarray) -> np.ndarray: ...
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
+    def finish(self, state: np.ndarray) -> float | None: ...
+
+
+#: A task hands its states on when it holds so many groups.
+GROUPS_A_TASK = 20_000
+
+
+def user_metric_merged(df: DataFrame, metric: Metric, keys: Sequence[str], true: str = "y_true", pred: str = "y_pred", name: str = "value") -> DataFrame:
+    """A user's own metric of each group, however large: each task adds its rows to the states of the groups it meets, states meet by key and are merged.
+
+    A group's rows stay where they are; what moves is one state for each group and task. Pairs with a missing side are left out, a group without a valid pair gets
+    NULL, a NULL key is a group. Keys that are equal in Spark are one group; states hold as many numbers as ``init`` gives.
+    """
+    keys = list(keys)
+    text = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
+
+    def table(states: dict[str, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"_key": list(states), "_state": [list(map(float, s)) for s in states.values()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for key, own in pdf.groupby("_key", sort=False):
+                ok = own[["_o", "_p"]].notna().all(axis=1)
+                state = states.get(key, metric.init())
+                states[key] = metric.add(state, own["_o"][ok].to_numpy(float), own["_p"][ok].to_numpy(float)) if ok.any() else state
+            if len(states) > GROUPS_A_TASK:
+                yield table(states)
+                states = {}
+        if states:
+            yield table(states)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, metric.init()  # rows come sorted by group: one group at a time is merged
+        for pdf in batches:
+            for key, s in zip(pdf["_key"], pdf["_state"], strict=True):
+                if key != held:
+                    if held is not None:
+                        yield done(held, state)
+                    held, state = key, metric.init()
+                state = metric.merge(state, np.asarray(s, float))
+        if held is not None:
+            yield done(held, state)
+
+    def done(key: str, state: np.ndarray) -> pd.DataFrame:
+        value = metric.finish(state)
+        return pd.DataFrame({"_key": [key], "_value": np.array([np.nan if value is None else value], float)})
+
+    rows = df.select(text.alias("_key"), F.col(true).cast("double").alias("_o"), F.col(pred).cast("double").alias("_p"))
+    states = rows.mapInPandas(add, "_key string, _state array<double>")
+    merged = states.repartition("_key").sortWithinPartitions("_key").mapInPandas(merge, "_key string, _value double")
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    own = [F.from_json("_key", kinds)[k].alias(k) for k in keys]
+    return merged.select(*own, F.when(~F.isnan("_value"), F.col("_value")).alias(name))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracube.functions import transforms as tr
+from terracube.operators.ordered import null_safe_join
 
 FITS = {
     "minmax": lambda x: (F.min(x), F.max(x) - F.min(x)),
@@ -110,9 +111,43 @@ def target_mask_all(df: DataFrame, target: str, cell: str = "cell_id") -> DataFr
 
 
 def daily(df: DataFrame, value: str, how: str = "max", cell: str = "cell_id", t: str = "t", unit: str = "day") -> DataFrame:
-    """Resample in time: one value a cell and day (or other unit)."""
-    f = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum}[how]
-    return df.groupBy(cell, F.date_trunc(unit, F.col(t)).cast("date").alias(t)).agg(f(value).alias(value))
+    """Resample in time: one value a cell and day (or other unit); units below a day keep the time of day. See `resample` for other steps."""
+    start = F.date_trunc(unit, F.col(t))
+    fine = unit.lower() in ("hour", "minute", "second", "millisecond", "microsecond")
+    return df.groupBy(cell, (start if fine else start.cast("date")).alias(t)).agg(RESAMPLE[how](value).alias(value))
+
+
+RESAMPLE = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum, "count": F.count}
+FIXED = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400, "week": 7 * 86_400}
+CALENDAR = {"month": 1, "quarter": 3, "year": 12}
+
+
+def resample(df: DataFrame, value: str, every: str, how: str = "mean", cell: str = "cell_id", t: str = "t", origin: str = "1970-01-01 00:00:00", fill: bool = False) -> DataFrame:
+    """One value a cell and bin of time: (cell, t, value), ``t`` the bin's start as a timestamp without zone.
+
+    ``every`` is a number and a unit: "6 hours" or "10 days" are bins of fixed width that count from ``origin``, "1 month", "2 quarters" or "1 year" are calendar
+    bins that count from its month. Times before the origin lie in bins before it. ``fill`` adds each cell's missing bins between its first and last one, with
+    NULL. Rows without a time are left out; a NULL cell is a cell. A bin that holds only NULL values is there, with NULL (0 for a count).
+    """
+    count, unit = every.split()
+    count, unit = int(count), unit.lower().removesuffix("s")
+    if count < 1 or unit not in {**FIXED, **CALENDAR} or how not in RESAMPLE:
+        raise ValueError(f"no bins of {every} by {how}")
+    at, zero = F.col(t).cast("timestamp_ntz"), F.lit(origin).cast("timestamp_ntz")
+    seconds = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.date_trunc("second", c).cast("timestamp_ntz"))
+    months = lambda c: F.year(c).cast("long") * 12 + F.month(c) - 1
+    if unit in FIXED:
+        bin_ = F.floor((seconds(at) - seconds(zero)) / F.lit(count * FIXED[unit]))
+        start = F.timestamp_add("SECOND", F.col("_bin") * F.lit(count * FIXED[unit]), zero)
+    else:
+        bin_ = F.floor((months(at) - months(zero)) / F.lit(count * CALENDAR[unit]))
+        start = F.timestamp_add("MONTH", (F.col("_bin") * F.lit(count * CALENDAR[unit])).cast("int"), F.date_trunc("month", zero).cast("timestamp_ntz"))
+    binned = df.where(F.col(t).isNotNull()).groupBy(cell, bin_.alias("_bin")).agg(RESAMPLE[how](value).alias(value))
+    if fill:
+        ends = binned.groupBy(cell).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
+        every_bin = ends.select(cell, F.explode(F.sequence("_lo", "_hi")).alias("_bin"))
+        binned = null_safe_join(every_bin, binned, [cell, "_bin"], "left")
+    return binned.select(cell, start.alias(t), value)
 
 
 def target_mask_min_samples(df: DataFrame, target: str, n: int, count: str = "missing", cell: str = "cell_id", t: str = "t") -> DataFrame:

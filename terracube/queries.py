@@ -17,6 +17,8 @@ from terracube.functions import transforms as tr
 from terracube.operators import cubelets as cb
 from terracube.operators import evaluate as ev
 from terracube.operators import grid as g
+from terracube.operators import moments as mo
+from terracube.operators import ordered as od
 from terracube.operators import sampling as sp
 from terracube.operators import scoring as sc
 from terracube.operators import sequences as sq
@@ -24,7 +26,7 @@ from terracube.operators import stats as st
 from terracube.operators import uncertainty as un
 from terracube.plans import evaluation
 from terracube.sources import grids as io
-from terracube.sources.scratch import new_path
+from terracube.sources.scratch import new_path, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -485,7 +487,7 @@ def _top(keys: str, key: str, size: str, seed: int) -> str:
 
 @query(f"WITH {GRID} SELECT cell_id, t_i, round(click, 4) AS click FROM gi WHERE cell_id IN {_top('SELECT DISTINCT cell_id FROM gi', 'cell_id', 'floor(n * 0.3 + 1e-9)', 5)} AND t_i IN {_top('SELECT DISTINCT t_i FROM gi', 't_i', 'floor(n * 0.5 + 1e-9)', 5)}")
 def random_downsample(spark, d):
-    return rounded(sp.downsample(indexed(spark, d).select("cell_id", "t_i", "click"), cell_fraction=0.3, time_fraction=0.5, seed=5))
+    return rounded(sp.downsample(stash(indexed(spark, d).select("cell_id", "t_i", "click")), cell_fraction=0.3, time_fraction=0.5, seed=5))
 
 
 @query(f"WITH {GRID} SELECT DISTINCT cell_id FROM gi WHERE lat_i >= 1 AND lon_i >= 1 AND (lat_i - 1) % 3 = 0 AND (lon_i - 1) % 3 = 0")
@@ -847,7 +849,21 @@ def appended_slabs(spark, d):
     path, df = new_path(spark, "slabs"), indexed(spark, d).select("cell_id", "t_i", "click")
     io.append_time_chunks(df.where("t_i < 14"), path, 7)
     io.append_time_chunks(df.where("t_i >= 14"), path, 7)
-    return rounded(spark.read.parquet(path).select("cell_id", "t_i", "t_chunk", "click"))
+    return rounded(io.read_time_chunks(spark, path).select("cell_id", "t_i", "t_chunk", "click"))
+
+
+@query(f"WITH {GRID} SELECT cell_id, t_i, t_i // 7 AS t_chunk, round(click, 4) AS click FROM gi WHERE t_i < 21")
+def repeated_append(spark, d):
+    """One append runs twice, one is killed before its end and runs again, one never ends."""
+    path, df = new_path(spark, "slabs"), stash(indexed(spark, d).select("cell_id", "t_i", "click"))
+    first, second = df.where("t_i < 10"), df.where("t_i >= 10 and t_i < 21")
+    io.append_time_chunks(first, path, 7)
+    io.append_time_chunks(first, path, 7)
+    left = second.where("cell_id % 2 = 0").withColumns({"t_chunk": F.expr("t_i div 7").cast("long"), "batch": F.lit("10-20")})
+    left.write.mode("append").partitionBy("t_chunk", "batch").parquet(path)
+    io.append_time_chunks(second, path, 7)
+    df.where("t_i >= 21").withColumns({"t_chunk": F.expr("t_i div 7").cast("long"), "batch": F.lit("21-29")}).write.mode("append").partitionBy("t_chunk", "batch").parquet(path)
+    return rounded(io.read_time_chunks(spark, path).select("cell_id", "t_i", "t_chunk", "click"))
 
 
 _TRAIN = f"""WITH {GRID}, s AS (SELECT min(click) AS c, max(click) - min(click) AS w, avg("view") AS mv, stddev_pop("view") AS sv FROM gi WHERE t_i < 15)"""
@@ -927,11 +943,16 @@ def dropped_cells(spark, d):
     return rounded(out.select("l_orderkey", "l_linenumber", "cell_id"))
 
 
-@query(f"WITH {GRID}, c AS (SELECT s_suppkey AS cell_id, CASE WHEN s_nationkey < 10 THEN 'low' ELSE 'high' END AS category FROM supplier) SELECT category, t_i, round(avg(click), 4) AS click, CAST(count(*) AS BIGINT) AS n FROM gi JOIN c USING (cell_id) GROUP BY 1, 2")
+# a cell's value in whole millionths, so that sums don't depend on the order; the mean is rounded half up in whole numbers, too
+@query(f"""WITH {GRID}, c AS (SELECT s_suppkey AS cell_id, CASE WHEN s_nationkey < 10 THEN 'low' ELSE 'high' END AS category FROM supplier),
+w AS (SELECT category, t_i, CAST(sum(CAST(round(click * 1000000) AS BIGINT)) AS BIGINT) AS s, count(click) AS k, count(*) AS n FROM gi JOIN c USING (cell_id) GROUP BY 1, 2)
+SELECT category, t_i, CASE WHEN k > 0 THEN (s + 50 * k) // (100 * k) / 10000.0 END AS click, CAST(n AS BIGINT) AS n FROM w""")
 def categories_of_cells(spark, d):
     cells = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.when(F.col("s_nationkey") < 10, "low").otherwise("high").alias("category"))
-    out = g.with_category(indexed(spark, d).select("cell_id", "t_i", "click"), cells)
-    return rounded(out.groupBy("category", "t_i").agg(F.avg("click").alias("click"), F.count(F.lit(1)).alias("n")))
+    out = g.with_category(indexed(spark, d).select("cell_id", "t_i", F.round(F.col("click") * 1000000).cast("long").alias("w")), cells)
+    whole = out.groupBy("category", F.col("t_i").cast("long").alias("t_i")).agg(F.sum("w").alias("s"), F.count("w").alias("k"), F.count(F.lit(1)).alias("n"))
+    mean = F.when(F.col("k") > 0, F.floor((F.col("s") + 50 * F.col("k")) / (100 * F.col("k"))) / F.lit(10000.0))
+    return whole.select("category", "t_i", mean.alias("click"), "n")
 
 
 @query(_spaef_sql(False, "t", _GRID_OK) + " SELECT 'mean' AS method, round(avg(spaef), 4) AS spaef FROM spaef UNION ALL SELECT 'median', round(quantile_disc(spaef, 0.5), 4) FROM spaef UNION ALL SELECT 'percentile_90', round(quantile_cont(spaef, 0.9), 4) FROM spaef")
@@ -954,6 +975,137 @@ def selected_outputs(spark, d):
     return rounded(sc.select_outputs(df, ["vwc"]))
 
 
+# -- uneven axes, merged states, orders --------------------------------------------------------
+
+_UNEVEN = """points AS (SELECT c_custkey, (c_custkey * 37 % 1009) * 0.731 - 120 AS lat, (c_custkey * 53 % 997) * 0.417 - 40 AS lon FROM customer),
+cells AS (SELECT p_partkey AS cell_id, round(pow((p_partkey - 1) // 40, 1.7) * 0.5 - 20, 3) AS lat, round(((p_partkey - 1) % 40) * ((p_partkey - 1) % 40) * 0.25, 3) AS lon FROM part WHERE p_size > 25)"""
+
+
+def _uneven(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Points in and far outside of a grid whose axes are uneven and which has holes."""
+    spread = lambda k, n, step, low: (F.pmod(F.col("c_custkey") * k, F.lit(n)) * F.lit(step) - low)
+    points = table(spark, d, "customer").select("c_custkey", spread(37, 1009, 0.731, 120).alias("lat"), spread(53, 997, 0.417, 40).alias("lon"))
+    row, column = F.expr("(p_partkey - 1) div 40"), F.expr("(p_partkey - 1) % 40")
+    cells = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("cell_id"), F.round(F.pow(row, F.lit(1.7)) * F.lit(0.5) - 20, 3).alias("lat"), F.round(column * column * F.lit(0.25), 3).alias("lon"))
+    return points, cells
+
+
+_NEAR = lambda axis: f"(SELECT p.{axis} AS at, a.{axis} AS near FROM (SELECT DISTINCT {axis} FROM points) p, (SELECT DISTINCT {axis} FROM cells) a QUALIFY row_number() OVER (PARTITION BY p.{axis} ORDER BY abs(a.{axis} - p.{axis}), a.{axis}) = 1)"
+
+
+@query(f"""WITH {_UNEVEN}, y AS {_NEAR('lat')}, x AS {_NEAR('lon')}
+SELECT c_custkey, round(y.near, 3) AS cell_lat, round(x.near, 3) AS cell_lon, cell_id FROM points JOIN y ON y.at = points.lat JOIN x ON x.at = points.lon LEFT JOIN cells ON cells.lat = y.near AND cells.lon = x.near""")
+def nearest_on_uneven_axes(spark, d):
+    points, cells = _uneven(spark, d)
+    return rounded(od.nearest_on_axes(points, cells).select("c_custkey", "cell_lat", "cell_lon", "cell_id"), 3)
+
+
+@query(f"""WITH {_UNEVEN} SELECT c_custkey, cell_id, round(distance, 4) AS distance FROM (
+  SELECT c_custkey, cell_id, sqrt((p.lat - c.lat) * (p.lat - c.lat) + (p.lon - c.lon) * (p.lon - c.lon)) AS distance FROM points p, cells c)
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, cell_id) = 1""")
+def nearest_existing_cell(spark, d):
+    points, cells = _uneven(spark, d)
+    return rounded(od.nearest_existing(points, cells, "c_custkey").select("c_custkey", "cell_id", "distance"))
+
+
+_LEVELS = ("rmse", "pbias", "pearson", "nse", "kge", "gamma")
+
+
+@query(f"""WITH {PAIRS}, {STATIC}, x AS (SELECT ok.*, s_nationkey FROM ok JOIN static USING (cell_id)),
+a AS ({' UNION ALL '.join(f"SELECT '{level}' AS level, {key} AS key, CAST(count(*) AS BIGINT) AS n, {_list(_LEVELS)} FROM x GROUP BY ALL" for level, key in (('cell', 'CAST(cell_id AS VARCHAR)'), ('nation', 'CAST(s_nationkey AS VARCHAR)'), ('globe', "'all'")))}) SELECT * FROM a""")
+def merged_moments(spark, d):
+    """Two slabs of time, the second added later, the first written twice; three levels from the states of cells and slabs."""
+    path = new_path(spark, "moments")
+    df = pairs(spark, d)
+    for slab, own in (("before", df.where("t < date '1995-01-01'")), ("before", df.where("t < date '1995-01-01'")), ("after", df.where("t >= date '1995-01-01'"))):
+        mo.update(own, path, slab, ["cell_id"])
+    states = mo.stored(spark, path).join(static(spark, d).select("cell_id", "s_nationkey"), "cell_id")
+    return rounded(mo.levels(states, {"cell": ["cell_id"], "nation": ["s_nationkey"], "globe": []}, _LEVELS))
+
+
+@query(f"""WITH {PAIRS} SELECT category, 'minmax' AS variant, round(min(o), 4) AS center, round(max(o) - min(o), 4) AS scale FROM ok GROUP BY 1
+UNION ALL SELECT category, 'standard', round(avg(o), 4), round(stddev_pop(o), 4) FROM ok GROUP BY 1""")
+def statistics_of_moments(spark, d):
+    states = stash(mo.moments(pairs(spark, d), ["category", "cell_id"]))
+    whole = mo.merge(states, ["category"])
+    return rounded(io.concat(*[mo.statistics(whole, v).withColumn("variant", F.lit(v)) for v in ("minmax", "standard")]))
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT category, y_pred AS v FROM pairs UNION ALL SELECT NULL, y_true FROM pairs), q AS (SELECT category, unnest([0.1, 0.5, 0.9, 0.999]) AS p, unnest(quantile_cont(v, [0.1, 0.5, 0.9, 0.999])) AS q FROM s WHERE v IS NOT NULL GROUP BY 1) SELECT category, p, round(q, 4) AS quantile FROM q")
+def quantiles_of_large_groups(spark, d):
+    df = pairs(spark, d)
+    both = df.select("category", F.col("y_pred").alias("v")).unionByName(df.select(F.lit(None).cast("string").alias("category"), F.col("y_true").alias("v")))
+    return rounded(od.exact_quantiles(both, ["category"], "v", [0.1, 0.5, 0.9, 0.999]))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT cell_id, click - lag(click) OVER w AS dx, "view" - lag("view") OVER w AS dy FROM gi WINDOW w AS (PARTITION BY cell_id ORDER BY t_i)),
+f AS (SELECT cell_id, CASE WHEN dx >= 0 AND dy IS NOT NULL THEN greatest(-dy, 0) END AS fall FROM s)
+SELECT cell_id, CAST(count(fall) AS BIGINT) AS steps, CAST(count(*) FILTER (WHERE fall > 0) AS BIGINT) AS broken, round(avg(fall * fall), 4) AS penalty FROM f GROUP BY 1""")
+def monotonicity_by_cell(spark, d):
+    return rounded(od.monotonicity(indexed(spark, d), ["cell_id"], "t_i", "click", "view"))
+
+
+@query("""WITH s AS (SELECT user_id - lag(user_id) OVER (ORDER BY event_id) AS dx, value - lag(value) OVER (ORDER BY event_id) AS dy FROM events),
+f AS (SELECT CASE WHEN dx >= 0 AND dy IS NOT NULL THEN greatest(-dy, 0) END AS fall FROM s)
+SELECT CAST(count(fall) AS BIGINT) AS steps, CAST(count(*) FILTER (WHERE fall > 0) AS BIGINT) AS broken, round(avg(fall * fall), 4) AS penalty FROM f""")
+def monotonicity_of_one_series(spark, d):
+    return rounded(od.monotonicity(table(spark, d, "events"), [], "event_id", "user_id", "value"))
+
+
+class Huber:
+    """Mean Huber loss: squares up to ``delta``, beyond it straight."""
+
+    def __init__(self, delta: float):
+        self.delta = delta
+
+    def init(self) -> np.ndarray:
+        return np.zeros(2)
+
+    def add(self, state: np.ndarray, true: np.ndarray, pred: np.ndarray) -> np.ndarray:
+        e = np.abs(pred - true)
+        return state + [len(e), np.where(e <= self.delta, e * e / 2, self.delta * (e - self.delta / 2)).sum()]
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b
+
+    def finish(self, state: np.ndarray) -> float | None:
+        return state[1] / state[0] / 1e6 if state[0] else None
+
+
+@query(f"WITH {PAIRS} SELECT category, round(avg(CASE WHEN abs(p - o) <= 1000 THEN pow(p - o, 2) / 2 ELSE 1000 * (abs(p - o) - 500) END) / 1000000, 4) AS value FROM ok GROUP BY 1")
+def user_metric_by_category(spark, d):
+    return rounded(sc.user_metric_merged(pairs(spark, d), Huber(1000.0), ["category"]))
+
+
+_BINS = "WITH e AS (SELECT user_id AS cell_id, ts, value FROM events)"
+
+
+def _resample_sql(every: str, start: str, fill: bool) -> str:
+    plain = f"{_BINS}, b AS (SELECT cell_id, {start} AS t, max(value) AS value FROM e GROUP BY 1, 2)"
+    if not fill:
+        return f"{plain} SELECT '{every}' AS every, cell_id, CAST(t AS VARCHAR) AS t, round(value, 4) AS value FROM b"
+    return f"{plain}, r AS (SELECT cell_id, unnest(generate_series(min(t), max(t), INTERVAL '{every}')) AS t FROM b GROUP BY 1) SELECT '{every}' AS every, cell_id, CAST(t AS VARCHAR) AS t, round(value, 4) AS value FROM r LEFT JOIN b USING (cell_id, t)"
+
+
+_FREQUENCIES = (
+    ("1 hour", "date_trunc('hour', ts)", True), ("6 hours", "time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')", True), ("10 days", "time_bucket(INTERVAL '10 days', ts, TIMESTAMP '1970-01-01')", True),
+    ("1 month", "CAST(date_trunc('month', ts) AS TIMESTAMP)", False),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_resample_sql(*x)})" for x in _FREQUENCIES))
+def resampled(spark, d):
+    e = stash(table(spark, d, "events").select(F.col("user_id").alias("cell_id"), F.col("ts").alias("t"), "value"))
+    parts = [st.resample(e, "value", every, "max", fill=fill).select(F.lit(every).alias("every"), "cell_id", F.col("t").cast("string").alias("t"), "value") for every, _, fill in _FREQUENCIES]
+    return rounded(io.concat(*parts))
+
+
+@query(f"WITH {STATIC}, l AS (SELECT cell_id, mask_low AS mask FROM static UNION ALL SELECT cell_id, mask_lake FROM static UNION ALL SELECT cell_id, NULL FROM static) SELECT cell_id, coalesce(bool_or(mask), false) AS mask FROM l GROUP BY 1")
+def combine_mask_layers(spark, d):
+    long = g.stack_features(static(spark, d).withColumn("mask_none", F.lit(None).cast("boolean")), ["mask_low", "mask_lake", "mask_none"], ("cell_id",))
+    return g.combine_mask_rows(long.withColumnRenamed("v", "mask"))
+
+
 def _day_as_text(name: str) -> None:
     """Days as text, so that both engines show the same."""
     plain = QUERIES[name]

@@ -37,10 +37,43 @@ def write_grid(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def append_time_chunks(df: DataFrame, path: str, chunk: int = 200, t_i: str = "t_i") -> None:
-    """Append rows in slabs of ``chunk`` time steps, one job for all slabs; later appends extend the time axis."""
-    slabs = df.withColumn("t_chunk", F.expr(f"{t_i} div {int(chunk)}"))
-    slabs.repartition("t_chunk", F.pmod(F.xxhash64("cell_id"), F.lit(16))).write.mode("append").partitionBy("t_chunk").parquet(path)
+COMMITS = "_commits"
+
+
+def append_time_chunks(df: DataFrame, path: str, chunk: int = 200, t_i: str = "t_i", batch: str | None = None) -> None:
+    """Append rows in slabs of ``chunk`` time steps, one job for all slabs; later appends extend the time axis. Read them with `read_time_chunks`.
+
+    An append can be repeated: its rows go into directories of the slab and of its ``batch``, by default its first and last step, and replace what is there. When
+    all are written, the batch's slabs are committed. What a killed append has written is read by no one, and goes when it is run again; so do slabs of an
+    earlier run of the batch that this one doesn't have. Another batch name adds rows beside. Rows without a step can't be placed and raise.
+    """
+    spark = df.sparkSession
+    if batch is None:
+        lo, hi = df.agg(F.min(t_i), F.max(t_i)).first()
+        batch = f"{lo}-{hi}"
+    slab = F.when(F.col(t_i).isNotNull(), F.expr(f"{t_i} div {int(chunk)}")).otherwise(F.raise_error(F.lit("a row without a time step")).cast("long"))
+    slabs = df.withColumns({"t_chunk": slab, "batch": F.lit(batch)})
+    spread = slabs.repartition("t_chunk", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    _replace(spread, path, ("t_chunk", "batch"))
+    written = spark.read.schema(slabs.schema).parquet(path).where(F.col("batch") == batch)
+    kept = written.join(slabs.select("t_chunk").distinct(), "t_chunk", "left_semi")
+    _replace(kept.groupBy("t_chunk").agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(batch)).coalesce(1), f"{path}/{COMMITS}", ("batch",))
+
+
+def _replace(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def committed_slabs(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, t_chunk, rows) of the appends that ended."""
+    return spark.read.schema("t_chunk long, rows long, batch string").parquet(f"{path}/{COMMITS}")
+
+
+def read_time_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all appends that ended, with their slab ``t_chunk``. Directories of others are not read."""
+    data = spark.read.option("basePath", path).parquet(path)
+    data = data.withColumns({"t_chunk": F.col("t_chunk").cast("long"), "batch": F.col("batch").cast("string")})
+    return data.join(committed_slabs(spark, path).select("batch", "t_chunk"), ["batch", "t_chunk"], "left_semi").drop("batch")
 
 
 def save_stats(stats: DataFrame, path: str) -> None:
@@ -61,10 +94,13 @@ def load_or_compute(spark: SparkSession, path: str, compute, is_train: bool, use
 
 
 def _is_there(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; any other trouble with it is raised, not taken for its absence."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
 
 

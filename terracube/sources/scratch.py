@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +24,13 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Write ``df`` into the shared folder and read it again: what was computed survives a lost executor and is computed once, however often it is read."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written into the shared folder: for the end of a job, when nothing reads it any more."""
     context = spark.sparkContext

@@ -114,6 +114,8 @@ def test_read_write_append(spark, small, tmp_path):
     io.append_time_chunks(small.where("t_i >= 20"), path, 10)
     back = io.read_grid(spark, path, ["y_true", "y_pred"], ["cell_id", "t_i"])
     assert back.count() == small.count() and back.columns == ["cell_id", "t_i", "y_true", "y_pred"]
+    io.append_time_chunks(small.where("t_i >= 20"), path, 10)
+    assert io.read_time_chunks(spark, path).count() == small.count()
     io.write_grid(small.select("cell_id", "y_true"), f"{path}2", partition_by=["cell_id"])
     assert spark.read.parquet(f"{path}2").count() == small.count()
     cells = io.decode_cells(small.select("cell_id", F.col("lat_i").alias("a"), F.col("lon_i").alias("b")), 9)
@@ -270,13 +272,13 @@ def test_running_sums_and_samples_at_any_partitioning(spark):
     from pyspark.sql import functions as F
 
     from terracube.operators import sampling as sp
-    from terracube.operators.grid import running_sum
+    from terracube.operators.ordered import running_sum
 
     rows = [(g, k, (k * 7) % 5) for g, n in (("a", 200), ("b", 3), ("c", 1)) for k in range(n)]
     df = spark.createDataFrame(rows, "g string, k long, x long").repartition(6)
     for groups in (["g"], []):
         data = df if groups else df.where("g = 'a'")
-        got = {(r.g, r.k): r.s for r in running_sum(data, groups, "k", F.col("x"), "s", 9).collect()}
+        got = {(r.g, r.k): r.s for r in running_sum(data, groups, "k", F.col("x"), "s").collect()}
         assert all(got[g, k] == sum(x for h, j, x in rows if h == g and j < k) for g, k in got) and len(got) == data.count()
     keys = spark.range(5000).select(F.col("id").alias("cell_id"))
     every = sorted(keys.collect(), key=lambda r: (((h := (r.cell_id + 3 * 7919) * 48271 % sp.PRIME) * (h + 12345)) % sp.PRIME, r.cell_id))
