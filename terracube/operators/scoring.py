@@ -65,20 +65,40 @@ def score_series(df: DataFrame, model: Model, features: Sequence[str], keys: Seq
     return _series_of(df, keys, t, features).mapInArrow(run, schema)
 
 
-def score_cubelets(members: DataFrame, model: Callable[[np.ndarray], np.ndarray], features: Sequence[str], output: str = "y_hat") -> DataFrame:
-    """Predictions for blocks: the model takes [time, feature, lat, lon] and gives [time, lat, lon]; a row for each pixel and step."""
-    keys = ["s_idx", "k_idx"]
+def score_cubelets(members: DataFrame, model: Callable[[np.ndarray], np.ndarray], features: Sequence[str], output: str = "y_hat", stacked: bool = False) -> DataFrame:
+    """Predictions for blocks: the model takes [time, feature, lat, lon] and gives [time, lat, lon]; a row for each pixel and step.
+
+    A block's rows are gathered into one list, piece by piece where they are read, and several blocks reach Python in one batch, where they are put into dense arrays
+    by position; pixels that a block lacks are NaN. With ``stacked`` blocks of one shape in a batch go to the model together: [blocks, time, feature, lat, lon].
+    """
+    axes, keys = ("t_i", "lat_i", "lon_i"), ("s_idx", "k_idx")
     schema = f"s_idx int, k_idx int, t_i int, lat_i int, lon_i int, `{output}` double"
+    row = F.struct(*[F.col(c).cast("int").alias(c) for c in axes], *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    blocks = members.groupBy(*[F.col(k).cast("int").alias(k) for k in keys]).agg(F.collect_list(row).alias("_rows"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        axes = [np.unique(pdf[c]) for c in ("t_i", "lat_i", "lon_i")]
-        at = tuple(np.searchsorted(a, pdf[c]) for a, c in zip(axes, ("t_i", "lat_i", "lon_i"), strict=True))
-        cube = np.full((len(axes[0]), len(features), len(axes[1]), len(axes[2])), np.nan)
-        for i, f in enumerate(features):
-            cube[at[0], i, at[1], at[2]] = pdf[f].to_numpy(float)
-        return pdf[[*keys, "t_i", "lat_i", "lon_i"]].assign(**{output: model(cube)[at]})
-
-    return members.groupBy(*keys).applyInPandas(run, schema)
+    def dense(rows: pa.StructArray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        own = [rows.field(c).to_numpy() for c in axes]
+        values, at = zip(*(np.unique(c, return_inverse=True) for c in own), strict=True)
+        cube = np.full((len(values[0]), len(features), len(values[1]), len(values[2])), np.nan)
+        for i in range(len(features)):
+            cube[at[0], i, at[1], at[2]] = rows.field(f"f{i}").to_numpy(zero_copy_only=False)
+        return cube, at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_rows")
+            rows, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            made = [dense(rows.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            y = np.zeros(len(rows))
+            for shape in {cube.shape for cube, _ in made}:
+                own = [i for i, (cube, _) in enumerate(made) if cube.shape == shape]
+                given = model(np.stack([made[i][0] for i in own])) if stacked else [model(made[i][0]) for i in own]
+                for i, out in zip(own, given, strict=True):
+                    y[edges[i] : edges[i + 1]] = out[made[i][1]]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(edges)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), *(rows.field(c) for c in axes), pa.array(y)], [*keys, *axes, output])
+
+    return blocks.mapInArrow(run, schema)
 
 
 def score_two_stage(static: DataFrame, dynamic: DataFrame, parameters: Callable[[np.ndarray], np.ndarray], bounds: Sequence[tuple[str, float, float]], head: Model, static_features: Sequence[str], dynamic_features: Sequence[str], cell: str = "cell_id", t: str = "t_i") -> DataFrame:

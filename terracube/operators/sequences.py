@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracube.operators.ordered import running_sum
+
 
 def cell_series(df: DataFrame, variables: Sequence[str], cell: str = "cell_id", t: str = "t_i") -> DataFrame:
     """One row a cell: ``t`` and each variable as arrays in the order of time."""
@@ -44,6 +46,33 @@ def trailing_sequences(series: DataFrame, variables: Sequence[str], length: int,
     return cut.select(cell, "t", *[F.slice(v, F.col("t") - F.lit(length) + 2, F.lit(length)).alias(v) for v in variables])
 
 
+def slab_series(df: DataFrame, variables: Sequence[str], slab: int, halo: int, cell: str = "cell_id", t: str = "t_i") -> DataFrame:
+    """Series in slabs of ``slab`` steps with ``halo`` steps of what follows: (cell, slab, variables as arrays). No row holds more than slab + halo steps, and
+    no task sorts a whole series: steps are numbered bucket by bucket."""
+    placed = running_sum(df.select(cell, t, *variables), [cell], t, F.lit(1), "_place")
+    first = F.greatest(F.floor((F.col("_place") - halo) / F.lit(slab)), F.lit(0))
+    dealt = placed.withColumn("slab", F.explode(F.sequence(first, F.floor(F.col("_place") / F.lit(slab)))))
+    rows = F.array_sort(F.collect_list(F.struct("_place", *variables))).alias("_s")
+    return dealt.groupBy(cell, "slab").agg(rows).select(cell, "slab", *[F.col(f"_s.{v}").alias(v) for v in variables])
+
+
+def forward_windows(df: DataFrame, variables: Sequence[str], length: int, slab: int = 1_024, include_last: bool = False, cell: str = "cell_id", t: str = "t_i") -> DataFrame:
+    """What `forward_sequences` cuts from `cell_series`, for series of any length: each window comes from the slab in which it begins.
+
+    A slab's halo shows whether a window is the last one of its series, so that no one has to know the series' length. A NULL cell is a cell.
+    """
+    series = slab_series(df, variables, slab, length - int(include_last), cell, t)
+    n = F.least(F.lit(slab), F.size(variables[0]) - length + int(include_last))
+    cut = series.withColumn("_i", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    return cut.select(cell, (F.col("slab") * slab + F.col("_i")).cast("int").alias("t0"), *[F.slice(v, F.col("_i") + 1, F.lit(length)).alias(v) for v in variables])
+
+
+def trailing_windows(df: DataFrame, variables: Sequence[str], length: int, slab: int = 1_024, include_first: bool = False, cell: str = "cell_id", t: str = "t_i") -> DataFrame:
+    """What `trailing_sequences` cuts, for series of any length."""
+    cut = forward_windows(df, variables, length, slab, True, cell, t).where(F.col("t0") >= 1 - int(include_first))
+    return cut.select(cell, (F.col("t0") + length - 1).alias("t"), *variables)
+
+
 def select_steps(df: DataFrame, column: str, steps: int | str = "all") -> DataFrame:
     """All steps of a predicted sequence, the last one (0), or step n."""
     if steps == "all":

@@ -25,6 +25,7 @@ from terracube.operators import sequences as sq
 from terracube.operators import stats as st
 from terracube.operators import uncertainty as un
 from terracube.plans import evaluation
+from terracube.sources import blocks as bl
 from terracube.sources import grids as io
 from terracube.sources.scratch import new_path, stash
 
@@ -651,15 +652,28 @@ def category_quantiles(spark, d):
     return rounded(ev.category_quantiles(grid(spark, d).withColumn("category", F.pmod("cell_id", F.lit(4))), "click"))
 
 
-@query("SELECT l_suppkey AS cell_id, CAST(month(l_shipdate) AS BIGINT) AS month, round(avg(l_extendedprice) + 0.0000001, 4) AS y FROM lineitem GROUP BY 1, 2")
+# means that may lie on a rounding edge are taken of decimals: exact sums, four more digits rounded half up, then rounded to what is shown
+
+
+def _decimal_mean(s: str, n: str, more: int) -> str:
+    """The SQL of such a mean: ``s`` in whole units, ``more`` more digits, of which those beyond the fourth place go."""
+    return f"((2 * {s} * 10000 + {n}) // (2 * {n}) + {5 * 10 ** (more - 1)}) // {10**more} / 10000.0"
+
+
+@query(f"""WITH s AS (SELECT l_suppkey AS cell_id, CAST(month(l_shipdate) AS BIGINT) AS month, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT cell_id, month, {_decimal_mean('s', 'n', 2)} AS y FROM s""")
 def monthly_climatology(spark, d):
-    line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("t"), F.col("l_extendedprice").alias("y"))
-    return rounded(ev.monthly_climatology(line, "y").withColumn("y", F.col("y") + 0.0000001))
+    line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("t"), F.col("l_extendedprice").cast("decimal(18,2)").alias("y"))
+    return rounded(ev.monthly_climatology(line, "y").withColumn("y", F.round("y", 4).cast("double")))
+
+
+_CLICK_MEANS = f"WITH {GRID}, s AS (SELECT cell_id, CAST(sum(CAST(round(click * 1000000) AS BIGINT)) AS BIGINT) AS s, count(click) AS n, coalesce(stddev_pop(click), 0) AS u FROM grid GROUP BY 1)"
 
 
-@query(f"WITH {GRID} SELECT cell_id, round(avg(click) + 0.0000001, 4) AS click FROM grid GROUP BY 1")
+@query(f"{_CLICK_MEANS} SELECT cell_id, CASE WHEN n > 0 THEN {_decimal_mean('s', 'n', 6)} END AS click FROM s")
 def time_mean_map(spark, d):
-    return rounded(ev.time_mean(grid(spark, d), "click").withColumn("click", F.col("click") + 0.0000001))
+    df = grid(spark, d).select("cell_id", F.col("click").cast("decimal(18,6)").alias("click"))
+    return rounded(ev.time_mean(df, "click").withColumn("click", F.round("click", 4).cast("double")))
 
 
 @query("SELECT user_id AS cell_id, CAST(ts AS DATE) AS t, round(max(value), 4) AS value FROM events GROUP BY 1, 2")
@@ -704,9 +718,9 @@ def conformal_coverage(spark, d):
     return rounded(un.empirical_coverage(_conformal(spark, d)))
 
 
-@query(f"WITH {GRID} SELECT cell_id, printf('%.5f ± %.5f', avg(click) + 0.0000001, coalesce(stddev_pop(click), 0)) AS shown FROM grid GROUP BY 1 HAVING avg(click) IS NOT NULL")
+@query(f"{_CLICK_MEANS} SELECT cell_id, printf('%.5f ± %.5f', {_decimal_mean('s', 'n', 6)}, u) AS shown FROM s WHERE n > 0")
 def uncertainty_format(spark, d):
-    s = grid(spark, d).groupBy("cell_id").agg((F.avg("click") + 0.0000001).alias("v"), F.coalesce(F.stddev_pop("click"), F.lit(0.0)).alias("u")).where("v is not null")
+    s = grid(spark, d).groupBy("cell_id").agg(F.round(F.avg(F.col("click").cast("decimal(18,6)")), 4).cast("double").alias("v"), F.coalesce(F.stddev_pop("click"), F.lit(0.0)).alias("u")).where("v is not null")
     return s.select("cell_id", tr.with_uncertainty(F.col("v"), F.col("u")).alias("shown"))
 
 
@@ -975,6 +989,22 @@ def selected_outputs(spark, d):
     return rounded(sc.select_outputs(df, ["vwc"]))
 
 
+# -- long series, blocks on disk ---------------------------------------------------------------
+
+
+QUERIES["windows_of_long_series"] = lambda spark, d: _digest(sq.forward_windows(indexed(spark, d).withColumn("x", F.coalesce("click", F.lit(0.0))), ["x"], 7, 8), "t0")
+SQL["windows_of_long_series"] = SQL["forward_sequences"]
+QUERIES["trailing_windows_of_long_series"] = lambda spark, d: _digest(sq.trailing_windows(indexed(spark, d).withColumn("x", F.coalesce("click", F.lit(0.0))), ["x"], 7, 4), "t")
+SQL["trailing_windows_of_long_series"] = SQL["trailing_sequences"]
+
+
+@query(f'WITH {GRID} SELECT cell_id, lat_i, lon_i, t_i, round(click, 4) AS click FROM gi WHERE lat_i BETWEEN 1 AND 7 AND lon_i BETWEEN 3 AND 6 AND t_i BETWEEN 9 AND 17')
+def box_of_blocks(spark, d):
+    path = new_path(spark, "blocks")
+    bl.write_blocks(indexed(spark, d).select("cell_id", "lat_i", "lon_i", "t_i", "click"), path, (2, 2, 3))
+    return rounded(bl.read_box(spark, path, (2, 2, 3), [(1, 7), (3, 6), (9, 17)]))
+
+
 # -- uneven axes, merged states, orders --------------------------------------------------------
 
 _UNEVEN = """points AS (SELECT c_custkey, (c_custkey * 37 % 1009) * 0.731 - 120 AS lat, (c_custkey * 53 % 997) * 0.417 - 40 AS lon FROM customer),

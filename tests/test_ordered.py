@@ -13,8 +13,10 @@ from terracube.operators import moments as mo
 from terracube.operators import ordered as od
 from terracube.operators import sampling as sp
 from terracube.operators import scoring as sc
+from terracube.operators import sequences as sq
 from terracube.operators import stats as st
 from terracube.queries import Huber
+from terracube.sources import blocks as bl
 from terracube.sources import grids as io
 
 HARD = [0.0, -0.0, 1e-308, -1e-308, 5e-324, 1e300, -1e300, 1.0, 1.0, 1.0, -1.5, 2.0**53, 2.0**53 + 2, 1e-7, 3.0, 3.0000000000000004]
@@ -205,3 +207,65 @@ def test_samples_and_ranks_start_no_job(spark):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     sp.sample_keys(keys, "cell_id", 0.3)
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+@pytest.mark.parametrize("slab", [1, 3, 8, 100])
+@pytest.mark.parametrize("length", [1, 5, 12])
+def test_windows_of_slabs_are_those_of_whole_series(spark, slab, length):
+    rng = np.random.default_rng(slab)
+    rows = [(c, int(t), float(t * 10 + c)) for c, n in ((1, 30), (2, 5), (3, 12), (4, 13)) for t in np.sort(rng.choice(60, n, replace=False))]
+    df = spark.createDataFrame(rows, "cell_id long, t_i int, x double")
+    series = sq.cell_series(df, ["x"])
+    key = lambda out, at: sorted((r.cell_id, r[at], tuple(r.x)) for r in out.collect())
+    for more in (False, True):
+        assert key(sq.forward_windows(df, ["x"], length, slab, more), "t0") == key(sq.forward_sequences(series, ["x"], length, more), "t0")
+        assert key(sq.trailing_windows(df, ["x"], length, slab, more), "t") == key(sq.trailing_sequences(series, ["x"], length, more), "t")
+    assert sq.slab_series(df, ["x"], slab, length).where(F.size("x") > slab + length).count() == 0
+
+
+def files_read(df):
+    df.collect()
+    scans = df._jdf.queryExecution().executedPlan().collectLeaves()
+    own = [scans.apply(i).metrics() for i in range(scans.size())]
+    return sum(m.apply("numFiles").value() for m in own if m.contains("numFiles"))
+
+
+def test_a_box_opens_only_its_zones(spark, tmp_path):
+    df = spark.range(24 * 24 * 24).select((F.col("id") % 24).cast("int").alias("lat_i"), (F.expr("id div 24") % 24).cast("int").alias("lon_i"), F.expr("id div 576").cast("int").alias("t_i"), F.col("id").alias("v"))
+    path = f"file://{tmp_path}/blocks"
+    bl.write_blocks(df, path, (1, 2, 3), files=16)
+    counts = []
+    for box in ([(0, 23), (0, 23), (0, 23)], [(3, 9), (5, 20), (0, 11)], [(7, 7), (8, 8), (23, 23)], [(5, 4), (0, 1), (0, 1)], [(-5, 0), (0, 0), (22, 99)], [(40, 90), (0, 9), (0, 9)]):
+        got = bl.read_box(spark, path, (1, 2, 3), box)
+        want = df
+        for axis, (a, b) in zip(bl.AXES, box, strict=True):
+            want = want.where(F.col(axis).between(a, b))
+        assert sorted(r.v for r in got.collect()) == sorted(r.v for r in want.collect())
+        counts.append(files_read(got))
+    assert counts[0] > 3 * counts[1] > 6 * counts[2] and counts[2] <= 2 and counts[3] == 0
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        ends = [sorted(int(x) for x in rng.integers(0, 5_000, 2)) for _ in range(3)]
+        ranges = bl.zone_ranges(ends, (1, 2, 3), 16)
+        assert len(ranges) <= 16 * 8
+        at = [[int(x) for x in rng.integers(a, b + 1, 20)] for a, b in ends]
+        for place in zip(*at, strict=True):
+            zone = 0
+            for k in reversed(range(18)):
+                for x, size in zip(place, (1, 2, 3), strict=True):
+                    zone = zone << 1 | (x // size >> bl.ZONE_BITS >> k & 1)
+            assert any(a <= zone <= b for a, b in ranges)
+    with pytest.raises(Exception, match="outside of the blocks"):
+        bl.write_blocks(df.withColumn("lat_i", F.lit(-1)), f"{path}2", (1, 1, 1))
+
+
+def test_dense_blocks_in_batches(spark):
+    rng = np.random.default_rng(1)
+    rows = [(b, 0, t, a, o, float(rng.normal()), float(rng.normal())) for b in range(6) for t in range(3) for a in range(2 + b % 2) for o in range(4) if (b, t, a, o) != (2, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "s_idx int, k_idx int, t_i int, lat_i int, lon_i int, u double, v double").repartition(5)
+    plain = lambda cube: cube[:, 0] - 2 * cube[:, 1] + np.isnan(cube[:, 0]).sum()
+    together = lambda cubes: cubes[:, :, 0] - 2 * cubes[:, :, 1] + np.isnan(cubes[:, :, 0]).sum(axis=(1, 2, 3))[:, None, None, None]
+    want = sorted((b, k, t, a, o, u - 2 * v + (b == 2)) for b, k, t, a, o, u, v in rows)
+    for model, stacked in ((plain, False), (together, True)):
+        got = sorted(tuple(r) for r in sc.score_cubelets(df, model, ["u", "v"], stacked=stacked).collect())
+        assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5] for g in got], [w[5] for w in want])
