@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text_arrays as ta
+from .shared import kept_model
 
+#: Of the labelled table, the features and the training: models that were kept by another version are not used.
+VERSION = 1
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 WORDS_A_SEQUENCE = 256
@@ -144,6 +147,9 @@ class Field:
     def __init__(self, emit: np.ndarray, step: np.ndarray, start: np.ndarray):
         self.emit, self.step, self.start = emit, step, start
 
+    def arrays(self) -> list[np.ndarray]:
+        return [self.emit, self.step, self.start]
+
     def plain_is_settled(self) -> bool:
         """Is a word without digits, at sign or plus between two such words outside every best path but the plain one?"""
         own = np.concatenate([OFFSETS[:-1], OFFSETS[:-1][[0, 1, 4]] + OFFSETS[-1], OFFSETS[:-1][[0, 1, 4]] + 2 * OFFSETS[-1]])
@@ -393,7 +399,8 @@ def find_pii(df: DataFrame, text_col: str = "text", rows: int = 900, seed: int =
     words; columns of the same names are replaced, all others stay. One pass over the texts, no shuffle.
     """
     df = df.drop("pii_base", "pii_spans")
-    model = df.sparkSession.sparkContext.broadcast(trained(rows, seed))  # some thousand numbers
+    arrays = kept_model(df.sparkSession, f"pii-{VERSION}-{rows}-{seed}", lambda: trained(rows, seed).arrays())
+    model = df.sparkSession.sparkContext.broadcast(Field(*arrays))  # some thousand numbers
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*df.schema.fields, T.StructField("pii_base", span), T.StructField("pii_spans", span)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
