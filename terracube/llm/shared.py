@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracube.sources.scratch import new_path
+from terracube.sources.scratch import new_path, shared_folder
 
 #: A missing id counts as the largest one.
 NO_ID = (1 << 63) - 1
@@ -60,3 +63,25 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[in
 def join_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
     """Join ``rows`` to statistics of their groups; ``size`` is a group's number of rows, ``total`` that of all. ``keys`` must not be null."""
     return salted_join(rows, stats, keys, hot_keys(stats, keys, size, total), how)
+
+
+def kept_model(spark: SparkSession, name: str, train: Callable[[], list[np.ndarray]]) -> list[np.ndarray]:
+    """The arrays of a model that is trained by rule: from a table in the shared folder if an earlier job of any session left it there, else trained and kept.
+
+    ``name`` tells all that the model depends on: its version, seed and size. The table outlives the session; delete it to train anew.
+    """
+    path = f"{shared_folder(spark)}/models/{name}"
+    try:
+        kept = spark.read.schema("i int, a binary").parquet(path).orderBy("i").collect()  # a few arrays
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = []
+    if kept:
+        return [np.load(io.BytesIO(r["a"])) for r in kept]
+    arrays, rows = train(), []
+    for i, a in enumerate(arrays):
+        np.save(to := io.BytesIO(), a)
+        rows.append((i, to.getvalue()))
+    spark.createDataFrame(rows, "i int, a binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return arrays

@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from terracube.llm.lm_score import _estimate, framed, log_prices, score_texts, t
 from terracube.llm.lm_score import grams as byte_runs
 from terracube.llm.mixing import mix_sources, mixed_documents, targets
 from terracube.llm.near_dedup import components, near_duplicates, prob_min_hash
+from terracube.llm.shared import kept_model
 from terracube.llm.top_k import top_k, whole_vectors
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -532,11 +535,64 @@ def test_pages(spark):
 
 
 def test_end_tags_of_deep_parts_close_their_own():
-    for deep in (10, 64, 70, 500):
-        page = "<body><div class='content'><article>" + "<div>" * deep + "<p>Deep.</p>" + "</div>" * deep + "<p>After.</p></article></div><p>Out.</p></body>"
-        found = {t: path for path, t, _ in html_text.blocks(page)}
-        assert found["After."] == ("body", "div content", "article", "p") and found["Out."] == ("body", "p")
-        assert len(found["Deep."]) == min(64, deep + 4) and found["Deep."][-1] == "p"
+    cells = lambda *tags: {c for t in tags for c in html_text._cells_of(*t)} | {zlib.crc32(f"leaf:{tags[-1][0]}".encode()) % html_text.PATH}
+    body, content, article, p = ("body", ""), ("div", "content"), ("article", ""), ("p", "")
+    for deep in (0, 10, 64, 70, 500):
+        page = "<body><div class='content'><article>" + "<div class='x'>" * deep + "<p>Deep.</p>" + "</div>" * deep + "<p>After.</p></article></div><p>Out.</p></body>"
+        found = {t: set(c) for c, t, _ in html_text.blocks(page)}
+        assert found["After."] == cells(body, content, article, p) and found["Out."] == cells(body, p)
+        assert found["Deep."] == cells(body, content, article, *[("div", "x")] * min(deep, 1), p)
+
+
+PARAGRAPHS = [
+    "Rivers carry water and silt to the sea, and they change their beds.", "Floods come in spring, when snow melts in the hills.", "People built dams, and with them came canals and mills.", "A short one.",
+    "Nobody knows how long the old bridge will stand over the water there.", "In autumn the level falls, and banks of sand come out.",
+]
+CONTAINERS = {
+    "section": ("<section>", "</section>"), "div": ("<div>", "</div>"), "entry": ("<div class='entry'>", "</div>"), "article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "role": ("<div role=main>", "</div>"),
+    "id": ("<div id='content'>", "</div>"), "cell": ("<table><tr><td>", "</td></tr></table>"), "body": ("", ""), "deep": ("<div>" * 200 + "<article>", "</article>" + "</div>" * 200), "deep divs": ("<div>" * 200, "</div>" * 200),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTAINERS))
+def test_articles_in_any_container(name):
+    """Pages written by hand: no paragraph of the article is lost, no comment is in, whatever element holds the article."""
+    (a, b), side = CONTAINERS[name], '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+    comments = "<div class='comments'><div class='comment'><p>Nice text, I liked it very much.</p></div><div class='comment'><p>So did I, thank you.</p></div></div>"
+    body = "<h1>On rivers</h1>" + "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    page = f"<html><body>{side}{a}{body}{b}{comments}<footer>&copy; 2020 Rivers</footer></body></html>"
+    assert html_text.main_texts(html_text.trained(), [page]) == ["\n".join(["On rivers", *PARAGRAPHS])]
+
+
+@pytest.mark.parametrize("deep", [0, 10, 62, 64, 200])
+def test_deep_pages_of_comments_have_no_main_text(deep):
+    comments = "<div class='comments'>" + "".join(f"<div class='comment'><p>{x}</p></div>" for x in PARAGRAPHS) + "</div>"
+    assert html_text.main_texts(html_text.trained(), ["<html><body>" + "<div>" * deep + comments + "</div>" * deep + "</body></html>"]) == [""]
+
+
+def test_long_attributes_leave_no_markup():
+    for value in ("a>b " * 250_000, "<b>" * 100_000):
+        page = f"<p data-x=\"{value}\">Text.</p><p title='{value}'>More.</p>"
+        assert [t for _, t, _ in html_text.blocks(page)] == ["Text.", "More."]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
+def test_pages_of_the_driver_against_their_container(spark):
+    """The driver's pages hold their main text in one article: a plain cut of it gives the same text."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
+    for r in rows.collect():
+        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|li|ul|blockquote|pre|div)\b[^>]*>|<br>(?=<p>)", inside)]
+        assert got[r.page_id] == "\n".join(x for x in lines if x)
+
+
+def test_models_are_kept(spark):
+    made = []
+    train = lambda: made.append(1) or [np.arange(3.0), np.zeros((2, 2), np.float32)]
+    name = f"test-{time.time_ns()}"
+    first, again = kept_model(spark, name, train), kept_model(spark, name, train)
+    assert len(made) == 1 and all((a == b).all() and a.dtype == b.dtype for a, b in zip(first, again, strict=True))
 
 
 def test_broken_tags_leave_no_markup():
@@ -544,7 +600,7 @@ def test_broken_tags_leave_no_markup():
     assert found('<p title="x>Broken one.</p><p class="y">Next.</p>') == ["Broken one.", "Next."]
     assert found("<p title='it\"s > here' id=a>Whole.</p><p data-x=\"<b>\">Tag inside.</p>") == ["Whole.", "Tag inside."]
     assert found('<a title="1"class="2">Link</a><p title=a"b>Odd.</p>') == ["Link", "Odd."]
-    for hostile in ("<p title='" * 20_000, "<a " * 50_000, "<!" * 50_000, '<p a="' * 20_000, "<div>" * 20_000 + "deep"):
+    for hostile in ('<a "' * 50_000, "<a \"<a ' " * 30_000, "<a \"<a '\" '" * 20_000, "<p title='" * 20_000, "<a " * 50_000, "<!" * 50_000, '<p a="' * 20_000, "<div>" * 20_000 + "deep"):
         began = time.time()
         html_text.blocks(hostile)
         assert time.time() - began < 20
