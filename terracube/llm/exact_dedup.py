@@ -23,24 +23,23 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the text's full hash (SHA-256 in hex, without white space) for every row. Of a group, the row with the most code points in the original text stays,
     then the smallest id.
 
-    How it refines: the first scan keeps (length, hash of the first ``prefix_chars``) of each text without white space. Rows whose length is their own are done;
-    of the others, those whose prefix is their own are done; what is left is read again and grouped by the full hash. Rows learn that they are left from a
-    broadcast set of cell numbers (a hash of length and prefix, modulo 16 times the number of repeated prefixes, 2^20 at least and 2^22 at most): a false
-    hit puts a row into the last step that could have been left out and changes no result. No text is ever shuffled, only ids, lengths and hashes are.
+    How it refines: the first scan counts the lengths of the texts without white space. A second one counts the hashes of the first ``prefix_chars`` of the
+    texts whose length came up again; what is left after it, texts of one length and one prefix, is read again and grouped by the full hash. Rows learn that they
+    are left from broadcast sets of cell numbers (a hash of the length, or of length and prefix, modulo 16 times the number of repeated ones, 2^20 at least
+    and 2^22 at most): a false hit lets a row into the next step that could have been left out and changes no result. No text is ever shuffled, only ids,
+    lengths and hashes are.
 
     A null text counts as empty, and all empty texts are one group. A null id sorts last. Repeated rows are rows of their own: exactly one of a
     group is kept. Very long texts are hashed in place. Hot groups are joined with salted keys. Columns that are not named are not read; an empty table gives no rows.
     """
     base = df.select(F.col(id_col), *[F.col(c) for c in carry], F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_chars"), without_spaces(F.col(text_col)).alias("_text"))
-    profiled = base.withColumns({"_len": F.length("_text"), "_prefix": F.xxhash64(F.substring("_text", 1, prefix_chars))})
-    seen = stash(profiled.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")))
-    lengths = seen.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
-    again = stash(seen.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_prefix"))
-    cells = cells or min(1 << 22, max(1 << 20, 16 * again.count()))
-    cell = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(cells)).alias("_cell")
-    hits = F.broadcast(again.select(cell).distinct().withColumn("_hit", F.lit(True)))
-
-    rows = profiled.withColumn("_cell", cell).join(hits, "_cell", "left")
+    sized = base.withColumn("_len", F.length("_text"))
+    lengths = stash(sized.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    among = _among(sized, lengths, ["_len"], "_again", cells)
+    # only these are hashed
+    profiled = among.withColumn("_prefix", F.when(F.col("_again"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
+    again = stash(profiled.where("_again").groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    rows = _among(profiled, again, ["_len", "_prefix"], "_hit", cells)
     full = F.unhex(F.sha2("_text", 256))
     if digest:
         rows = rows.withColumn("_sha", full)
@@ -64,6 +63,14 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _among(rows: DataFrame, repeated: DataFrame, keys: Sequence[str], name: str, cells: int | None) -> DataFrame:
+    """A column ``name``: true where the row's cell is that of one of the ``repeated`` keys, else null."""
+    cells = cells or min(1 << 22, max(1 << 20, 16 * repeated.count()))
+    cell = F.pmod(F.xxhash64(*keys), F.lit(cells)).alias("_cell")
+    hits = F.broadcast(repeated.select(cell).distinct().withColumn(name, F.lit(True)))  # 2^22 numbers at most
+    return rows.withColumn("_cell", cell).join(hits, "_cell", "left").drop("_cell")
+
+
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_duplicates(docs, digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

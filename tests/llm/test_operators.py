@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terracube.llm import html_text, line_dedup, pii, quality
+from terracube.llm import exact_dedup, html_text, line_dedup, pii, quality
 from terracube.llm import text_arrays as ta
 from terracube.llm.apportion import sainte_lague
 from terracube.llm.exact_dedup import exact_duplicates
@@ -786,3 +786,17 @@ def test_held_out_texts_cost_less_than_by_short_contexts(spark):
 def test_sha_of_lines_matches_python(docs):
     out = dedup_lines(docs).where("doc_id = 10").select(F.sha2("text", 256).alias("h")).first()
     assert out.h == hashlib.sha256(b"another\nshort").hexdigest()
+
+
+def test_lengths_decide_which_prefixes_are_hashed(spark, monkeypatch):
+    """A text whose length is its own is never counted by its prefix; what comes up again in length and prefix alone is compared by the full hash."""
+    seen = []
+    plain = exact_dedup.stash
+    monkeypatch.setattr(exact_dedup, "stash", lambda df: seen.append(plain(df)) or seen[-1])
+    rows = [(1, "aaaa"), (2, "aa aa"), (3, "bbbb"), (4, "ccccc"), (5, "d" * 9), (6, "d" * 10), (7, None), (8, "")]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), digest="h")
+    assert as_rows(got, "doc_id", "keep_id", "group_size") == as_rows(spark.createDataFrame([(1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 6, 1), (7, 7, 2), (8, 7, 2)], "doc_id long, keep_id long, group_size long"), "doc_id", "keep_id", "group_size")
+    lengths, prefixes, compared = seen[0], seen[1], seen[2]
+    assert sorted((r._len, r._n) for r in lengths.collect()) == [(0, 2), (4, 3)]
+    assert sorted((r._len, r._n) for r in prefixes.collect()) == [(0, 2), (4, 2)]
+    assert {r.doc_id for r in compared.where("_full is not null").collect()} == {1, 2, 7, 8}
