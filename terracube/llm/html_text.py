@@ -23,6 +23,8 @@ VERSION = 2
 
 # -- blocks ------------------------------------------------------------------------------------
 
+#: Texts, and tags whose quotes hold no "<" or ">": nearly all of a page.
+_PLAIN = re.compile(r"""([^<]+)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>"']|"[^"<>]*"(?=[\s/>])|'[^'<>]*'(?=[\s/>]))*+)>""")
 _START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
 _MARK = re.compile(r"""[<>"']""")
 _ODD_REST = re.compile(r"[^<>]*>")
@@ -61,11 +63,19 @@ def _parts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
     """Texts as (None, False, text), tags as (name, closes, attributes). A broken tag ends at the next ">"; comments, scripts and the like are left out."""
     tag_end, at, n = _tag_ends(page), 0, len(page)
     while at < n:
-        if page[at] != "<":
-            stop = page.find("<", at)
-            stop = n if stop < 0 else stop
-            yield None, False, page[at:stop]
-            at = stop
+        plain = _PLAIN.match(page, at)
+        if plain is not None:
+            text, closes, tag, rest = plain.groups()
+            at = plain.end()
+            if text is not None:
+                yield None, False, text
+                continue
+            tag = tag.lower()
+            if closes or tag not in _RAW_END:
+                yield tag, bool(closes), rest
+                continue
+            close = _RAW_END[tag].search(page, at)
+            at = close.end() if close else n
             continue
         if page.startswith("<!--", at):
             stop = page.find("-->", at + 4)
