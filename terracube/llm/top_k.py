@@ -16,7 +16,9 @@ LEAF = 64
 VECTORS_A_SHARD = 4_096
 QUERIES_A_BLOCK = 512
 SAMPLE = 8_192
-ROOTS_A_CHUNK = 4_096
+#: Root balls, or balls of blocks, in one row; blocks that one task holds beside a shard's tree.
+BALLS_A_ROW = 1_024
+BLOCKS_A_TASK = 32
 #: Shards that a block of queries meets in each round, best bounds first; the last round takes all that are left.
 ROUNDS = (1, 8, None)
 EVERY = 50
@@ -179,46 +181,59 @@ def _grown(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "width": [tree.vectors.shape[1]], **tree.columns()})
 
 
+BLOCK = "block long, width int, q_ids binary, q_vectors binary, floor binary, middle binary, reach double, longest double, need double"
+
+
 def _blocked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for a block of queries of one width, with the kth score so far of each."""
-    m = np.stack(pdf["v"].to_list()).astype(np.int64)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "width": [m.shape[1]], "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q_vectors": [m.tobytes()], "floor": [pdf["floor"].to_numpy(np.int64).tobytes()]})
+    """One row for a block of queries of one width, with the kth score so far of each; and a ball around them, and the least score that one of them needs."""
+    m, floor = np.stack(pdf["v"].to_list()).astype(np.int64), pdf["floor"].to_numpy(np.int64)
+    real = m.astype(np.float64)
+    middle = real.mean(axis=0)
+    ball = {"middle": [middle.tobytes()], "reach": [float(np.sqrt(((real - middle) ** 2).sum(axis=1).max()))], "longest": [float(np.sqrt((real**2).sum(axis=1).max()))], "need": [float(floor.min())]}
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "width": [m.shape[1]], "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q_vectors": [m.tobytes()], "floor": [floor.tobytes()], **ball})
 
 
-def _chunked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The root balls of many shards in one row."""
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "width": [pdf["width"].iloc[0]], "shards": [pdf["shard"].to_numpy(np.int64).tobytes()], "centre": [b"".join(pdf["centre"])], "radius": [b"".join(pdf["radius"])]})
+def _balls(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """The named columns of about ``BALLS_A_ROW`` shards or blocks of one width in one row, as arrays of numbers."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = {name: [b"".join(pdf[c]) if isinstance(pdf[c].iloc[0], bytes) else pdf[c].to_numpy(float).tobytes()] for c, name in columns.items()}
+        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "width": [pdf["width"].iloc[0]], key: [pdf[key].to_numpy(np.int64).tobytes()], **made})
 
-def _query_rows(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["q_ids"], np.int64)
-    return ids, np.frombuffer(row["q_vectors"], np.int64).reshape(len(ids), -1), np.frombuffer(row["floor"], np.int64)
+    rows = max(1, -(-df.count() // BALLS_A_ROW))
+    own = df.select(key, "width", *columns, F.pmod(F.xxhash64(key), F.lit(rows)).cast("int").alias("row"))
+    return own.groupBy("row", "width").applyInPandas(run, f"row int, width int, {key} binary, {', '.join(f'{name} binary' for name in columns.values())}")
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-    for i in range(batch.num_rows):
-        yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+def _query_rows(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row.q_ids, np.int64)
+    return ids, np.frombuffer(row.q_vectors, np.int64).reshape(len(ids), -1), np.frombuffer(row.floor, np.int64)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, shard, bound) of the shards that may hold a better score for some query of the block."""
+    """(block, shard, bound) of the shards that may hold a better score for some query of the block: no product of a vector in one ball with one in the other
+    exceeds the middles' product by more than each reach times the other's length."""
     for batch in batches:
-        for row in _rows_of(batch):
-            _, queries, floor = _query_rows(row)
-            radius = np.frombuffer(row["radius"])
-            bounds = upper_bounds(queries, np.frombuffer(row["centre"]).reshape(len(radius), -1), radius)
-            open_ = (bounds >= floor[:, None]).any(axis=0)
-            top = bounds.max(axis=0)[open_]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), row["block"])), pa.array(np.frombuffer(row["shards"], np.int64)[open_]), pa.array(top)], ["block", "shard", "bound"])
+        for row in batch.to_pylist():
+            blocks, shards = np.frombuffer(row["block"], np.int64), np.frombuffer(row["shard"], np.int64)
+            m, reach, longest, need, c, radius = (np.frombuffer(row[x]) for x in ("m", "reach", "longest", "need", "c", "radius"))
+            m, c = m.reshape(len(blocks), -1), c.reshape(len(shards), -1)
+            far = np.sqrt((c**2).sum(axis=1))
+            bounds = m @ c.T + reach[:, None] * far + longest[:, None] * radius + longest[:, None] * (far + radius) * 1e-9 + 1
+            i, j = np.nonzero(bounds >= need[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[i]), pa.array(shards[j]), pa.array(bounds[i, j])], ["block", "shard", "bound"])
 
 
 def _searched(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows_of(batch):
-                out = [(np.full(len(v), q), v, s) for q, v, s in BallTree.of(row).search(*_query_rows(row), k)]
-                columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+    def run(trees: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        """A shard's tree is unpacked once for all the blocks that meet it here."""
+        out = []
+        for tree in trees.to_dict("records"):
+            own = BallTree.of(tree)
+            for block in blocks.itertuples():
+                out += [(np.full(len(v), q), v, s) for q, v, s in own.search(*_query_rows(block), k)]
+        columns = [np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
@@ -236,7 +251,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Vectors are dealt into cells by planes fitted to a sample of at most ``SAMPLE``, and cells into shards of about 4,096, so that a shard holds near vectors and
     a cell of many equal ones is no hot group. Each shard is a ball tree, grown once. Blocks of near queries meet shards in rounds, by descending bound of the
     shards' root balls: first the best one, then eight, then all others. The kth score that a query has after a round goes into the next one, where it first drops
-    whole pairs of block and shard, before any vector moves, and then prunes nodes and leaves.
+    whole pairs of block and shard, by the balls around both, before any vector moves, and then prunes nodes and leaves. A shard's tree moves once for every
+    ``BLOCKS_A_TASK`` blocks that meet it, and is unpacked once for them.
     """
     spark = vectors.sparkSession
     widths = vectors.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
@@ -254,10 +270,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return df.join(F.broadcast(parts), "cell").withColumn(name, F.xxhash64("cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))))
 
     forest = stash(numbered(vectors, VECTORS_A_SHARD, "shard").groupBy("shard", F.size("v")).applyInPandas(_grown, TREE))
-    chunks = max(1, -(-forest.count() // ROOTS_A_CHUNK))
     first = lambda c, size: F.expr(f"substring({c}, 1, {size})")
-    roots = forest.select("shard", "width", first("centre", "8 * width").alias("centre"), first("radius", 8).alias("radius"), F.pmod("shard", F.lit(chunks)).cast("int").alias("chunk"))
-    roots = stash(roots.groupBy("chunk", "width").applyInPandas(_chunked, "chunk int, width int, shards binary, centre binary, radius binary"))
+    heads = forest.select("shard", "width", first("centre", "8 * width").alias("centre"), first("radius", 8).alias("radius"))
+    roots = stash(_balls(heads, "shard", {"centre": "c", "radius": "radius"}))
+    rows_of_roots = roots.agg(F.max("row")).first()[0]
 
     asked = stash(numbered(queries.groupBy("vec_id").agg(F.min("v").alias("v")), QUERIES_A_BLOCK, "block").select("vec_id", "v", "block"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -268,16 +284,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         else:
             kth = hits.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
             known = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(1 << 63))))
-        blocks = stash(known.groupBy("block", F.size("v")).applyInPandas(_blocked, "block long, width int, q_ids binary, q_vectors binary, floor binary"))
-        pairs = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(roots, ["chunk", "width"]).mapInArrow(_bounded, "block long, shard long, bound double")
+        blocks = stash(known.groupBy("block", F.size("v")).applyInPandas(_blocked, BLOCK))
+        balls = _balls(blocks, "block", {"middle": "m", "reach": "reach", "longest": "longest", "need": "need"}).drop("row")
+        pairs = balls.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows_of_roots)))).join(roots, ["row", "width"]).drop("row", "width").mapInArrow(_bounded, "block long, shard long, bound double")
         if done is not None:
             pairs = pairs.join(done, ["block", "shard"], "left_anti")
         if take is not None:
             best = Window.partitionBy("block").orderBy(F.desc("bound"), "shard")
             pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= take)
         pairs = stash(pairs.select("block", "shard"))
-        met = pairs.join(blocks.drop("width"), "block").join(forest, "shard")
-        found = met.drop("block", "shard", "width").mapInArrow(_searched(k), HITS)
+        # a tree moves once for every BLOCKS_A_TASK blocks that meet it
+        parts = pairs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCKS_A_TASK)).cast("int").alias("parts"))
+        left = forest.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        right = pairs.join(parts, "shard").join(blocks.select("block", "q_ids", "q_vectors", "floor"), "block").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).drop("parts")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from the pairs
+        found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(_searched(k), HITS)
         every = found if hits is None else hits.unionByName(found)
         hits = stash(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").drop("rank"))
         done = pairs if done is None else done.unionByName(pairs)

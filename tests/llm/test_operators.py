@@ -418,7 +418,7 @@ def test_packing(docs, none):
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(300)]
-    rows += [(301, None), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (304, []), (350, rows[50][1]), (351, rows[50][1])]
+    rows += [(None, rows[1][1]), (301, None), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (304, []), (350, rows[50][1]), (351, rows[50][1])]
     vectors = whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("floor", F.lit(1)))
     good = {r.vec_id: np.array(r.v, np.int64) for r in vectors.collect()}
     assert len(good) == 302
@@ -432,7 +432,8 @@ def test_top_k(spark, monkeypatch):
         best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want, key=str)
-    monkeypatch.setattr(t, "ROOTS_A_CHUNK", 2)
+    monkeypatch.setattr(t, "BALLS_A_ROW", 2)
+    monkeypatch.setattr(t, "BLOCKS_A_TASK", 1)
     assert as_rows(top_k(vectors.repartition(3), vectors.where("vec_id % 50 = 0")), "query_id", "rank", "vec_id", "score") == got
     twice = top_k(vectors.unionByName(vectors.where("vec_id = 7")), vectors.where("vec_id = 0").unionByName(vectors.where("vec_id = 0")), 302).collect()
     assert len(twice) == 302 and sum(r.vec_id == 7 for r in twice) == 2 and sorted(r["rank"] for r in twice) == list(range(1, 303))
