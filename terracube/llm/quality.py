@@ -14,10 +14,7 @@ from pyspark.sql import types as T
 
 from . import text_arrays as ta
 
-#: Common insults in English.
-INSULTS = ("clown", "creep", "cretin", "disgusting", "dumb", "failure", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "lowlife", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-
-LABELLERS = ("symbol_share", "marked_words", "shouted_letters", "shouted_words", "exclamations", "bar_words", "repeated_lines", "repeated_words", "insult", "insults", "odd_length", "stutter", "told_stem", "told_stems", "few_marks", "plain_prose", "closed_lines")
+LABELLERS = ("symbol_share", "marked_words", "shouted_letters", "shouted_words", "exclamations", "bar_words", "repeated_lines", "repeated_words", "odd_length", "stutter", "told_stem", "told_stems", "few_marks", "plain_prose", "closed_lines")
 
 CELLS = 1 << 18
 SAMPLE = 3_000
@@ -62,13 +59,6 @@ def parse(column: pa.Array) -> Parsed:
     return Parsed(data, offsets, a, b, row, ta.span_hash(low, first, last, 3), tuple(ta.span_hash(low, first, np.minimum(first + k, last), 10 + k) for k in (4, 5)), ta.span_hash(low, last, b, 4), up[b] - up[a], let[b] - let[a])
 
 
-def _word_hashes(words: tuple[str, ...], seed: int) -> np.ndarray:
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    size = np.array([len(w) for w in words])
-    start = np.cumsum(size + 1) - size - 1
-    return ta.span_hash(data, start, start + size, seed)
-
-
 def _kinds(row: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
     """Distinct items of each row."""
     if not len(row):
@@ -115,16 +105,15 @@ def votes(p: Parsed, lexicon: np.ndarray) -> np.ndarray:
     stutter = share(count(same), words)
     told = ta.among(items(p), lexicon).any(axis=0)
     told = _kinds(p.row[told], p.word[told], n)
-    insult = count(ta.among(p.word, np.sort(_word_hashes(INSULTS, 3))))
     mean = share(np.bincount(p.row, weights=size, minlength=n), words)
 
     bad = lambda x: np.where(x, -1, 0)
-    unmarked = (symbols < 0.02) & (shouted < 0.15) & (bangs < 0.03) & (bars < 0.03) & (insult == 0) & (told < 2) & (stutter < 0.2)
+    unmarked = (symbols < 0.02) & (shouted < 0.15) & (bangs < 0.03) & (bars < 0.03) & (told < 2) & (stutter < 0.2)
     plain = unmarked & (words >= 5) & (symbols < 0.01) & (again < 0.2) & (mean < 14) & (stutter < 0.1) & (told < 1)
     return np.stack(
         [
             bad(symbols > 0.08), bad(marked > 0.2), bad((share(capitals, letters) > 0.35) & (letters > 20)), bad((shouted > 0.3) & (words > 3)), bad((bangs > 0.15) & (words > 3)),
-            bad((bars > 0.15) & (words > 5)), bad((again > 0.4) & (total > 3)), bad((variety < 0.08) & (words > 200)), bad(insult >= 1), bad(insult >= 2), bad((mean > 25) & (words > 3)),
+            bad((bars > 0.15) & (words > 5)), bad((again > 0.4) & (total > 3)), bad((variety < 0.08) & (words > 200)), bad((mean > 25) & (words > 3)),
             bad((stutter > 0.25) & (words > 5)), bad(told >= 1), bad(told >= 2), np.where(unmarked & (words > 0), 1, 0), np.where(plain, 1, 0), np.where(plain & (closed > 0.9), 1, 0),
         ],
         axis=1,

@@ -644,6 +644,36 @@ def test_label_model_finds_accuracies():
     np.testing.assert_allclose(quality.label_model(patterns, n, weight=0.0), acc, atol=0.03)
 
 
+def plain_em(rows, rounds=50, start=0.85, weight=0.02):
+    """The label model row by row: no patterns, no arrays."""
+    k = len(rows[0])
+    accuracy = [start] * k
+
+    def good(v):
+        odds = sum(x * math.log(a / (1 - a)) for x, a in zip(v, accuracy, strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+    pull = weight * len(rows) + 1
+    for _ in range(rounds):
+        chance = [good(v) for v in rows]
+        sums = [[sum(c if v[j] > 0 else 1 - c for v, c in zip(rows, chance, strict=True) if v[j]), sum(1 for v in rows if v[j])] for j in range(k)]
+        accuracy = [min(0.995, max(0.55, (right + pull * start) / (spoken + pull))) for right, spoken in sums]
+    return [good(v) for v in rows]
+
+
+def test_label_scores_are_those_of_a_plain_em(spark):
+    rng = np.random.default_rng(9)
+    words = ["river", "stone", "water", "bridge", "harbour", "winter", "morning", "garden"]
+    texts = [None, "", "   "]
+    for i in range(150):
+        w = list(rng.choice(words, int(rng.integers(6, 40))))
+        texts.append([" ".join(w).capitalize() + ".", " ".join(x.upper() + "!!" for x in w), " | ".join(w), "\n".join(["same line here"] * 9), " ".join([w[0]] * 30)][i % 5])
+    got = quality.score_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    want = plain_em([r.votes for r in got])
+    np.testing.assert_allclose([r.label_score for r in got], want, rtol=1e-6)
+    assert len({tuple(r.votes) for r in got}) > 5
+
+
 def test_long_texts_do_not_swell_the_sample(spark, monkeypatch):
     rows = [(i, " ".join(f"word{(i * j) % 91}" for j in range(1, 200))) for i in range(60)] + [(7, "the same row again and again. " * 40)] * 200
     df = spark.createDataFrame(rows, "doc_id long, text string")
