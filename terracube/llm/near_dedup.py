@@ -260,6 +260,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        becomes one component at a cost in proportion to its nodes.
     3. What is left are pairs of one bucket in different components. All of them are compared inside tasks, pack by pack, by counting the
        shingles that they share. Only links leave the task, and no two classes that a link between texts of one bucket joins stay apart.
+    A very long text is one node like others: its shingles are hashed in one pass, and compared in lists of its own length.
     Candidates carry node numbers only; texts are joined to the pairs at the end, and hot keys of every join are spread. A null id is the largest
     id; a null text has no words; columns other than the two named are not read, whatever their names; an empty table gives no rows.
     """
