@@ -10,14 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _count(n: int, size: int, over: int) -> int:
+    if size - over <= 0:
+        raise ValueError("the overlap is smaller than the size")
+    return -(-n // (size - over))
+
+
+def _with_bounds(df: DataFrame, n: int, size: int, over: int, name: str) -> DataFrame:
+    """First and end index (cut at the edge) of each block of an axis."""
+    first = F.col(f"i{name}") * (size - over)
+    return df.withColumns({f"{name}0": first, f"{name}1": F.least(first + size, F.lit(n))})
+
+
 def axis_blocks(spark, n: int, size: int, over: int, name: str) -> DataFrame:
     """Blocks of one axis: number along the axis, first and end index (cut at the edge)."""
-    stride = size - over
-    if stride <= 0:
-        raise ValueError("the overlap is smaller than the size")
-    count = -(-n // stride)
-    k = spark.range(count).select(F.col("id").cast("int").alias(f"i{name}"))
-    return k.select(f"i{name}", (F.col(f"i{name}") * stride).alias(f"{name}0"), F.least(F.col(f"i{name}") * stride + size, F.lit(n)).alias(f"{name}1"))
+    k = spark.range(_count(n, size, over)).select(F.col("id").cast("int").alias(f"i{name}"))
+    return _with_bounds(k, n, size, over, name)
 
 
 def spatial_cubelets(spark, n_lat: int, n_lon: int, xsize: int, ysize: int, xover: int = 0, yover: int = 0, keep_degenerate: bool = False, mask: DataFrame | None = None, missing_policy: str | float = "all") -> DataFrame:
@@ -26,7 +34,9 @@ def spatial_cubelets(spark, n_lat: int, n_lon: int, xsize: int, ysize: int, xove
     Kept tiles are numbered from 0 in this order; others have no number and a reason: ``degenerate`` (smaller than asked for) or
     ``missing``: all masked ("all"), any masked ("any"), or a masked share above a number. ``mask`` has (lat_i, lon_i, mask).
     """
-    tiles = axis_blocks(spark, n_lon, xsize, xover, "x").crossJoin(axis_blocks(spark, n_lat, ysize, yover, "y"))
+    rows = _count(n_lat, ysize, yover)
+    tiles = spark.range(_count(n_lon, xsize, xover) * rows).select(F.expr(f"id div {max(rows, 1)}").cast("int").alias("ix"), (F.col("id") % max(rows, 1)).cast("int").alias("iy"))
+    tiles = _with_bounds(_with_bounds(tiles, n_lon, xsize, xover, "x"), n_lat, ysize, yover, "y")
     degenerate = (F.col("x1") - F.col("x0") < xsize) | (F.col("y1") - F.col("y0") < ysize)
     tiles = tiles.withColumn("degenerate", degenerate)
     missing: Column = F.lit(False)
@@ -53,9 +63,10 @@ def time_cubelets(spark, n_times: int, tsize: int, tover: int = 0, keep_degenera
 
 
 def catalogue(space: DataFrame, time: DataFrame) -> DataFrame:
-    """Every kept tile with every kept time block."""
+    """Every kept tile with every kept time block. The time blocks, a list as short as the axis, go to the tiles as one array."""
     s = space.where("kept").select("s_idx", "ix", "iy", "x0", "x1", "y0", "y1")
-    return s.crossJoin(time.where("kept").select("k_idx", "it", "t0", "t1"))
+    blocks = time.where("kept").agg(F.collect_list(F.struct("k_idx", "it", "t0", "t1")).alias("_t"))
+    return s.join(F.broadcast(blocks)).select(*s.columns, F.explode("_t").alias("_t")).select(*s.columns, "_t.*")
 
 
 def _fan_out(df: DataFrame, index: str, name: str, size: int, over: int, n: int) -> DataFrame:
@@ -69,9 +80,11 @@ def _fan_out(df: DataFrame, index: str, name: str, size: int, over: int, n: int)
 def members(df: DataFrame, blocks: DataFrame, sizes: tuple[int, int, int], overs: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
     """A row for each block that a grid row (lat_i, lon_i, t_i) lies in; sizes, overlaps and shape along x, y, t.
 
-    Blocks that aren't in the catalogue drop out by an equality join on (ix, iy, it).
+    Rows meet the tiles of the catalogue before they are repeated for its time blocks; blocks that aren't in it drop out by an equality join on (ix, iy, it).
     """
     out = df
     for (index, name), size, over, n in zip((("lon_i", "ix"), ("lat_i", "iy"), ("t_i", "it")), sizes, overs, shape, strict=True):
         out = _fan_out(out, index, name, size, over, n)
+        if name == "iy":
+            out = out.join(blocks.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi")
     return out.join(blocks, ["ix", "iy", "it"]).drop("ix", "iy", "it")

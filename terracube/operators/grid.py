@@ -88,8 +88,9 @@ def reconstruct_missing(result: DataFrame, cells: DataFrame, on: Sequence[str] =
 
 
 def complete_grid(df: DataFrame, cells: DataFrame, times: DataFrame, cell: str = "cell_id", t: str = "t") -> DataFrame:
-    """A row for every cell and time. Times are one axis of the grid, a short list beside its rows."""
-    every = cells.select(cell).distinct().crossJoin(times.select(t).distinct())
+    """A row for every cell and time. Times are one axis of the grid, a short list beside its rows, and go to the cells as one array."""
+    axis = times.agg(F.collect_set(t).alias("_axis"))
+    every = cells.select(cell).distinct().join(F.broadcast(axis)).select(cell, F.explode("_axis").alias(t))
     return every.join(df, [cell, t], "left")
 
 

@@ -389,7 +389,7 @@ def missing_cells(spark, d):
 @query(f"WITH {GRID}, c AS (SELECT DISTINCT cell_id FROM grid), v AS (SELECT cell_id, t, click FROM grid WHERE click > 50) SELECT cell_id, t, round(click, 4) AS click FROM c CROSS JOIN days LEFT JOIN v USING (cell_id, t)")
 def reconstruct_missing(spark, d):
     df = grid(spark, d)
-    cells = df.select("cell_id").distinct().crossJoin(F.broadcast(df.select("t").distinct()))  # one row a day
+    cells = g.complete_grid(df.select("cell_id", "t"), df, df).select("cell_id", "t")
     return rounded(g.reconstruct_missing(df.where("click > 50").select("cell_id", "t", "click"), cells, ["cell_id", "t"]))
 
 
@@ -553,9 +553,9 @@ def cell_series(spark, d):
     return s.select("cell_id", F.size("steps").cast("long").alias("n"), F.col("steps")[0].cast("long").alias("first_step"), F.element_at("steps", -1).cast("long").alias("last_step"), r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"), r(F.element_at("x", -1)).alias("last"))
 
 
-def _shape(spark, d) -> tuple[DataFrame, int]:
-    """The grid's mask (cells whose mean error is above 52 or that have none) and its number of rows."""
-    cells = indexed(spark, d).groupBy("lat_i", "lon_i").agg(F.avg("error").alias("e"))
+def _shape(df: DataFrame) -> tuple[DataFrame, int]:
+    """The grid's mask (cells whose mean error is above 50 or that have none) and its number of rows."""
+    cells = stash(df.groupBy("lat_i", "lon_i").agg(F.avg("error").alias("e")))
     n_lat = cells.agg(F.max("lat_i")).first()[0] + 1
     return cells.select("lat_i", "lon_i", (F.coalesce(F.col("e") > 50, F.lit(True))).alias("mask")), n_lat
 
@@ -568,20 +568,32 @@ space AS (SELECT CASE WHEN reason IS NULL THEN CAST(sum(CASE WHEN reason IS NULL
 _TIME = "nd AS (SELECT count(*) AS nd FROM days), time AS (SELECT CASE WHEN it * 5 + 10 <= nd THEN it END AS k_idx, it, it * 5 AS t0, least(it * 5 + 10, nd) AS t1, it * 5 + 10 <= nd AS kept FROM nd, range(0, CAST(ceil(nd / 5.0) AS BIGINT)) x(it))"
 
 
-def _space(spark, d, policy=0.5) -> DataFrame:
-    mask, n_lat = _shape(spark, d)
-    return cb.spatial_cubelets(spark, n_lat, 10, 4, 4, 2, 2, mask=mask, missing_policy=policy)
+def _space(df: DataFrame, policy=0.5) -> DataFrame:
+    mask, n_lat = _shape(df)
+    return cb.spatial_cubelets(df.sparkSession, n_lat, 10, 4, 4, 2, 2, mask=mask, missing_policy=policy)
+
+
+def _catalogue(df: DataFrame) -> DataFrame:
+    days = df.agg(F.max("t_i")).first()[0] + 1
+    return stash(cb.catalogue(_space(df), cb.time_cubelets(df.sparkSession, days, 10, 5)))
+
+
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """The rows of the kept blocks."""
+    n_lat, days = (x + 1 for x in df.agg(F.max("lat_i"), F.max("t_i")).first())
+    blocks = _catalogue(df).select("s_idx", "k_idx", "ix", "iy", "it")
+    return cb.members(df.select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, days))
 
 
 @query(_TILES.format("99") + " SELECT * FROM space")
 def spatial_cubelets(spark, d):
-    _, n_lat = _shape(spark, d)
+    _, n_lat = _shape(indexed(spark, d))
     return rounded(cb.spatial_cubelets(spark, n_lat, 10, 4, 4, 2, 2))
 
 
 @query(_TILES.format("0.5") + " SELECT * FROM space")
 def cubelet_missing_policy(spark, d):
-    return rounded(_space(spark, d))
+    return rounded(_space(stash(indexed(spark, d).select("lat_i", "lon_i", "error"))))
 
 
 @query(f"WITH {GRID}, {_TIME} SELECT * FROM time")
@@ -591,20 +603,18 @@ def time_cubelets(spark, d):
 
 @query(_TILES.format("0.5") + f", {_TIME} SELECT s_idx, ix, iy, x0, x1, y0, y1, k_idx, it, t0, t1 FROM space, time WHERE space.kept AND time.kept")
 def cubelet_catalogue(spark, d):
-    return rounded(cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5)))
+    return rounded(_catalogue(stash(indexed(spark, d))))
 
 
 @query(_TILES.format("0.5") + f", {_TIME} SELECT s_idx, k_idx, CAST(count(*) AS BIGINT) AS n, round(sum(click), 4) AS total FROM space, time, gi WHERE space.kept AND time.kept AND lon_i >= x0 AND lon_i < x1 AND lat_i >= y0 AND lat_i < y1 AND t_i >= t0 AND t_i < t1 GROUP BY 1, 2")
 def cubelet_members(spark, d):
-    _, n_lat = _shape(spark, d)
-    blocks = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5)).select("s_idx", "k_idx", "ix", "iy", "it")
-    rows = cb.members(indexed(spark, d).select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, n_days(spark, d)))
+    rows = _in_blocks(stash(indexed(spark, d)))
     return rounded(rows.groupBy("s_idx", "k_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("click").alias("total")))
 
 
 @query(_TILES.format("0.5") + f", {_TIME}, cat AS (SELECT s_idx, k_idx FROM space, time WHERE space.kept AND time.kept) SELECT s_idx, k_idx FROM cat WHERE s_idx IN {_top('SELECT DISTINCT s_idx FROM cat', 's_idx', 'floor(n * 0.5 + 1e-9)', 4)} AND k_idx IN {_top('SELECT DISTINCT k_idx FROM cat', 'k_idx', 'floor(n * 0.6 + 1e-9)', 5)}")
 def cubelet_downsample(spark, d):
-    cat = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5))
+    cat = _catalogue(stash(indexed(spark, d)))
     return rounded(sp.sample_cubelets(cat, 0.5, 0.6, 4).select("s_idx", "k_idx"))
 
 
@@ -772,9 +782,7 @@ def score_mc(spark, d):
 
 @query(_TILES.format("0.5") + f", {_TIME} SELECT s_idx, k_idx, t_i, lat_i, lon_i, round(2 * coalesce(click, 0), 6) AS y_hat FROM space, time, gi WHERE space.kept AND time.kept AND lon_i >= x0 AND lon_i < x1 AND lat_i >= y0 AND lat_i < y1 AND t_i >= t0 AND t_i < t1")
 def score_cubelets(spark, d):
-    _, n_lat = _shape(spark, d)
-    blocks = cb.catalogue(_space(spark, d), cb.time_cubelets(spark, n_days(spark, d), 10, 5)).select("s_idx", "k_idx", "ix", "iy", "it")
-    rows = cb.members(indexed(spark, d).select("lat_i", "lon_i", "t_i", "click"), blocks, (4, 4, 10), (2, 2, 5), (10, n_lat, n_days(spark, d)))
+    rows = _in_blocks(stash(indexed(spark, d)))
     return rounded(sc.score_cubelets(rows, lambda cube: np.nanmean(np.nan_to_num(cube), axis=1) * 2, ["click"]), 6)
 
 
