@@ -105,7 +105,7 @@ def category_quantiles(df: DataFrame, value: str, category: str = "category", t:
     """Across the cells of a category at each time: p10, p90, min, max, median.
 
     Exact quantiles keep a group's distinct values in memory. With ``accuracy`` they come from sketches of bounded size, each a value of the group whose
-    rank is off by at most a share of 1 / accuracy: for categories with very many cells.
+    rank is off by at most a share of 1 / accuracy: for categories with very many cells. `ordered.exact_quantiles` is exact for those, too.
     """
     at = (lambda p: F.percentile(value, p)) if accuracy is None else (lambda p: F.percentile_approx(value, p, accuracy))
     return df.groupBy(category, t).agg(at(0.1).alias("p10"), at(0.9).alias("p90"), F.min(value).alias("vmin"), F.max(value).alias("vmax"), at(0.5).alias("median"))

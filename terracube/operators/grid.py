@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terracube.sources.scratch import stash
+
 
 # -- selection ---------------------------------------------------------------------------------
 
@@ -105,11 +107,12 @@ def grid_index(lat_i: Column, lon_i: Column, n_lon: int) -> Column:
 def dense_index(keys: DataFrame, key: str, name: str, parts: int | None = None) -> DataFrame:
     """0, 1, 2, ... in the order of distinct keys, without one task that sorts them all.
 
-    Keys are sorted into ranges; a small table of the ranges' counts gives each range its first number.
+    Keys are sorted into ranges; a small table of the ranges' counts gives each range its first number. The ranges come from a sample of the keys, so they are
+    written to the shared folder before they are counted: both steps see the same ones, even if a task runs again.
     """
     parts = parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    inner = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    ranged = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
+    inner = stash(ranged).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
     sizes = inner.groupBy("_p").agg(F.max("_r").alias("_n"))
     sizes = sizes.select(F.col("_p").alias("_q"), (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_first"))
     return inner.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).select(key, (F.col("_first") + F.col("_r") - 1).cast("long").alias(name))  # one row for each of ``parts`` ranges
@@ -121,8 +124,8 @@ def cell_linear_index(cells: DataFrame, mask: str = "mask", cell: str = "cell_id
 
 
 def time_index(df: DataFrame, t: str = "t") -> DataFrame:
-    """Number of each time step."""
-    return dense_index(df, t, "t_i", 8)
+    """Number of each time step. The distinct steps are one axis of the grid, a short list that one task numbers."""
+    return df.select(t).where(F.col(t).isNotNull()).distinct().select(t, (F.row_number().over(Window.orderBy(t)) - 1).cast("long").alias("t_i"))
 
 
 def spacetime_index(cells: DataFrame, n_times: int, length: int, include_last: bool = False) -> DataFrame:

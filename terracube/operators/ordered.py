@@ -17,8 +17,8 @@ from terracube.sources.scratch import stash
 
 #: Sign, exponent and 8 bits of the mantissa: 256 buckets between a power of two and the next.
 BUCKET_BITS = 20
-#: Quantiles settle as many bits in each of four rounds; a round counts at most 2^16 buckets for a group and rank.
-ROUND_BITS = 16
+#: Quantiles settle so many bits in a round; a round counts at most 2^22 buckets for a group and rank.
+ROUND_BITS = 22
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -97,8 +97,8 @@ def monotonicity(df: DataFrame, groups: Sequence[str], t: str, x: str, y: str) -
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """The quantiles (linear between neighbours) of all groups: (keys, p, quantile). NULL and NaN are left out; a group without values has no rows.
 
-    The two ranks around each quantile are found by four rounds of counts. A round counts the next 16 bits of the values that still share a rank's bits so far,
-    and takes the bits at which the counts reach the rank. No group's values are ever gathered or sorted; a task holds at most 2^16 counts of a group and rank.
+    The two ranks around each quantile are found by three rounds of counts. A round counts the next 22 bits of the values that still share a rank's bits so far,
+    and takes the bits at which the counts reach the rank. No group's values are ever gathered or sorted; a task sorts at most 2^22 counts of a group and rank.
     """
     keys = list(keys)
     x = number(df, value)
@@ -108,13 +108,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     spot = sizes.select(*keys, F.explode(ps).alias("p"), "_n").withColumn("_at", F.col("p") * (F.col("_n") - 1))
     ends = spot.select(*keys, "p", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank"))
     left = ends.select(*keys, "_rank", F.col("_rank").alias("_left"), F.lit(0).cast("long").alias("_prefix")).distinct()
-    for k in range(1, 64 // ROUND_BITS + 1):
-        shift = 64 - k * ROUND_BITS
-        digit = F.shiftright("_bits", shift)
-        open_ = rows.withColumns({"_prefix": F.shiftright("_bits", shift + ROUND_BITS) if k > 1 else F.lit(0).cast("long"), "_digit": digit})
+    before = 64
+    while before > 0:
+        shift = max(0, before - ROUND_BITS)
+        open_ = rows.withColumns({"_prefix": F.shiftright("_bits", before) if before < 64 else F.lit(0).cast("long"), "_digit": F.shiftright("_bits", shift)})
+        before = shift
         wanted = left.select(*keys, "_prefix").distinct()
         counts = null_safe_join(open_, wanted, [*keys, "_prefix"], "left_semi").groupBy(*keys, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_c"))
-        own = Window.partitionBy(*keys, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^16 counts
+        own = Window.partitionBy(*keys, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^22 counts
         counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(own), F.lit(0)))
         met = null_safe_join(left, counts, [*keys, "_prefix"]).where((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_c")))
         left = met.select(*keys, "_rank", (F.col("_left") - F.col("_before")).alias("_left"), F.col("_digit").alias("_prefix"))

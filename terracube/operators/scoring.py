@@ -141,7 +141,7 @@ def select_outputs(predictions: DataFrame, targets: Sequence[str], keys: Sequenc
 
 def user_metric(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], float], keys: Sequence[str], true: str = "y_true", pred: str = "y_pred", name: str = "value") -> DataFrame:
     """A metric that isn't one of the built-in ones, on the pairs of each group. A group without a valid pair gets NULL. A group is in one task's
-    memory: keys should be as fine as cells; for larger groups write the metric as a `Column` of sums (`terracube.functions.metrics`), which Spark adds up in parts."""
+    memory: keys should be as fine as cells; for larger groups use `user_metric_merged`, or a `Column` of sums (`terracube.functions.metrics`)."""
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"`{name}` double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

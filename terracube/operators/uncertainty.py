@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terracube.operators.ordered import exact_quantiles
+
 
 def ensemble_spread(df: DataFrame, value: str, keys: Sequence[str] = ("cell_id", "t")) -> DataFrame:
     """Mean and sample deviation over the members."""
@@ -21,26 +23,14 @@ def conformal_scores(df: DataFrame, true: str = "y_true", lower: str = "lower",
 def conformal_q(calibration: DataFrame, coverages: Sequence[float], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """For each coverage the linear quantile of the scores: (coverage, q).
 
-    ``exact`` sorts scores once by range over all tasks, numbers them by range, and reads the two neighbours of each quantile, so
-    no task holds all scores; otherwise a sketch of bounded size.
+    ``exact`` finds the two neighbours of each quantile by rounds of counts (`ordered.exact_quantiles`), so that no task holds or sorts all scores; otherwise a
+    sketch of bounded size.
     """
     scores = conformal_scores(calibration).where(F.col("score").isNotNull()).select("score")
     if not exact:
         one = scores.agg(F.percentile_approx("score", [float(c) for c in coverages], accuracy).alias("q"))
         return one.select(F.inline(F.arrays_zip(F.array(*[F.lit(float(c)) for c in coverages]).alias("coverage"), F.col("q"))))
-    counted = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    ranged = counted.repartitionByRange(200, "score").sortWithinPartitions("score").withColumn("p", F.spark_partition_id())
-    inner = ranged.withColumn("upto", F.sum("c").over(Window.partitionBy("p").orderBy("score")))
-    sizes = inner.groupBy("p").agg(F.max("upto").alias("n"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("p", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))  # one row a range
-    placed = inner.join(firsts, "p").select("score", "total", (F.col("first") + F.col("upto") - F.col("c")).alias("a"), (F.col("first") + F.col("upto") - 1).alias("b"))
-    at = F.explode(F.array(*[F.lit(float(c)) for c in coverages]))
-    spot = placed.withColumn("coverage", at).withColumn("x", F.col("coverage") * (F.col("total") - 1))
-    low, high = F.floor("x"), F.ceil("x")
-    hit = lambda k: F.max(F.when((F.col("a") <= k) & (k <= F.col("b")), F.col("score")))
-    ends = spot.groupBy("coverage", "x").agg(hit(low).alias("lo"), hit(high).alias("hi"))
-    return ends.select("coverage", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("x") - F.floor("x"))).alias("q"))
+    return exact_quantiles(scores, [], "score", coverages).select(F.col("p").alias("coverage"), F.col("quantile").alias("q"))
 
 
 def conformal_intervals(test: DataFrame, q: DataFrame, lower: str = "lower", upper: str = "upper") -> DataFrame:
