@@ -20,12 +20,12 @@ OUT = "vec_id long, component int, n long, deviation long, whitened double, expl
 
 
 def floored(df: DataFrame, keep: tuple[str, ...] = (), id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, ``x`` = floor(scale * c) of each component c as a long, and the columns ``keep``. Rows with a null id, a null or empty vector, or a null or
-    non-finite component take no part. A component that a long can't hold raises."""
+    """vec_id, ``x`` = floor(scale * c) of each component c as a long, and the columns ``keep``. Rows with a null or empty vector, or a null or non-finite
+    component take no part. A component that a long can't hold raises."""
     c = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     sound = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     whole = lambda v: F.when(F.abs(v * scale) < 2.0**63, F.floor(v * scale)).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long"))
-    good = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & sound)
+    good = df.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & sound)
     return good.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(c, whole).alias("x"), *keep)
 
 
@@ -114,7 +114,7 @@ def whiten(rows: DataFrame, k: int = COMPONENTS, weights: str = "one") -> DataFr
     falling eigenvalue; the largest entry of each is positive. ``explained`` is the share of the trace; ``identity_error`` the largest absolute entry of the
     whitened rows' covariance minus the identity, measured over the fit list.
 
-    Rows that repeat an id each get their own; vectors of another width are a fit of their own; components without spread give no rows, so that a single
+    Rows that repeat an id, or have none, each get their own; vectors of another width are a fit of their own; components without spread give no rows, so that a single
     distinct vector gives none; an empty table gives an empty one. Other columns of ``rows`` are left out, whatever they are called. The driver holds a matrix
     of width x width.
     """
