@@ -192,8 +192,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     A line's key is the line stripped of white space and with A-Z in lower case. A key of ``least`` code
     points or more that occurs in two documents or more keeps its lines in the smallest id only.
     A null text is one empty line and stays null; rows with the same id are one document; null ids count
-    as one document with the largest id. Empty tables give empty results; columns named like the results
-    are replaced, all others stay, whatever their names.
+    as one document with the largest id. A very long text, or line, is read whole and probed line by line like others. Empty tables give empty results; columns
+    named like the results are replaced, all others stay, whatever their names.
 
     Scale: three passes over the texts. Only (hash, hash, id) of lines is dealt out by key; shards of about 20,000 lines grow
     in number with the lines, and one shard's arrays at a time are in a task's memory. A key in more than a 10,000th of

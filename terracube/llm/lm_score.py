@@ -276,7 +276,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and
     ``bits_per_byte``. The fold is crc32 of the id as text, modulo 7; remainder 2 is held out. A null id counts as an empty
-    text there; a null text is empty; repeated rows are counted and scored each. Columns other than the two named are not read, whatever their names; an empty table
+    text there; a null text is empty; repeated rows are counted and scored each; a very long text is counted and scored whole, a slice of rows at a time. Columns other than the two named are not read, whatever their names; an empty table
     gives no rows.
 
     Model: bytes (A-Z lowered) and an end mark are coded as eight binary decisions each by context-tree weighting over the last 0 to ``depth`` bytes (2 to 7).
