@@ -193,7 +193,8 @@ def half_cell_join(fine: DataFrame, coarse: DataFrame, res: float, lat0: float,
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, res: float, lat0: float, lon0: float) -> DataFrame:
-    """The cell of a regular grid nearest to each point; points more than half a cell outside get none."""
+    """The cell of a regular grid nearest to each point; points more than half a cell outside get no row. For uneven axes, holes and points far outside see
+    `ordered.nearest_on_axes` and `ordered.nearest_existing`."""
     at = lambda x, x0: F.floor((x - x0) / F.lit(res) + 0.5)
     c = cells.select("cell_id", at(F.col("lat"), lat0).alias("_i"), at(F.col("lon"), lon0).alias("_j"))
     return points.withColumns({"_i": at(F.col("lat"), lat0), "_j": at(F.col("lon"), lon0)}).join(c, ["_i", "_j"]).drop("_i", "_j")
