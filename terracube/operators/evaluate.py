@@ -32,14 +32,39 @@ def global_table(maps: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()
     return long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+#: Pairs of a group that one task ranks by sorting them. Larger groups are ranked by counts.
+SORTED_PAIRS = 1 << 20
+
+
 def spearman(df: DataFrame, keys: Sequence[str], true: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """Rank correlation of each group, over pairs with both sides. A NULL key is a group like others.
 
-    Ranks come from counts of distinct values, of both sides in one table: the rows below a value within its group. Counts are summed up bucket by bucket, so a
-    large group, or the whole table without keys, is in no single task. ``df`` is read once.
+    Groups of at most ``SORTED_PAIRS`` pairs move once and are sorted by either side where they are. Larger ones, and the whole table without keys, are ranked by
+    counts of their distinct values, so that none is in a single task. ``df`` is read once.
     """
     keys = list(keys)
     pairs = stash(df.where(F.col(true).isNotNull() & F.col(pred).isNotNull()).select(*keys, F.col(true).cast("double").alias("_o"), F.col(pred).cast("double").alias("_p")))
+    if not keys:
+        return _spearman_by_counts(pairs, keys)
+    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = stash(sizes.where(F.col("_n") > SORTED_PAIRS).drop("_n"))
+    if large.isEmpty():
+        return _spearman_by_sorts(pairs, keys)
+    few = F.broadcast(large)  # at most one row for every ``SORTED_PAIRS`` pairs
+    small = _spearman_by_sorts(null_safe_join(pairs, few, keys, "left_anti"), keys)
+    return small.unionByName(_spearman_by_counts(null_safe_join(pairs, few, keys, "left_semi"), keys))
+
+
+def _spearman_by_sorts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """A pair's rank is the middle of the first and the last place of its value."""
+    for side in ("_o", "_p"):
+        up = Window.partitionBy(*keys).orderBy(side)
+        pairs = pairs.withColumn(f"_rank{side}", (F.rank().over(up) + F.count(F.lit(1)).over(up)) / F.lit(2.0))
+    return pairs.groupBy(*keys).agg(m.pearson(F.col("_rank_o"), F.col("_rank_p")).alias("spearman"))
+
+
+def _spearman_by_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranks from counts of distinct values, of both sides in one table: the rows below a value within its group. Counts are summed up bucket by bucket."""
     sides = F.explode(F.array(F.struct(F.lit("_o").alias("_side"), F.col("_o").alias("_x")), F.struct(F.lit("_p").alias("_side"), F.col("_p").alias("_x")))).alias("_s")
     counts = pairs.select(*keys, sides).select(*keys, "_s.*").groupBy(*keys, "_side", "_x").agg(F.count(F.lit(1)).alias("_c"))
     below = running_sum(counts, [*keys, "_side"], "_x", F.col("_c"), "_below")

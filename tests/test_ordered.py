@@ -54,6 +54,27 @@ def test_null_groups_are_kept(spark):
     assert ev.spearman(df, [], "o", "p").count() == 1
 
 
+def test_spearman_moves_groups_once(spark):
+    df = pairs(spark, [(g, float(i % 5), float(i % 7)) for i in range(40) for g in ("a", "b")])
+    plan = ev.spearman(df, ["g"], "o", "p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 50, 1000])
+def test_spearman_by_sorts_and_by_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(ev, "SORTED_PAIRS", most)
+    rng = np.random.default_rng(5)
+    sizes = {("a", 1): 200, ("a", None): 51, (None, 1): 50, (None, None): 120, ("b", 2): 1, ("b", 3): 30}
+    rows = [(g, k, float(rng.choice(HARD)), float(rng.choice([*HARD, math.nan]))) for (g, k), n in sizes.items() for _ in range(n)]
+    rows += [("c", 1, 1.0, float(i)) for i in range(60)] + [("a", 1, None, 1.0), ("d", 1, 1.0, None)]
+    got = {(r.g, r.k): r.spearman for r in ev.spearman(spark.createDataFrame(rows, "g string, k int, o double, p double"), ["g", "k"], "o", "p").collect()}
+    assert set(got) == {*sizes, ("c", 1)} and got["c", 1] is None and got["b", 2] is None
+    rank = lambda v: [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+    for key in set(sizes) - {("b", 2)}:
+        o, p = zip(*[(o, math.inf if math.isnan(p) else p) for g, k, o, p in rows if (g, k) == key and o is not None], strict=True)
+        assert got[key] == pytest.approx(np.corrcoef(rank(o), rank(p))[0, 1])
+
+
 def test_running_sums_by_days_and_real_numbers(spark):
     rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(days=7 * i), float(i)) for i in range(30)] + [(None, dt.date(1960, 1, 1), 5.0), (None, dt.date(1980, 1, 1), 7.0)]
     df = spark.createDataFrame(rows, "g string, t date, v double")
